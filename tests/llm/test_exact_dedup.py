@@ -1,0 +1,72 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from tracelake.llm import exact_dedup
+
+
+def brute(docs):
+    groups = {}
+    norm = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    for doc, text in docs:
+        groups.setdefault(norm(text), []).append(doc)
+    return {
+        doc: (max(ids), len(ids), doc == max(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for doc in ids
+    }
+
+
+def test_assign_against_brute_force(spark):
+    rng = random.Random(2)
+    docs = [(i, rng.choice(["A b", "a B", "É", "é", "", None, "x" * 50_000, f"own {i}"])) for i in range(400)]
+    rows = exact_dedup.assign(spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, key string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == brute(docs)
+
+
+def test_repeated_rows_leave_one(spark):
+    docs = spark.createDataFrame([(1, "t"), (1, "T"), (1, "t"), (0, "t"), (None, "z"), (None, "z")], "doc_id long, text string")
+    rows = exact_dedup.assign(docs).collect()
+    assert len(rows) == 6 and sum(r["kept"] for r in rows) == 2
+    assert sorted((r["doc_id"] is not None, r["text"].lower()) for r in exact_dedup.deduplicate(docs).collect()) == [(False, "z"), (True, "t")]
+
+
+def test_deduplicate_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "t", 5), (2, "T", 6), (3, None, 7), (4, "", 8)], "doc_id long, text string, _sha0 int")
+    out = exact_dedup.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == [2, 4]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert exact_dedup.assign(docs).collect() == [] and exact_dedup.deduplicate(docs).collect() == []
+
+
+def test_buckets_split_and_the_directory_doubles(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 1000).cast("string")).alias("text"))
+    keys = exact_dedup.keyed(docs).select("key").distinct().cache()
+    directory = exact_dedup.grow_directory(keys, 20)
+    sizes = [r["count"] for r in directory.locate(keys).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 20 and sum(sizes) == 1000
+    assert directory.depth >= 6 and len(directory.slots) == 1 << directory.depth
+    rows = exact_dedup.assign(docs, capacity=20).collect()
+    assert len(rows) == 3000 and all(r["group_size"] == 3 and r["keep_id"] == r["doc_id"] % 1000 + 2000 for r in rows)
+
+
+def test_owner_compares_bytes_when_keys_collide():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict(
+        {"bucket": [0, 0, 0], "key": [7, 7, 7], "norm": [b"a", b"b", b"a"], "sha": ["sa", "sb", "sa"], "keep_id": [1, 5, 9], "size": [1, 1, 2]}
+    )
+    out = [r for b in exact_dedup.own(iter([batch])) for r in b.to_pylist()]
+    assert [(r["chain"], r["keep_id"], r["group_size"]) for r in out] == [(0, 9, 3), (1, 5, 1)]
+
+
+def test_fold_passes_entries_on_when_full(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact_dedup, "FOLD_BYTES", 1)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "key": [3, 3], "sha": ["s", "s"], "norm": ["t", "t"]})
+    out = [r for b in exact_dedup.fold(iter([batch, batch])) for r in b.to_pylist()]
+    assert [(r["keep_id"], r["size"]) for r in out] == [(2, 2), (2, 2)]
