@@ -1,0 +1,4 @@
+"""Queries of this library by name, and SQL for the same rows."""
+
+QUERIES = {}
+ORACLE_SQL = {}
