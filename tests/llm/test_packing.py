@@ -24,9 +24,9 @@ def test_word_ids_equal_the_tokenizer_on_odd_texts(tokenizer):
     rng = random.Random(3)
     alphabet = list("ab'sT1é٣日 \t\n\r\x0b\x1c\x85\xa0 　.,!_-😀́") + ["'s", "'ll", "  ", "\n\n", "<|endoftext|>"]
     words = packing.WordIds(PATH)
-    for _ in range(4000):
-        text = "".join(rng.choices(alphabet, k=rng.randint(0, 14)))
-        assert np.frombuffer(words.of(text), "<u4").tolist() == ids_of(tokenizer, text)[:-1], repr(text)
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(4000)] + ["x" * 5000 + " y"]
+    for text, ids in zip(texts, words.of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)[:-1], repr(text)
 
 
 def test_cuts_fill_every_piece_but_the_first():

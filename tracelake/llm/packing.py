@@ -26,9 +26,12 @@ empty result; other columns of the pieces are carried through by ``pack``.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ END_ID = 2
 #: Pieces in a (length, salt) group, on average.
 RANK_GROUP = 20_000
 #: Words whose ids a task remembers at once; it starts afresh beyond.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
 
 PIECE = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -56,26 +59,38 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PARTS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-class WordIds(dict):
-    """Token ids (little-endian unsigned 32-bit) of a part of a text, remembered by part."""
+class WordIds:
+    """Token ids (little-endian unsigned 32-bit) of texts, by parts that a task meets again and again."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.known: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= 64:
-            self[part] = ids
-        return ids
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def of(self, text: str) -> bytes:
-        if "<|endoftext|>" in text:  # a token of its own, which the split into parts would miss
-            return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) > REMEMBERED_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, PARTS.findall(text)))
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known.clear()
+        # The special token's string would be lost in the split into parts, and very long parts needn't be remembered.
+        parts = [[t] if "<|endoftext|>" in t else PARTS.findall(t) for t in texts]
+        new = list({p for ps in parts for p in ps if p not in self.known})
+        known = self.known
+        known.update(zip(new, self.encoded(new), strict=True))
+        out = [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        for p in new:
+            if len(p) > 64:
+                del known[p]
+        return out
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, which runs many tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordIds(path)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -91,11 +106,11 @@ def tokenise(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
-        for batch in batches:
+        words = word_ids(tokenizer)
+        for batch in (whole.slice(at, 400) for whole in batches for at in range(0, whole.num_rows, 400)):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.of(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.of([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 rows += [(doc, i, s, n, ids[4 * s : 4 * (s + n)]) for i, (s, n) in enumerate(cuts(len(ids) // 4, capacity))]
             if rows:
                 yield pa.RecordBatch.from_arrays(
