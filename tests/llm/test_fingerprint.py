@@ -1,0 +1,62 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from tracelake.llm import fingerprint
+
+
+def neighbours(docs):
+    """doc_id -> (n_chars, sha256 of the edited text)."""
+    out = []
+    for k, (doc, text) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1] or ""
+        text = text or ""
+        q = len(text) // 4
+        edited = text[: len(text) - q] + following[:q]
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    return out
+
+
+def corpus(n, seed=1):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)] + ["é", "日本", "😀"]
+    docs = [(3 * i - 50, "\n".join(" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(rng.randint(1, 6)))) for i in range(n)]
+    docs[5], docs[7] = (docs[5][0], None), (docs[7][0], "")
+    return docs
+
+
+def test_edited_texts_and_likeness(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 9)  # many ranges
+    docs = corpus(120)
+    frame = spark.createDataFrame([(*d, "x", 1) for d in random.Random(2).sample(docs, 120)], "doc_id long, text string, lanes string, _turn int")
+    rows = fingerprint.with_neighbours(frame).collect()
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == neighbours(docs)
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("near_edited", "near_next"))
+    assert sum(r["near_edited"] for r in rows) / 120 > 0.6 > 0.2 > sum(r["near_next"] for r in rows) / 120
+
+
+def test_single_rows_ties_and_missing_ids(spark):
+    one = spark.createDataFrame([(4, "abcdefgh")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in fingerprint.with_neighbours(one).collect()] == neighbours([(4, "abcdefgh")])
+    odd = spark.createDataFrame([(1, "aaaa"), (1, "aaaa"), (2, "bbbb"), (None, "cccc"), (None, None)], "doc_id long, text string")
+    rows = fingerprint.with_neighbours(odd).collect()
+    assert len(rows) == 5 and len({r["fingerprint"] for r in rows}) == 4
+    assert fingerprint.with_neighbours(odd.limit(0)).collect() == []
+    none = spark.createDataFrame([(None, "x"), (None, "y")], "doc_id long, text string")
+    assert len(fingerprint.with_neighbours(none).collect()) == 2
+
+
+def test_order_does_not_matter_and_updates_add_up(spark):
+    docs = spark.createDataFrame([(0, "a b\nc d\nc d\n"), (1, "\nc d\na b\nc d"), (2, "a b\nc d\n"), (3, "c d"), (4, "a b\nc d\nc e\n")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
+    assert rows[0]["fingerprint"] == rows[1]["fingerprint"] and len({r["fingerprint"] for r in rows.values()}) == 4
+    pair = spark.createDataFrame([(rows[2]["lanes"], rows[3]["lanes"], rows[0]["lanes"])], "a array<long>, b array<long>, c array<long>")
+    got = pair.select(fingerprint.inserted(F.col("a"), F.col("b")).alias("more"), fingerprint.deleted(F.col("c"), F.col("b")).alias("less")).first()
+    assert got["more"] == rows[0]["lanes"] and got["less"] == rows[2]["lanes"]
+
+
+def test_texts_are_shuffled_once_without_python(spark):
+    plan = fingerprint.with_neighbours(spark.createDataFrame(corpus(40), "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1
+    assert "Python" not in plan and "Arrow" not in plan

@@ -1,0 +1,81 @@
+import hashlib
+import random
+import re
+
+from tracelake.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base(text):
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    found = [("email", m) for m in EMAIL.finditer(text)]
+    found += [("ip", m) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    found += [("card", m) for m in CARD.finditer(text) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    found += [("phone", m) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return [f"{k}:{m.start()}:{m.end()}" for k, m in found]
+
+
+def check(spark, texts):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, kind string, start int")
+    rows = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        want = base(t)
+        r = rows[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (t, want, r["spans"])
+        assert set(want) <= set(r["spans"].split(",") if r["spans"] else [])
+        counts = [sum(w.startswith(k) for w in want) for k in ("email", "ip", "card", "phone")]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == counts
+    return rows
+
+
+def test_base_spans_against_python(spark):
+    rng = random.Random(9)
+    parts = ["a.b@c-d.com", "@", "x@y", ".z", "_q@r.st.uv.", "1.2.3.4", "256.1.1.1", "001.02.3.255", "1.2.3.4.5.6.7.8", "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1112",
+             "+1 (555) 010-9999", "+49 30 123456", "+1", "12", "3 ", " -", "é", "日本", "😀", "\n", "word", " ", "7" * 25, "+(", ")", "token = \"04dbebab91\""]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(600)] + [None, "", "9" * 60_000, "a" * 60_000 + "@b.com", "a.b" * 9000 + "@" + "c.d" * 9000, "1 " * 5000]
+    check(spark, texts)
+
+
+def test_wider_spans_need_support_and_clean_text_stays_clean(spark):
+    texts = ["call me, phone (415) 555-0199 today", "email jane.doe[at]example[dot]com please", "page 123-456-7890x", "no data here", "version 1.2.3 of 2024"]
+    texts += [f"write to user{i}@mail.example.com or phone +1 415 555 {1000 + i}" for i in range(50)]
+    rows = check(spark, texts)
+    assert rows[0]["spans"] == "phone:15:29"
+    assert rows[1]["spans"] == "email:6:33"
+    assert [rows[i]["spans"] for i in (2, 3, 4)] == ["", "", ""]
+
+
+def test_redact_replaces_spans_and_keeps_columns(spark):
+    rows = [(1, "😀 a@b.co, 1.2.3.4!", "en"), (2, None, "de"), (None, "plain", None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, candidates string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["text"] or "") for r in out.collect()) == ["", "", "plain", "plain", "😀 [EMAIL], [IP]!", "😀 [EMAIL], [IP]!"]
+
+
+def test_empty_table_and_no_python_in_the_plan(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.find(docs).collect() == [] and pii.redact(docs).collect() == []
+    plan = pii.candidates(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_reliabilities_learn_which_labeler_to_trust():
+    # The first and third votes agree; the second is noise.
+    counts = {(1, 1, 1): 40, (1, -1, 1): 45, (-1, 1, 0): 50, (-1, -1, 0): 55}
+    truth = pii.reliabilities(counts)
+    assert min(truth[(1, 1, 1)], truth[(1, -1, 1)]) > 0.9 and max(truth[(-1, 1, 0)], truth[(-1, -1, 0)]) < 0.1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, language_id, near_dedup, packing
+from . import exact_dedup, fingerprint, language_id, near_dedup, packing, pii, quality
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,12 +38,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
