@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, language_id, near_dedup, packing, pii, quality
+from . import exact_dedup, fingerprint, language_id, licenses, near_dedup, packing, pii, preference, quality
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return preference.format_pairs(turns, preference.neighbouring_pairs(turns))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -53,9 +62,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_license_scan": op8_license_scan,
+    "op9_preference_format": op9_preference_format,
     "op10_pii": op10_pii,
 }
 
+def license_sql() -> str:
+    """The same canonical form in DuckDB's words, over the same known texts."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    form = "replace(regexp_replace(lower(coalesce(text, '')), '(?m)^[^\\p{L}\\p{N}\\n]*(?:copyright\\b|\\(c\\)|©)[^\\n]*$', '', 'g'), 'all rights reserved', '')"
+    form = f"regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for spelling, same in licenses.EQUIVALENT:
+        form = f"replace({form}, '{spelling}', '{same}')"
+    one_line = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'), ' ')"
+    values = ", ".join(f"({quoted(name)}, {quoted(t)})" for name, several in licenses.KNOWN.items() for t in several)
+    return f"""
+        WITH known AS (
+            SELECT DISTINCT license, sha256({one_line("form")}) AS digest
+            FROM (SELECT license, {form} AS form FROM (VALUES {values}) AS v(license, text))
+        ), d AS (SELECT doc_id, {form} AS form FROM documents
+        ), parts AS (
+            SELECT doc_id, form, unnest(list_distinct(list_concat(
+                [{one_line("form")}],
+                list_filter(list_transform(string_split(form, chr(10)), lambda p: trim(p, ' ')), lambda p: p <> ''),
+                list_filter(list_transform(string_split_regex(form, '\\n[ ]*\\n'), lambda p: {one_line("p")}), lambda p: p <> '')))) AS part
+            FROM d
+        ), units AS (SELECT doc_id, sha256({one_line("form")}) AS text_digest, sha256(part) AS digest FROM parts)
+        SELECT doc_id, text_digest, max(CASE WHEN units.digest = text_digest THEN license END) AS license, count(license) AS n_matches,
+               coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
+        FROM units LEFT JOIN known ON known.digest = units.digest GROUP BY doc_id, text_digest
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
@@ -88,4 +126,35 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)
     """,
+    "op8_license_scan": license_sql(),
+    "op9_preference_format": """
+        WITH c AS (
+            SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn, role, text) AS l FROM conversations GROUP BY conv_id
+        ), p AS (SELECT DISTINCT conv_id // 2 AS pair_id FROM conversations
+        ), m AS (
+            SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, coalesce(x.l, []) AS a, coalesce(y.l, []) AS b
+            FROM p LEFT JOIN c x ON x.conv_id = 2 * pair_id LEFT JOIN c y ON y.conv_id = 2 * pair_id + 1
+        ), n AS (
+            SELECT *, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1,
+                               least(len(a), len(b))) AS k
+            FROM m
+        ), s AS (
+            SELECT pair_id, chosen_id, rejected_id, k::BIGINT AS n_common, a[1:k] AS pre, a[k + 1:] AS c, b[k + 1:] AS r FROM n
+        ), w AS (
+            SELECT *,
+                   list_transform(c, lambda t: length(t.r) + length(t.t) + 24) AS cl, list_transform(r, lambda t: length(t.r) + length(t.t) + 24) AS rl
+            FROM s
+        ), o AS (
+            SELECT pair_id, chosen_id, rejected_id, n_common,
+                   array_to_string(list_transform(pre, lambda t: '<|im_start|>' || t.r || chr(10) || t.t || '<|im_end|>' || chr(10)), '') AS prompt,
+                   array_to_string(list_transform(c, lambda t: '<|im_start|>' || t.r || chr(10) || t.t || '<|im_end|>' || chr(10)), '') AS chosen,
+                   array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].r = 'assistant'),
+                       lambda i: (coalesce(list_sum(cl[1:i - 1]), 0) + 22)::BIGINT || ':' || (coalesce(list_sum(cl[1:i - 1]), 0) + 22 + length(c[i].t) + 10)::BIGINT), ',') AS chosen_mask,
+                   array_to_string(list_transform(r, lambda t: '<|im_start|>' || t.r || chr(10) || t.t || '<|im_end|>' || chr(10)), '') AS rejected,
+                   array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].r = 'assistant'),
+                       lambda i: (coalesce(list_sum(rl[1:i - 1]), 0) + 22)::BIGINT || ':' || (coalesce(list_sum(rl[1:i - 1]), 0) + 22 + length(r[i].t) + 10)::BIGINT), ',') AS rejected_mask
+            FROM w
+        )
+        SELECT *, chosen_mask <> '' AND rejected_mask <> '' AND chosen <> rejected AS usable FROM o
+    """,
 }
