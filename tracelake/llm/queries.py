@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, language_id, licenses, near_dedup, packing, pii, preference, quality
+from . import exact_dedup, fingerprint, language_id, licenses, near_dedup, packing, pii, preference, quality, sentencepiece_nbest
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_neighbours(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
     "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
