@@ -13,18 +13,20 @@ so copies cost nothing further.  Candidates of a bucket are not paired with
 each other.  In a star round every representative takes one candidate, the
 bucket's centre that agrees with it best; its link is verified on the full sets
 and verified links are joined into components.  Buckets whose members all lie
-in one component are settled.  Where a bucket still spans components, further
-rounds use other centres; when a round joins nothing new, every remaining pair
-of members in different components is verified, which leaves no candidate out.
-Pairs within a component never arise.
+in one component are settled.  In a bucket that still spans components, every
+pair of members in different components is considered, in blocks of bounded
+size inside the tasks: pairs that pass a test on longer digests are verified
+there, and only links that join components leave a task.  No candidate is left
+out, and pairs within a component never arise.
 
-Before the texts of a candidate pair are fetched, the pair must pass two tests
-on what the representatives carry: the ratio of set sizes that the threshold
-needs (exact), and the agreement of two-bit digests of all coordinates, with a
-bound five standard deviations below what the threshold implies.
+Before a candidate pair is verified, it must pass two tests on what the
+representatives carry: the ratio of set sizes that the threshold
+needs (exact), and the agreement of two-bit digests of the coordinates, with
+bounds 5 (star round) and 4.5 (later) standard deviations below what the
+threshold implies.
 
-Chances at similarity 0.75: a pair shares no band with probability
-(1 - 0.75 ** 4) ** 32 = 5e-6, and fails the digest test with less than 1e-6.
+Chances at similarity 0.75, less at every higher one: a pair shares no band with
+probability (1 - 0.75 ** 4) ** 32 = 5e-6, and fails a digest test with 4e-6.
 
 Defined cases: a null or wordless text has an empty set, is its own component
 and kept; rows without ``doc_id`` get no component and are kept; rows that
@@ -33,7 +35,6 @@ repeat a ``doc_id`` are rows of one node; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -56,13 +57,21 @@ COORDINATES = BANDS * ROWS
 AGREE = 82
 #: Values of shingles handled at once, to stay within a processor's cache.
 BLOCK = 1 << 16
-#: Star rounds before the remaining cross pairs are verified one by one.
-STAR_ROUNDS = 4
+#: Star rounds before the remaining pairs across components are sought.
+STAR_ROUNDS = 1
+#: Coordinates of the finer digests, and how many must agree: 832 expected at 0.75, less 4.5 deviations of 12.5.
+FINE_COORDINATES, FINE_AGREE = 1024, 776
+#: Members of a bucket that are compared in one piece.
+BLOCK_MEMBERS = 1000
 
 SIGNED = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
      T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
 )
+FINE = T.StructType(
+    [T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("wide", T.BinaryType()),
+     T.StructField("text", T.StringType())]
+)
 LINKED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 U64 = np.uint64
@@ -101,9 +110,9 @@ def rank(x: np.ndarray, spare: np.ndarray) -> None:
     np.bitwise_xor(x, spare, out=x)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of COORDINATES minima for each non-empty set."""
-    out = np.empty((len(sets), COORDINATES), np.uint32)
+def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
+    """One row of ``coordinates`` minima for each non-empty set."""
+    out = np.empty((len(sets), coordinates), np.uint32)
     i = 0
     while i < len(sets):
         j, size = i, 0
@@ -114,7 +123,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         scrambled = (np.concatenate(sets[i:j]) * U64(0xFF51AFD7ED558CCD) >> U64(32)).astype(np.uint32)
         starts = np.cumsum([0, *map(len, sets[i : j - 1])])
         ranked, spare = np.empty_like(scrambled), np.empty_like(scrambled)
-        for k in range(COORDINATES):
+        for k in range(coordinates):
             np.add(scrambled, np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF), out=ranked)  # the circular shift
             rank(ranked, spare)
             out[i:j, k] = np.minimum.reduceat(ranked, starts)
@@ -130,8 +139,8 @@ def banded(minima: np.ndarray) -> np.ndarray:
 
 
 def digested(minima: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate: four 64-bit values, 32 coordinates in each."""
-    bits = ((minima ^ minima >> np.uint32(13)) & np.uint32(3)).astype(U64).reshape(len(minima), COORDINATES // 32, 32)
+    """Two bits of each coordinate, 32 coordinates in a 64-bit value."""
+    bits = ((minima ^ minima >> np.uint32(13)) & np.uint32(3)).astype(U64).reshape(len(minima), minima.shape[1] // 32, 32)
     return np.bitwise_or.reduce(bits << (U64(2) * np.arange(32, dtype=U64)), axis=2).view(np.int64)
 
 
@@ -184,14 +193,12 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 if y is not last[0]:
                     last = (y, shingles(y))
-                s, t = shingles(x), last[1]
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if shared and 100 * shared >= PERCENT * (len(s) + len(t) - shared):
+                if jaccard_linked(shingles(x), last[1]):
                     found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=LINKED.names)
 
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = only_ids(docs, "doc_id", ids, ids.count())
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(run, LINKED)
@@ -214,21 +221,105 @@ def star_pairs(members: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
     return near.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
 
 
-def cross_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Every plausible pair of members of a bucket that lie in different components.
+def fine(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, n, bands, wide, text) of the given ``rep`` ids: band keys and two-bit digests of FINE_COORDINATES minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sets = [shingles(t) for t in batch.column(1).to_pylist()]
+                kept = pa.array([len(s) > 0 for s in sets], pa.bool_())
+                sets = [s for s in sets if len(s)]
+                minima = signatures(sets, FINE_COORDINATES)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).filter(kept), pa.array(map(len, sets), pa.int64()),
+                     pa.array([r.tobytes() for r in banded(minima[:, :COORDINATES])], pa.binary()),
+                     pa.array([r.tobytes() for r in digested(minima)], pa.binary()), batch.column(1).filter(kept)],
+                    names=FINE.names,
+                )
+
+    ids = cut(reps.select(F.col("rep").alias("doc_id")).distinct())
+    return only_ids(docs, "doc_id", ids, ids.count()).select("doc_id", "text").mapInArrow(run, FINE)
+
+
+def jaccard_linked(s: np.ndarray, t: np.ndarray) -> bool:
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return shared > 0 and 100 * shared >= PERCENT * (len(s) + len(t) - shared)
+
+
+def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, of each pair of blocks (rows in order of band, i, j).
 
-    At least one of such a pair is outside the bucket's most frequent label, so
-    only those are joined with the bucket.
+    Pairs that pass the digest test are verified on their full sets, the most
+    alike first; a pair whose components the block has joined already needs no
+    test.  A pair that shares several bands is seen in the first of them alone.
     """
-    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    full = members.join(reps, "rep")
-    outside = full.join(main, "band").where(F.col("label") != F.col("main"))
-    x = outside.select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), "main")
-    y = full.select(F.col("band").alias("band_b"), F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    once = (F.col("label_b") == F.col("main")) | (F.col("a") < F.col("b"))  # two members outside meet twice
-    met = x.join(y, (F.col("band") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & once & plausible("a", "b"))
-    return met.select("a", "b").distinct()
+    held: dict[str, list] = {}
+    at: tuple | None = None
+
+    def links() -> list[tuple[int, int]]:
+        rep, label, n, block = (np.array(held[c]) for c in ("rep", "label", "n", "block"))
+        if len(rep) < 2 or (label == label[0]).all():
+            return []
+        bands = np.frombuffer(b"".join(held["bands"]), np.int64).reshape(len(rep), BANDS)
+        wide = np.frombuffer(b"".join(held["wide"]), U64).reshape(len(rep), -1)
+        label = label.copy()
+        sets: dict[int, np.ndarray] = {}
+        found = []
+        for x in range(len(rep)):
+            # Within one block each pair once; between two blocks the first block's rows against the second's.
+            other = (rep > rep[x]) if at[1] == at[2] else (block != block[x]) & (block[x] == at[1])
+            y = np.flatnonzero(other & (label != label[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * PERCENT))
+            odd = wide[y] ^ wide[x]
+            agree = FINE_COORDINATES - np.bitwise_count((odd | odd >> U64(1)) & U64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            y, agree = y[agree >= FINE_AGREE], agree[agree >= FINE_AGREE]
+            same = bands[y] == bands[x]
+            first = bands[x][same.argmax(axis=1)] == at[0]
+            for k in y[first][np.argsort(-agree[first], kind="stable")].tolist():
+                if label[k] == label[x]:
+                    continue
+                for m in (x, k):
+                    if m not in sets:
+                        sets[m] = shingles(held["text"][m])
+                if jaccard_linked(sets[x], sets[k]):
+                    found.append((int(rep[x]), int(rep[k])))
+                    label[label == label[k]] = label[x]
+        return found
+
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        for row in zip(*columns.values(), strict=True):
+            r = dict(zip(columns, row, strict=True))
+            if (r["band"], r["i"], r["j"]) != at:
+                if at:
+                    out += links()
+                at, held = (r["band"], r["i"], r["j"]), {c: [] for c in columns}
+            for c, v in r.items():
+                held[c].append(v)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=LINKED.names)
+    if at and (out := links()):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=LINKED.names)
+
+
+def cross_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of members of a bucket; every pair across components is considered.
+
+    Members of a bucket are dealt to blocks of BLOCK_MEMBERS, and each pair of
+    blocks is compared by itself, so a large bucket is spread over many tasks.
+    Only links that join something leave a task.
+    """
+    counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = (
+        members.join(fine(members, docs), "rep")
+        .join(counts, "band")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .select("band", "rep", "label", "n", "bands", "wide", "text", "block", F.inline(blocks))
+    )
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(within, LINKED)
 
 
 def classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -244,29 +335,20 @@ def classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
     shared = banded_reps.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(F.col("lo") != F.col("hi"))
     members = cut(banded_reps.join(shared.select("band"), "band").distinct())
     reps = cut(reps.join(members.select("rep").distinct(), "rep", "left_semi"))
-    edges = labels = tested = None
-    open_members, stars = members.withColumn("label", F.col("rep")), True
-    for turn in itertools.count():
-        stars = stars and turn < STAR_ROUNDS
-        pairs = star_pairs(open_members, reps, turn) if stars else cross_pairs(open_members, reps)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        linked = cut(verify(pairs, docs)) if pairs.limit(1).count() else None
-        any_linked = linked is not None and linked.limit(1).count() > 0
-        if any_linked:
+    edges = labels = None
+    open_members = members.withColumn("label", F.col("rep"))
+    for turn in range(STAR_ROUNDS + 1):
+        if turn < STAR_ROUNDS:
+            linked = cut(verify(cut(star_pairs(open_members, reps, turn)), docs))
+        else:
+            linked = cut(cross_links(open_members, docs))
+        if linked.limit(1).count():
             edges = linked if edges is None else edges.union(linked)
             labels = components(edges)
-        if not stars:
-            break
-        if any_linked:
             joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             labelled = joined.select("rep", "band", F.coalesce("label", "rep").alias("label"))
             spread = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
-            open_members = cut(labelled.join(spread.select("band"), "band"))
-            if not open_members.limit(1).count():
-                break
-        else:
-            stars = False  # no centre links anything more: the other pairs come next
-        tested = pairs if tested is None else tested.union(pairs)
+            open_members = labelled.join(spread.select("band"), "band")
     out = folded.select("digest", "rep")
     if labels is None:
         return out.select("digest", F.col("rep").alias("component"))
