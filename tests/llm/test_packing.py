@@ -22,9 +22,9 @@ def ids_of(tokenizer, text):
 
 def test_word_ids_equal_the_tokenizer_on_odd_texts(tokenizer):
     rng = random.Random(3)
-    alphabet = list("ab'sT1é٣日 \t\n\r\x0b\x1c\x85\xa0 　.,!_-😀́") + ["'s", "'ll", "  ", "\n\n", "<|endoftext|>"]
+    alphabet = list("ab'sT1é٣日 \t\n\r\x0b\x1c\x85\xa0 　.,!_-😀́") + ["'s", "'ll", "  ", "\n\n", "<|endoftext|>", " word", " word.,", "\nWord", "é,", "ɐ.", " don't.", "!'s", "Ġ", "\x00"]
     words = packing.WordIds(PATH)
-    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(4000)] + ["x" * 5000 + " y"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(8000)] + ["x" * 5000 + " y"]
     for text, ids in zip(texts, words.of(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)[:-1], repr(text)
 
