@@ -30,7 +30,7 @@ import os
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +46,7 @@ END_ID = 2
 #: Pieces in a (length, salt) group, on average.
 RANK_GROUP = 20_000
 #: Words whose ids a task remembers at once; it starts afresh beyond.
-REMEMBERED_WORDS = 700_000
+REMEMBERED_WORDS = 800_000
 
 PIECE = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -59,31 +59,110 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PARTS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+class Known(dict):
+    """Ids of words.  A word asked for in vain gets an empty place, to be filled by ``WordIds.learn``."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytearray:
+        self[word] = self.new[word] = place = bytearray()
+        return place
+
+
 class WordIds:
-    """Token ids (little-endian unsigned 32-bit) of texts, by parts that a task meets again and again."""
+    """Token ids (little-endian unsigned 32-bit) of texts, by words that a task meets again and again.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    A byte-level tokenizer splits a text into parts that share no token.  Most
+    texts have single spaces and line feeds between words only; their words are
+    looked up in ``spaced``, where each stands for itself and the space before
+    it (or the line feed that it begins with).  Other texts are cut by ``PARTS``.
+    """
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer, by_line = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        # Lines of byte characters that are one part each need no further split; the line feeds between them are no tokens.
+        by_line.pre_tokenizer = pre_tokenizers.Split("\n", "isolated")
+        self.encode_lines = by_line.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # one character for each byte
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.characters = [(chr(b), chr(256 + k)) for k, b in enumerate(hidden) if b != 10]
+        self.line_feed = array("I", self.encode(["\n"], add_special_tokens=False)[0].ids).tobytes()
+        self.spaced, self.plain = Known(), Known()
+
+    def by_lines(self, words: list[str], encode: Callable, joined: str, gap: int) -> dict[str, bytes]:
+        """Ids of words that ``joined`` has on a line each; ``gap`` tokens of a byte stand for each line feed."""
+        ids = np.array(encode([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(w.encode()) + gap for w in words]) - gap
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right").tolist()
+        data = ids.tobytes()
+        return {w: data[4 * i : 4 * j] for w, i, j in zip(words, [0, *(e + gap for e in ends)], ends, strict=False)}
+
+    def encoded(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Ids of parts of texts."""
+        stems: dict[str, str] = {}  # a word of letters, perhaps with a space before it; full stops and commas are parts by themselves
+        other, odd = [], []
+        for p in parts:
+            stem = p.rstrip(".,")
+            letters = stem[1:] if stem[:1] == " " else stem
+            if letters.isalpha() and max(letters) < "\u0250":
+                stems[p] = stem
+            elif p.isspace() or "\n" in p or "<|endoftext|>" in p:
+                odd.append(p)
+            else:
+                other.append(p)
+        other += {p[len(stem) :] for p, stem in stems.items()} - {""}
+        out = {p: array("I", e.ids).tobytes() for p, e in zip(odd, self.encode(odd, add_special_tokens=False), strict=True)}
+        if other:
+            out |= self.by_lines(other, self.encode, "\n".join(other), 1)
+        if stems:
+            words = list(set(stems.values()))
+            shown = "\n".join(words).encode().decode("latin-1")
+            for byte, character in self.characters:
+                shown = shown.replace(byte, character)
+            ids = self.by_lines(words, self.encode_lines, shown, 0)
+            out |= {p: ids[stem] + out[p[len(stem) :]] if len(stem) < len(p) else ids[stem] for p, stem in stems.items()}
+        return out
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+    def learn(self) -> None:
+        """Fill the places of new words."""
+        spaced, plain = self.spaced.new, self.plain.new
+        begun = {w: w[1:] for w in spaced if w[0] == "\n"}
+        ids = self.encoded({*plain, *begun.values(), *(f" {w}" for w in spaced if w[0] != "\n")})
+        for w, place in plain.items():
+            place += ids[w]
+        for w, place in spaced.items():
+            place += self.line_feed + ids[begun[w]] if w in begun else ids[f" {w}"]
+        for known in (self.spaced, self.plain):
+            for w in known.new:
+                if len(w) > 64:  # long words don't come again
+                    del known[w]
+            known.new = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        # The special token's string would be lost in the split into parts, and very long parts needn't be remembered.
-        parts = [[t] if "<|endoftext|>" in t else PARTS.findall(t) for t in texts]
-        new = list({p for ps in parts for p in ps if p not in self.known})
-        known = self.known
-        known.update(zip(new, self.encoded(new), strict=True))
-        out = [b"".join(map(known.__getitem__, ps)) for ps in parts]
-        for p in new:
-            if len(p) > 64:
-                del known[p]
-        return out
+        if len(self.spaced) + len(self.plain) > REMEMBERED_WORDS:
+            self.spaced.clear()
+            self.plain.clear()
+        places = []
+        for t in texts:
+            if "<|endoftext|>" in t:  # the special token's string would be lost in words
+                places.append([self.plain[t]])
+            elif t and " ".join(t.split()) == t.replace("\n", " "):
+                words = t.replace("\n", " \n").split(" ")
+                found = list(map(self.spaced.__getitem__, words[1:]))
+                found.insert(0, self.plain[words[0]])
+                places.append(found)
+            else:
+                places.append(list(map(self.plain.__getitem__, PARTS.findall(t))))
+        self.learn()
+        return [b"".join(found) for found in places]
 
 
 @lru_cache(1)
