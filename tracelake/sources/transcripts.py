@@ -108,8 +108,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     """Lines that aren't blank with their record ``v``, and ``level`` and ``reason`` where one is refused."""
     spark = lines.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts
-    rows = lines.withColumn("_trimmed", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).where(F.col("_trimmed") != "")
-    rows = rows.select("file_path", "ordinal", "_trimmed", F.try_parse_json("_trimmed").alias("v"))
+    rows = lines.withColumn("_trimmed", F.regexp_replace("value", r"^\s+|\s+$", "")).where(F.col("_trimmed") != "")
+    rows = rows.select("file_path", "ordinal", "_trimmed", F.is_valid_utf8("value").alias("_valid"), F.try_parse_json("_trimmed").alias("v"))
     level = reason = F.lit(None).cast("string")
     for name, path, allowed in reversed(LEVELS):
         keys = F.json_object_keys(F.col("_trimmed") if path == "$" else F.get_json_object("_trimmed", path))
@@ -119,8 +119,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     odd = ~is_object(F.col("v"))
     level = F.when(F.col("v").isNull(), "decode").when(odd, "top-level").otherwise(level)
     reason = F.when(F.col("v").isNull(), "not JSON").when(odd, "unknown field <non-object>").otherwise(reason)
-    invalid = ~F.is_valid_utf8("_trimmed")
-    return rows.withColumns({"level": F.when(invalid, "encoding").otherwise(level), "reason": F.when(invalid, "not UTF-8").otherwise(reason)}).drop("_trimmed")
+    refused = {"level": F.when(F.col("_valid"), level).otherwise("encoding"), "reason": F.when(F.col("_valid"), reason).otherwise("not UTF-8")}
+    return rows.withColumns(refused).drop("_trimmed", "_valid")
 
 
 def ingest_errors(records: DataFrame) -> DataFrame:
