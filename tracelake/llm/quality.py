@@ -14,7 +14,7 @@ it differ in grade (the logarithm of the ratio of its shares, at the grade where
 that is largest); places in fewer than ``LEAST`` rated documents count nothing.
 Fitting takes a bounded, hashed sample of ``MAX_RATED`` rated rows: their
 sparse features are made by Spark tasks and the likelihood is maximised on the
-driver (full-batch Adam); thresholds stay ordered since only the first and the
+driver, from at most ``MAX_RATED`` sparse rows (full-batch Adam); thresholds stay ordered since only the first and the
 logarithms of the steps between them are free.
 
 Defined cases: a null or wordless text has no word features; a rating row that
@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 DIMENSIONS = 1 << 16
 SHAPE = 6
 #: Bound of the sample of rated rows that the model is fitted on.
-MAX_RATED = 20_000
-ROUNDS, RATE, PENALTY = 300, 0.05, 1e-3
+MAX_RATED = 12_000
+ROUNDS, RATE, PENALTY = 200, 0.05, 1e-3
 #: How much the features of the shape count in the fit, next to words.
 SHAPE_STRENGTH = 10
 #: Rated documents that a word must be in.
@@ -217,8 +217,14 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled documents, score all."""
-    graded = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
-    rated = docs.select("doc_id", "text").join(graded, "doc_id")
-    model, _ = learn(rated)
+    """Fit on labelled documents, score all.
+
+    Labels are sampled before they meet texts, so the join broadcasts MAX_RATED
+    of them at most, nearly, and shuffles no text.
+    """
+    graded = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("doc_id is not null and grade is not null")
+    n = graded.count()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = graded.where(draw < MAX_RATED / n) if n > MAX_RATED else graded
+    model, _ = learn(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     return score(docs, model, at_least=2)
