@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,12 +92,17 @@ def flag(v: Column, path: str) -> Column:
     return F.when(kind(at(v, path)) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
 
 
+def starts(v: Column, sign: str) -> Column:
+    """Whether a value's JSON text starts so: the cheap test of an object or array, whose schema needn't be built."""
+    return F.coalesce(F.to_json(v).startswith(sign), F.lit(False))
+
+
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+    return starts(v, "{")
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("ARRAY"), F.lit(False))
+    return starts(v, "[")
 
 
 def json(v: Column) -> Column:
@@ -110,17 +116,22 @@ def parsed(lines: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts
     rows = lines.withColumn("_trimmed", F.regexp_replace("value", r"^\s+|\s+$", "")).where(F.col("_trimmed") != "")
     rows = rows.select("file_path", "ordinal", "_trimmed", F.is_valid_utf8("value").alias("_valid"), F.try_parse_json("_trimmed").alias("v"))
-    level = reason = F.lit(None).cast("string")
-    for name, path, allowed in reversed(LEVELS):
-        keys = F.json_object_keys(F.col("_trimmed") if path == "$" else F.get_json_object("_trimmed", path))
-        unknown = F.array_min(F.array_except(keys, F.array(*map(F.lit, allowed))))
-        here = unknown.isNotNull() & is_object(F.col("v") if path == "$" else at(F.col("v"), path))
-        level, reason = F.when(here, name).otherwise(level), F.when(here, F.concat(F.lit("unknown field "), unknown)).otherwise(reason)
-    odd = ~is_object(F.col("v"))
-    level = F.when(F.col("v").isNull(), "decode").when(odd, "top-level").otherwise(level)
-    reason = F.when(F.col("v").isNull(), "not JSON").when(odd, "unknown field <non-object>").otherwise(reason)
-    refused = {"level": F.when(F.col("_valid"), level).otherwise("encoding"), "reason": F.when(F.col("_valid"), reason).otherwise("not UTF-8")}
-    return rows.withColumns(refused).drop("_trimmed", "_valid")
+    keys = {path: F.json_object_keys(F.col("_trimmed") if path == "$" else F.get_json_object("_trimmed", path)) for _, path, _ in LEVELS}
+    rows = rows.withColumns({f"_keys{i}": keys[path] for i, (_, path, _) in enumerate(LEVELS)})  # NULL where there is no object
+    found = []
+    for i, (name, _, allowed) in enumerate(LEVELS):
+        unknown = F.array_min(F.array_except(f"_keys{i}", F.array(*map(F.lit, allowed))))
+        found.append(F.when(unknown.isNotNull(), F.struct(F.lit(name).alias("level"), F.concat(F.lit("unknown field "), unknown).alias("reason"))))
+    fault = lambda level, reason: F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason"))
+    first = (
+        F.when(~F.col("_valid"), fault("encoding", "not UTF-8")).when(F.col("v").isNull(), fault("decode", "not JSON"))
+        .when(F.col("_keys0").isNull(), fault("top-level", "unknown field <non-object>")).otherwise(F.coalesce(*found))
+    )
+    rows = rows.withColumn("_fault", first)
+    return rows.select(
+        "file_path", "ordinal", "v", F.col("_fault.level").alias("level"), F.col("_fault.reason").alias("reason"),
+        F.col("_keys1").isNotNull().alias("has_message"), F.col("_keys2").isNotNull().alias("has_usage"),
+    )
 
 
 def ingest_errors(records: DataFrame) -> DataFrame:
@@ -148,25 +159,32 @@ def flat_text(v: Column, depth: int = 2) -> Column:
 
 
 def messages(records: DataFrame) -> DataFrame:
-    """Normalised messages of accepted records, with ``v`` and the content's ``blocks`` for derivation."""
+    """Normalised messages of accepted records."""
+    return normalised(records).where(F.col("level").isNull())
+
+
+def normalised(records: DataFrame) -> DataFrame:
+    """Records as messages, with what derivation needs of them (``blocks``, ``read_file``); refused ones keep ``level`` and ``reason``."""
     v = F.col("v")
-    content = F.coalesce(F.when(is_object(at(v, "$.message")), at(v, "$.message.content")), at(v, "$.content"))
-    usage = lambda name: F.when(is_object(at(v, "$.message.usage")), whole(v, f"$.message.usage.{name}"))
-    rows = records.where(F.col("level").isNull()).withColumn("_c", content)
-    c = F.col("_c")
-    wrapped = F.when(kind(c) == "STRING", F.to_json(F.struct(F.try_variant_get(c, "$", "string").alias("text")))).when(is_array(c), F.concat(F.lit('{"blocks":'), F.to_json(c), F.lit("}"))).otherwise(json(c))
-    blocks = F.when(is_array(c), F.try_variant_get(c, "$", "array<variant>")).when(is_object(c) & is_array(at(c, "$.blocks")), F.try_variant_get(c, "$.blocks", "array<variant>"))
+    content = F.coalesce(F.when(F.col("has_message"), at(v, "$.message.content")), at(v, "$.content"))
+    usage = lambda name: F.when(F.col("has_usage"), whole(v, f"$.message.usage.{name}"))
+    rows = records.withColumn("_c", content).withColumn("_json", F.to_json("_c"))
+    c, form = F.col("_c"), F.substring("_json", 1, 1)
+    wrapped = F.when(form == '"', F.concat(F.lit('{"text":'), "_json", F.lit("}"))).when(form == "[", F.concat(F.lit('{"blocks":'), "_json", F.lit("}"))).otherwise(F.coalesce("_json", F.lit("null")))
+    blocks = F.when(form == "[", F.try_variant_get(c, "$", "array<variant>")).when(form == "{", F.try_variant_get(c, "$.blocks", "array<variant>"))
+    plain = F.when(form == '"', F.try_variant_get(c, "$", "string")).when(form == "{", F.coalesce(text(c, "$.text"), "_json")).when(form == "[", wrapped)
+    searched = plain.otherwise(F.when(F.coalesce("_json", F.lit("null")) == "null", "").otherwise(F.col("_json")))
     stamp = instant(text(v, "$.timestamp"))
     return rows.select(
-        "file_path", "ordinal", text(v, "$.uuid").alias("uuid"), text(v, "$.parentUuid").alias("parent_uuid"), text(v, "$.message.id").alias("message_id"),
+        "file_path", "ordinal", "level", "reason", text(v, "$.uuid").alias("uuid"), text(v, "$.parentUuid").alias("parent_uuid"), text(v, "$.message.id").alias("message_id"),
         record_type(text(v, "$.type")).alias("record_type"), text(v, "$.message.role").alias("role"), wrapped.alias("content"),
-        F.when(is_array(c), wrapped).otherwise(flat_leaf(c)).alias("search_text"), F.to_json(v).alias("raw_payload"), stamp.alias("stamp"), rfc3339(stamp).alias("timestamp"),
+        searched.alias("search_text"), F.to_json(v).alias("raw_payload"), stamp.alias("stamp"), rfc3339(stamp).alias("timestamp"),
         F.coalesce(flag(v, "$.isSidechain"), F.lit(False)).alias("is_sidechain"), text(v, "$.agentId").alias("agent_id"),
         F.coalesce(text(v, "$.toolUseID"), text(v, "$.toolUseId")).alias("tool_use_id"), F.coalesce(text(v, "$.parentToolUseID"), text(v, "$.parentToolUseId")).alias("parent_tool_use_id"),
         usage("input_tokens").alias("input_tokens"), usage("output_tokens").alias("output_tokens"), usage("cache_read_input_tokens").alias("cache_read_input_tokens"),
         usage("cache_creation_input_tokens").alias("cache_creation_input_tokens"), text(v, "$.message.model").alias("model"),
         text(v, "$.sessionId").alias("record_session_id"), text(v, "$.slug").alias("slug"), text(v, "$.cwd").alias("cwd"), text(v, "$.gitBranch").alias("git_branch"), text(v, "$.version").alias("version"),
-        F.filter(blocks, is_object).alias("blocks"), at(v, "$.toolUseResult.file").alias("read_file"),
+        blocks.alias("blocks"), at(v, "$.toolUseResult.file").alias("read_file"),
     )
 
 
@@ -235,47 +253,51 @@ def input_summary(v: Column) -> Column:
     return F.when(is_object(v) & (F.size(kept) > 0), truncated(F.array_join(kept, ", "), 200))
 
 
-def tool_parts(msgs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uses, results) by session and tool id; of several the last by place counts."""
+def tool_parts(msgs: DataFrame) -> DataFrame:
+    """(file_path, tool_use_id, u, r): the call and the result of each id; of several the last by place counts.
+
+    Calls and results meet in one aggregation, which is their full outer join.
+    """
     scope = F.when(is_subagent_path(F.col("file_path")), F.concat(F.lit("subagent:"), F.coalesce("agent_id", F.regexp_replace(stem(F.col("file_path")), "^agent-", "")))).otherwise("main")
-    blocks = msgs.select("session_id", "ordinal", "stamp", "agent_id", scope.alias("scope"), "read_file", F.posexplode("blocks").alias("pos", "b"))
-    blocks = blocks.withColumn("_type", text(F.col("b"), "$.type"))
-    place = F.struct("ordinal", "pos")
-    use_id, result_id = text(F.col("b"), "$.id"), text(F.col("b"), "$.tool_use_id")
-    uses = blocks.where((F.col("_type") == "tool_use") & use_id.isNotNull()).groupBy("session_id", use_id.alias("tool_use_id")).agg(
-        F.max_by(F.struct("ordinal", "stamp", F.col("agent_id").alias("agent"), "scope", text(F.col("b"), "$.name").alias("name"), F.to_json(at(F.col("b"), "$.input")).alias("input")), place).alias("u")
-    )
-    error = F.coalesce(flag(F.col("b"), "$.is_error"), F.lit(False))
-    body = at(F.col("b"), "$.content")
-    results = blocks.where((F.col("_type") == "tool_result") & result_id.isNotNull()).groupBy("session_id", result_id.alias("tool_use_id")).agg(
-        F.max_by(
-            F.struct(
-                "ordinal", "stamp", error.alias("error"), F.when(error, truncated(flat_text(body), 2000)).alias("error_content"), F.octet_length(json(body)).cast("long").alias("size"),
-                whole(F.col("read_file"), "$.totalLines").alias("total"), whole(F.col("read_file"), "$.numLines").alias("lines"), flag(F.col("read_file"), "$.truncatedByTokenCap").alias("cut"),
-            ), place,
-        ).alias("r")
+    blocks = msgs.select("file_path", "ordinal", "stamp", "agent_id", scope.alias("scope"), "read_file", F.posexplode("blocks").alias("pos", "b"))
+    b = F.col("b")
+    blocks = blocks.withColumn("_type", text(b, "$.type")).where(F.col("_type").isin("tool_use", "tool_result"))
+    is_use, is_result = F.col("_type") == "tool_use", F.col("_type") == "tool_result"
+    error, body = F.coalesce(flag(b, "$.is_error"), F.lit(False)), at(b, "$.content")
+    use = F.struct("ordinal", "stamp", F.col("agent_id").alias("agent"), "scope", text(b, "$.name").alias("name"), F.to_json(at(b, "$.input")).alias("input"))
+    result = F.struct(
+        "ordinal", "stamp", error.alias("error"), F.when(error, truncated(flat_text(body), 2000)).alias("error_content"), F.octet_length(json(body)).cast("long").alias("size"),
+        whole(F.col("read_file"), "$.totalLines").alias("total"), whole(F.col("read_file"), "$.numLines").alias("lines"), flag(F.col("read_file"), "$.truncatedByTokenCap").alias("cut"),
     )
-    return uses, results
+    rows = blocks.select(
+        "file_path", F.when(is_use, text(b, "$.id")).otherwise(text(b, "$.tool_use_id")).alias("tool_use_id"), F.struct("ordinal", "pos").alias("place"),
+        F.when(is_use, use).alias("u"), F.when(is_result, result).alias("r"),
+    ).where(F.col("tool_use_id").isNotNull())
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
+    return rows.groupBy("file_path", "tool_use_id").agg(last("u"), last("r"))
 
 
 def derived_runs(msgs: DataFrame, session_rows: DataFrame) -> DataFrame:
     """Tool runs: each call with its result, calls without one (ongoing), results without a call (orphan)."""
-    uses, results = tool_parts(msgs)
-    both = uses.join(results, ["session_id", "tool_use_id"], "full_outer").withColumn("i", F.try_parse_json("u.input"))
+    both = tool_parts(msgs).withColumn("i", F.try_parse_json("u.input"))
     used, told, i = F.col("u").isNotNull(), F.col("r").isNotNull(), F.col("i")
-    command = truncated(text(i, "$.command"), 500)
-    rows = both.withColumn("command", command)
+    rows = both.withColumn("command", truncated(text(i, "$.command"), 500))
     words = tokens(F.col("command"))
-    paths = F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(text(i, "$.file_path"), text(i, "$.path"))), F.coalesce(command_paths(F.col("command")), F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+    named = F.array_compact(F.array(text(i, "$.file_path"), text(i, "$.path")))
+    paths = F.array_sort(F.array_distinct(F.concat(named, F.coalesce(command_paths(F.col("command")), none))))
     status = F.when(~used, "orphan").when(~told, "ongoing").when(F.col("r.error"), "error").otherwise("completed")
     read = lambda c: F.when(used, F.col(f"r.{c}"))
-    facts = session_rows.select(F.col("id").alias("session_id"), "external_session_id", "parent_session_id", "is_subagent", F.col("agent_id").alias("_agent"), "project_alias", "cwd")
-    return rows.join(facts, "session_id").select(
+    facts = session_rows.select(
+        F.col("transcript_path").alias("file_path"), F.col("id").alias("session_id"), "external_session_id", "parent_session_id", "is_subagent",
+        F.col("agent_id").alias("_agent"), "project_alias", "cwd",
+    )
+    return rows.join(facts, "file_path").select(
         "tool_use_id", "session_id", "external_session_id", "parent_session_id", "is_subagent", F.coalesce("u.agent", "_agent").alias("agent_id"),
         F.coalesce("u.name", F.lit("Unknown")).alias("tool_name"), "command", F.try_element_at(words, F.lit(1)).alias("command_program"),
-        F.coalesce(F.slice(words, 2, 2**31 - 1), F.array().cast("array<string>")).alias("command_args"), command_fingerprint(F.col("command")).alias("command_fingerprint"),
+        F.coalesce(F.slice(words, 2, 2**31 - 1), none).alias("command_args"), command_fingerprint(F.col("command")).alias("command_fingerprint"),
         input_summary(i).alias("input_summary"), F.when(used, F.octet_length(F.coalesce("u.input", F.lit("null"))).cast("long")).alias("input_size"), F.col("r.size").alias("output_size"),
-        F.coalesce(paths, F.array().cast("array<string>")).alias("file_paths"), status.alias("status"), rfc3339(F.col("u.stamp")).alias("started_at"), rfc3339(F.col("r.stamp")).alias("finished_at"),
+        F.coalesce(paths, none).alias("file_paths"), status.alias("status"), rfc3339(F.col("u.stamp")).alias("started_at"), rfc3339(F.col("r.stamp")).alias("finished_at"),
         F.when(used & told, millis_between(F.col("u.stamp"), F.col("r.stamp"))).alias("duration_ms"), F.col("u.ordinal").alias("start_ordinal"), F.col("r.ordinal").alias("end_ordinal"),
         F.col("u.scope").alias("source_scope"), F.col("r.error_content").alias("error_content"), "project_alias", last_component(F.col("cwd")).alias("worktree_name"), F.col("cwd").alias("canonical_cwd"),
         read("total").alias("read_total_lines"), read("lines").alias("read_lines"), read("cut").alias("read_truncated"),
@@ -290,24 +312,30 @@ class Loaded:
     messages: DataFrame
     runs: DataFrame
     errors: DataFrame
+    records: DataFrame
+
+    def close(self) -> None:
+        self.records.unpersist()
 
 
 class BadTranscripts(ValueError):
     """Raised on request when a file is refused."""
 
 
-def load(lines: DataFrame, projects: DataFrame | None = None, link_subagents: bool = True, fail_fast: bool = False) -> Loaded:
-    """Sessions, messages and runs of transcript lines (file_path, ordinal, value)."""
-    records = parsed(lines)
+def load(lines: DataFrame, projects: DataFrame | None = None, link_subagents: bool = True, fail_fast: bool = False, persist: bool = True) -> Loaded:
+    """Sessions, messages and runs of transcript lines (file_path, ordinal, value).
+
+    Records are parsed once: the normalised ones are persisted (to memory and
+    disk, recomputed where an executor is lost) until ``Loaded.close``.
+    """
+    records = normalised(parsed(lines))
+    if persist:
+        records = records.persist(StorageLevel.MEMORY_AND_DISK)
     errors = ingest_errors(records)
     if fail_fast and (first := errors.orderBy("file_path", "ordinal").first()):
         raise BadTranscripts(f"{first['file_path']}:{first['ordinal'] + 1}: {first['level']}: {first['reason']}")
-    good = records.join(errors.select("file_path").distinct(), "file_path", "left_anti")
-    msgs = messages(good)
+    msgs = records.join(errors.select("file_path").distinct(), "file_path", "left_anti")
     session_rows = sessions(msgs, projects, link_subagents)
     named = session_rows.select(F.col("id").alias("session_id"), F.col("transcript_path").alias("file_path"))
-    msgs = msgs.join(named, "file_path")
     stored = [c.split()[0] for c in schemas.MESSAGES.replace("\n", " ").split(",") if c.strip()]
-    return Loaded(session_rows, msgs.select(*stored), derived_runs(msgs, session_rows), errors)
-
-
+    return Loaded(session_rows, msgs.join(named, "file_path").select(*stored), derived_runs(msgs, session_rows), errors, records)
