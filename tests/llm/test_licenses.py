@@ -36,3 +36,10 @@ def test_whole_texts_only_of_several_blocks_match_alone(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_known_text_has_a_stem(spark):
+    texts = [(t,) for several in license_texts.KNOWN.values() for t in several]
+    frame = spark.createDataFrame(texts, "text string")
+    form = licenses.joined(licenses.canonical(frame["text"]))
+    assert frame.where(~licenses.may_match(form)).count() == 0

@@ -15,6 +15,8 @@ leave the empty form, which matches nothing; repeated rows and rows without
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,6 @@ from .license_texts import KNOWN
 #: Spellings that mean the same (fixed values): pattern and replacement, on lower-case words with single spaces.
 EQUIVALENT = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub license", "sublicense"),
     ("non commercial", "noncommercial"),
     ("merchantibility", "merchantability"),
@@ -39,21 +40,31 @@ EQUIVALENT = (
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*$"
 RESERVED = r"all rights reserved"
 OTHER = r"[^\p{L}\p{N}\n]+"
+#: Every known text has at least one of these in its canonical form, so blocks and lines without any can't match.
+STEMS = ("licen", "released", "distributed", "software")
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form with the line feeds left in it; each line may have spaces around it."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
+    """Canonical form with the line feeds left in it; only the first and last line may have a space outside."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    noticed = out.contains("copyright") | out.contains("(c)") | out.contains("©")
+    out = F.when(noticed, F.regexp_replace(out, COPYRIGHT, "")).otherwise(out)
     out = F.replace(out, F.lit(RESERVED), F.lit(""))
     out = F.regexp_replace(out, OTHER, " ")
-    for spelling, same in EQUIVALENT:
+    for spelling, same in (*EQUIVALENT, (" \n", "\n"), ("\n ", "\n")):
         out = F.replace(out, F.lit(spelling), F.lit(same))
     return out
 
 
 def joined(form: Column) -> Column:
     """A canonical form as one line."""
-    return F.trim(F.regexp_replace(form, "[ \n]+", " "))
+    line = F.replace(form, F.lit("\n"), F.lit(" "))
+    return F.trim(F.when(line.contains("  "), F.regexp_replace(line, " +", " ")).otherwise(line))
+
+
+def may_match(part: Column) -> Column:
+    """Whether a part holds a stem of the known texts."""
+    return reduce(lambda a, b: a | b, [part.contains(s) for s in STEMS])
 
 
 def known(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
@@ -67,13 +78,13 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, id_col: str
     """doc_id, text_digest, license (of the whole text), n_matches and licenses (of whole, blocks and lines) of each row."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), canonical(F.col(text_col)).alias("_form")
-    )
-    lines = F.transform(F.split("_form", "\n", -1), lambda p: F.trim(p))
-    blocks = F.transform(F.split("_form", "\n[ ]*\n", -1), joined)
-    parts = F.filter(F.array_distinct(F.concat(lines, blocks)), lambda p: p != "")
-    whole = F.sha2(joined(F.col("_form")), 256)
-    digests = F.array_distinct(F.concat(F.array(whole), F.transform(parts, lambda p: F.sha2(p, 256))))
-    units = rows.select("_row", "doc_id", whole.alias("text_digest"), F.explode(digests).alias("digest"))
+    ).select("_row", "doc_id", "_form", F.sha2(joined(F.col("_form")), 256).alias("text_digest"))
+    lines = F.filter(F.split("_form", "\n", -1), may_match)
+    blocks = F.filter(F.split("_form", "\n\n+", -1), may_match)
+    parts = F.transform(F.concat(lines, F.when(F.col("_form").contains("\n\n"), blocks).otherwise(F.array().cast("array<string>"))), joined)
+    found = F.when(may_match(F.col("_form")), F.transform(parts, lambda p: F.sha2(p, 256))).otherwise(F.array().cast("array<string>"))
+    digests = F.array_distinct(F.concat(F.array("text_digest"), found))
+    units = rows.select("_row", "doc_id", "text_digest", F.explode_outer(digests).alias("digest"))
     found = units.join(F.broadcast(known(docs.sparkSession, texts)), "digest", "left")
     # A row's units lie together, so they are folded before the exchange.
     return (
