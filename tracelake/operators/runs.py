@@ -103,7 +103,7 @@ def compare(runs: DataFrame, left: Iterable[str], right: Iterable[str], key: str
 
 def percentile(column: str, share: float) -> Column:
     """Nearest rank among the values there are."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})")
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})").cast("long")
 
 
 def aggregate_groups(runs: DataFrame, keys: Iterable[str] = ("tool_name",), f: RunFilters | None = None) -> DataFrame:
