@@ -20,13 +20,21 @@ def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
-def test_word_ids_equal_the_tokenizer_on_odd_texts(tokenizer):
+def test_ids_equal_the_tokenizers_library_on_odd_texts(tokenizer):
     rng = random.Random(3)
-    alphabet = list("ab'sT1é٣日 \t\n\r\x0b\x1c\x85\xa0 　.,!_-😀́") + ["'s", "'ll", "  ", "\n\n", "<|endoftext|>", " word", " word.,", "\nWord", "é,", "ɐ.", " don't.", "!'s", "Ġ", "\x00"]
-    words = packing.WordIds(PATH)
-    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(8000)] + ["x" * 5000 + " y"]
-    for text, ids in zip(texts, words.of(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)[:-1], repr(text)
+    alphabet = list("ab'sT1é٣日 \t\n\r\x0b\x1c\x85\xa0\u2003\u3000.,!_-😀\u0301") + ["'s", "'ll", "  ", "\n\n", "<|endoftext|>", " word.,", "\nWord", "ɐ.", " don't.", "!'s", "Ġ", "\x00"]
+    encoder = packing.TextIds(PATH)
+    assert encoder.fast is not None
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(12_000)] + ["x" * 5000 + " y", "", "<|endoftext|>"]
+    for text in texts:
+        assert np.frombuffer(encoder.of(text), "<u4").tolist() == ids_of(tokenizer, text)[:-1], repr(text)
+
+
+def test_other_files_are_left_to_the_tokenizers_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.TextIds(path)
+    assert encoder.fast is None
+    assert np.frombuffer(encoder.of("Some text"), "<u4").tolist() == Tokenizer.from_file(path).encode("Some text", add_special_tokens=False).ids
 
 
 def test_cuts_fill_every_piece_but_the_first():

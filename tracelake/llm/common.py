@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,18 @@ def only_ids(df: DataFrame, id_col: str, ids: DataFrame, n_ids: int) -> DataFram
     if n_ids <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, id_col, "left_semi")
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object] | None = None):
+    """What a worker process keeps from task to task under ``name``, made on first use.
+
+    A process runs tasks of many operators in turn; it keeps things for the
+    current one only, so their memory doesn't add up.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make() if make else None
+    return _held[name]
