@@ -69,6 +69,9 @@ def test_command_line(spark, tmp_path):
     assert len(runs) == 6 and {r["project_alias"] for r in runs} == {"named"}
     audit = json.loads(ask(spark, tmp_path, "transcripts", "audit", "--format", "json"))
     assert [(r["jsonl_lines"], r["imported_messages"], r["missing"]) for r in audit] == [(39, 39, 0)]
+    assert json.loads(ask(spark, tmp_path, "transcripts", "audit", "--session", "s1", "--project", "named", "--format", "json")) == audit
+    with pytest.raises(SystemExit, match="nothing stored"):
+        ask(spark, tmp_path, "transcripts", "audit", "--project", "none")
     assert "Bash" in ask(spark, tmp_path, "transcripts", "aggregate")
     reads = json.loads(ask(spark, tmp_path, "scan", "read-scores", "--file", a, "--now", "2026-02-10T13:00:00Z"))
     assert reads["totals"] == [{"file_count": 1, "total_reads": 1}]

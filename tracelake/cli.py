@@ -91,7 +91,8 @@ def parser() -> argparse.ArgumentParser:
         audit = verb("audit")
         audit.add_argument("--limit", type=int, default=20)
         if area == "transcripts":
-            audit.add_argument("--file")
+            for name in ("file", "session", "project"):
+                audit.add_argument(f"--{name}")
         failures = verb("errors")
         failures.add_argument("--top", type=int, default=20)
         failures.add_argument("--classify", action="store_true")
@@ -161,10 +162,28 @@ def analyse(args: argparse.Namespace, sessions: DataFrame, messages: DataFrame,
         scores = content.read_scores(rows, now, args.half_life_days, args.under, args.ext)
         return {"totals": content.read_totals(scores), "files": scores if args.limit is None else scores.limit(args.limit)}
     if args.verb == "audit":
-        return content.audit(lines, transcripts.messages(transcripts.parsed(lines)), sessions if args.area == "transcripts" else None).limit(args.limit)
+        stored = None
+        if args.area == "transcripts":
+            stored = sessions.join(lines.select(F.col("file_path").alias("transcript_path")).distinct(), "transcript_path", "left_semi")
+        return content.audit(lines, transcripts.messages(transcripts.parsed(lines)), stored).limit(args.limit)
     raise Failure(f"unknown verb {args.verb}")
 
 
+def audited(args: argparse.Namespace, store: Store) -> list[str]:
+    """Files to audit: one by name, one session's, a project's, or the first ones stored."""
+    if args.file:
+        return [args.file]
+    chosen = store.sessions
+    if args.session:
+        chosen = chosen.where(F.col("id") == one_session(chosen, args.session)["id"])
+    if args.project:
+        chosen = chosen.where(F.col("project_alias") == args.project)
+    found = [r["transcript_path"] for r in chosen.select("transcript_path").orderBy("transcript_path").limit(args.limit).collect()]
+    if not found:
+        raise Failure("nothing stored that matches")
+    return found
+
+
 def paths_of(args: argparse.Namespace) -> list[str]:
     return sorted({*args.file, *args.root})
 
@@ -237,10 +256,7 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> str:
         return sync(args, spark, store, cfg)
     lines = None
     if args.verb == "audit":
-        kept = [args.file] if args.file else [r["transcript_path"] for r in store.sessions.select("transcript_path").orderBy("transcript_path").limit(args.limit).collect()]
-        if not kept:
-            raise Failure("nothing stored")
-        lines = transcripts.read_lines(spark, *kept)
+        lines = transcripts.read_lines(spark, *audited(args, store))
     return render(analyse(args, store.sessions, store.messages, store.runs, lines), args.format)
 
 
