@@ -1,6 +1,9 @@
 """Every query of the catalog against its SQL in DuckDB, and the entry module."""
 
 import os
+import pathlib
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -49,3 +52,17 @@ def test_no_python_in_the_plans(spark):
     for name, make in QUERIES.items():
         plan = make(spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct")), name
+
+
+def test_the_rest_works_without_the_subpackage():
+    code = "import sys; sys.modules['tracelake.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL))]
+
+
+def test_nothing_else_imports_the_subpackage():
+    root = pathlib.Path(__spark_entry__.__file__).parent
+    for path in (root / "tracelake").rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "llm" not in path.read_text(), path
