@@ -27,7 +27,7 @@ def all_paths(model, word):
 
 
 def test_search_gives_the_best_paths_in_order(model):
-    for word in ("▁there", "▁naïve", "a😀b", "▁▁x", "ingly", "日本語"):
+    for word in (" there", " naïve", "a😀b", "  x", "ingly", "日本語"):
         want = sorted((s for s, _ in all_paths(model, word)), reverse=True)[:6]
         found = model.search(word, 6)
         assert [s for s, _ in found] == pytest.approx(want)
@@ -36,7 +36,7 @@ def test_search_gives_the_best_paths_in_order(model):
 
 def test_words_together_equal_words_alone(model):
     rng = random.Random(4)
-    words = ["".join(rng.choices("abcdehinorst▁éü.,😀", k=5)) for _ in range(300)]
+    words = ["".join(rng.choices("abcdehinorst éü.,😀", k=5)) for _ in range(300)]
     for word, got in zip(words, model.together(words, 5), strict=True):
         paths = model.search(word, 2)
         if got is None:
@@ -50,15 +50,15 @@ def test_paths_of_a_text_equal_a_search_over_its_whole_lattice(model):
     rng = random.Random(5)
     for _ in range(40):
         text = " ".join("".join(rng.choices("aeinrst\néx", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 5)))
-        whole = model.search("▁" + text.replace(" ", "▁"), 5)
-        found = model.paths(model.split([text])[0], 5)
+        whole = model.search(" " + text, 5)
+        found = model.paths(*model.split([text])[0], 5)
         assert [s for s, _ in found] == pytest.approx([s for s, _ in whole])
         assert len({ids for _, ids in found}) == len(found)
 
 
 def test_every_path_decodes_to_the_text(spark):
     other = SentencePieceProcessor(model_file=PATH)
-    texts = ["Hello world", "  two  spaces ", "tab\tnew\nline\r\n", "日本語 😀 naïve", "", None, "x" * 3000, " ", "\u0000 ", "word " * 20_000]
+    texts = ["Hello world", "  two  spaces ", "a ▁literal▁ one", "tab\tnew\nline\r\n", "日本語 😀 naïve", "", None, "x" * 3000, " ", "\u0000 ", "word " * 20_000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "no id", "x")], "doc_id long, text string, ids string")
     rows = sp.encode(docs, PATH, 4).collect()
     assert len(rows) == len(texts) + 1
@@ -67,7 +67,7 @@ def test_every_path_decodes_to_the_text(spark):
         assert r["scores"] == sorted(r["scores"], reverse=True) and len(r["ids"]) == len(r["scores"])
         assert len({tuple(i) for i in r["ids"]}) == len(r["ids"])
         for ids in r["ids"]:
-            assert other.decode(ids) == text
+            assert "▁" in text or other.decode(ids) == text
     flat = spark.createDataFrame([(r["doc_id"], r["ids"][-1]) for r in rows] + [(99, None)], "doc_id long, ids array<int>")
     back = {r["doc_id"]: r["text"] for r in sp.decode(flat, PATH).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts)) and back[99] == ""
@@ -81,4 +81,4 @@ def test_empty_table_and_forgetting(spark, model, monkeypatch):
     assert sp.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
     monkeypatch.setattr(sp, "REMEMBERED_WORDS", 3)
     texts = ["one two three four five", "six seven eight nine ten", "one six"]
-    assert [model.decode(np.frombuffer(model.paths(model.split([t])[0], 1)[0][1], "<u4").tolist()) for t in texts] == texts
+    assert [model.decode(np.frombuffer(model.paths(*model.split([t])[0], 1)[0][1], "<u4").tolist()) for t in texts] == texts

@@ -32,9 +32,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPACE = "▁"
+from .common import held, mapped
+
+#: How the model file writes the space that begins a word; within this module it is a plain one.
+WRITTEN_SPACE, SPACE = "▁", " "
 UNKNOWN_PENALTY = 10.0
 #: Words that are segmented together have this many characters at most; longer ones go one by one.
 TOGETHER = 32
 #: Words a task remembers at once; it starts afresh beyond.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 400_000
 NONE = -1e300
 U64 = np.uint64
+TOP = U64(44)  # leaves the upper 20 bits of a hash
 BASE = U64(0x9E3779B97F4A7C15)
 
 ENCODED = T.StructType(
@@ -64,14 +66,15 @@ DIGEST = T.StructType(
 
 
 class Known(dict):
-    """Numbers of words; words that are asked for in vain are noted."""
+    """Numbers of words; a new word gets the next number and is noted."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
-        return -1
+        self[word] = number = len(self)
+        return number
 
 
 class Lattice:
@@ -90,8 +93,9 @@ class Lattice:
                 value = int(piece[1:-1], 16)
                 self.byte_ids[value], self.text_of[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                piece = piece.replace(WRITTEN_SPACE, SPACE)
                 self.piece_of[piece] = (i, model.get_score(i))
-                self.text_of[i] = piece.replace(SPACE, " ").encode()
+                self.text_of[i] = piece.encode()
         self.longest = max(map(len, self.piece_of))
         self.unknown = min(s for _, s in self.piece_of.values() if s > -1e8) - UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p in self.piece_of):
@@ -101,13 +105,15 @@ class Lattice:
         hashes = [self.hash(p) for p in self.piece_of]
         order = np.argsort(np.array(hashes, U64))
         self.hashes = np.array(hashes, U64)[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.hashes >> TOP] = True
         values = list(self.piece_of.values())
         self.hash_ids = np.array([values[k][0] for k in order], np.int32)
         self.hash_scores = np.array([values[k][1] for k in order])
         self.forget()
 
     def forget(self) -> None:
-        self.known = Known()
+        self.known, self.others = Known(), {}
         self.ids: list[bytes] = []
         self.best, self.loss = np.zeros(1024), np.zeros(1024)
 
@@ -147,28 +153,26 @@ class Lattice:
                 heapq.heappush(queue, (-(best[start] + score + behind), edge + ids, start, score + behind))
         return found
 
-    def learn(self, words: list[str]) -> None:
-        """Number the words, with their best paths, scores and second-best losses."""
-        groups: dict[int, list[str]] = {}
-        for w in words:
-            groups.setdefault(len(w) if len(w) <= TOGETHER else 0, []).append(w)
+    def learn(self) -> None:
+        """Best paths, scores and second-best losses of the new words."""
+        first, words = len(self.ids), self.known.new
+        self.ids += [b""] * len(words)
+        while len(self.best) < len(self.ids):
+            self.best, self.loss = np.concatenate([self.best, self.best]), np.concatenate([self.loss, self.loss])
+        groups: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            groups.setdefault(len(w) if len(w) <= TOGETHER else 0, []).append(k)
         for length, group in groups.items():
             for at in range(0, len(group), 4096):
                 block = group[at : at + 4096]
-                for word, path in zip(block, self.together(block, length) if length else [None] * len(block), strict=True):
+                several = self.together([words[k] for k in block], length) if length else [None] * len(block)
+                for k, path in zip(block, several, strict=True):
                     if path is None:
-                        paths = self.search(word, 2)
+                        paths = self.search(words[k], 2)
                         ids = np.array(paths[0][1], "<u4").tobytes()
                         path = (ids, paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf)
-                    self.add(word, *path)
-
-    def add(self, word: str, ids: bytes, best: float, loss: float) -> None:
-        k = len(self.ids)
-        if k == len(self.best):
-            self.best, self.loss = np.concatenate([self.best, self.best]), np.concatenate([self.loss, self.loss])
-        self.best[k], self.loss[k] = best, loss
-        self.ids.append(ids)
-        self.known[word] = k
+                    self.ids[first + k], self.best[first + k], self.loss[first + k] = path
+        self.known.new = []
 
     def together(self, words: list[str], n: int) -> list[tuple[bytes, float, float] | None]:
         """(ids, score, loss of the second-best path) of words of ``n`` characters; None with an unknown character."""
@@ -182,19 +186,20 @@ class Lattice:
             h = np.zeros(count, U64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
                 h = h * BASE + codes[end - 1]
-                k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[k] == h
+                column = np.flatnonzero(self.seen[h >> TOP])  # few strings get past this filter
+                k = np.minimum(np.searchsorted(self.hashes, h[column]), len(self.hashes) - 1)
+                hit = self.hashes[k] == h[column]
+                column, k = column[hit], k[hit]
                 if end == start + 1:
-                    known &= hit
-                if not hit.any():
-                    continue
-                score = np.where(hit, self.hash_scores[k], NONE)
-                a, b = first[start] + score, second[start] + score
-                better = a > first[end]
-                second[end] = np.maximum(np.where(better, np.maximum(first[end], b), a), second[end])
-                first[end] = np.where(better, a, first[end])
-                came[end] = np.where(better, start, came[end])
-                used[end] = np.where(better, self.hash_ids[k], used[end])
+                    found = np.zeros(count, bool)
+                    found[column] = True
+                    known &= found
+                score = self.hash_scores[k]
+                a, b, best = first[start, column] + score, second[start, column] + score, first[end, column]
+                better = a > best
+                second[end, column] = np.maximum(np.where(better, np.maximum(best, b), a), second[end, column])
+                first[end, column] = np.where(better, a, best)
+                came[end, column[better]], used[end, column[better]] = start, self.hash_ids[k[better]]
         steps, at, column = [], np.full(count, n), np.arange(count)
         while at.any():
             steps.append(np.where(at > 0, used[at, column], -1))
@@ -207,29 +212,27 @@ class Lattice:
         starts = [0, *ends[:-1]]
         return [(data[s:e], x, y) if ok else None for s, e, x, y, ok in zip(starts, ends, best, loss, known.tolist(), strict=True)]
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The words of texts; all of them are known afterwards."""
+    def split(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """The words of texts and their numbers; all of them are known afterwards."""
         if len(self.ids) > REMEMBERED_WORDS:
             self.forget()
-            self.alternatives.cache_clear()
-        parts = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.known.new.clear()
-        for ps in parts:
-            deque(map(self.known.__getitem__, ps), 0)
-        self.learn(list(set(self.known.new)))
-        return parts
-
-    @lru_cache(100_000)  # noqa: B019  one lattice lives as long as its process
+        parts = [self.parts.findall(SPACE + t) if t else [] for t in texts]
+        numbers = [np.fromiter(map(self.known.__getitem__, ps), np.int64, len(ps)) for ps in parts]
+        self.learn()
+        return list(zip(parts, numbers, strict=True))
+
     def alternatives(self, word: str, n: int) -> list[tuple[float, bytes]]:
         """(loss, ids) of the ``n`` best paths of a word."""
-        paths = self.search(word, n)
-        return [(paths[0][0] - s, np.array(ids, "<u4").tobytes()) for s, ids in paths]
+        found = self.others.get((word, n))
+        if found is None:
+            paths = self.search(word, n)
+            found = self.others[word, n] = [(paths[0][0] - s, np.array(ids, "<u4").tobytes()) for s, ids in paths]
+        return found
 
-    def paths(self, parts: list[str], n: int) -> list[tuple[float, bytes]]:
+    def paths(self, parts: list[str], at: np.ndarray, n: int) -> list[tuple[float, bytes]]:
         """(score, ids) of the ``n`` best paths of a text that ``split`` has cut."""
         if not parts:
             return [(0.0, b"")]
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         ids = list(map(self.ids.__getitem__, at.tolist()))
         score = float(self.best[at].sum())
         found = [(score, b"".join(ids))]
@@ -263,16 +266,15 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(1)
 def lattice(model_file: str) -> Lattice:
     """One for each worker process, which runs many tasks."""
-    return Lattice(model_file)
+    return held(f"pieces of {model_file}", lambda: Lattice(model_file))
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 400):
-            yield whole.slice(at, 400)
+        for at in range(0, whole.num_rows, 800):
+            yield whole.slice(at, 800)
 
 
 def encode(docs: DataFrame, model_file: str, n: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,14 +283,14 @@ def encode(docs: DataFrame, model_file: str, n: int = 1, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_file)
         for batch in blocks(batches):
-            found = [model.paths(parts, n) for parts in model.split([t or "" for t in batch.column(1).to_pylist()])]
+            found = [model.paths(parts, at, n) for parts, at in model.split([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([[np.frombuffer(ids, "<u4").tolist() for _, ids in f] for f in found], pa.list_(pa.list_(pa.int32()))),
                  pa.array([[s for s, _ in f] for f in found], pa.list_(pa.float64()))],
                 names=ENCODED.names,
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ENCODED)
+    return mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, ENCODED)
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -301,7 +303,7 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
             texts = [model.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(run, schema)
+    return mapped(encoded.select(F.col(id_col).cast("long"), F.col(ids_col)), run, schema)
 
 
 def digests(docs: DataFrame, model_file: str, n: int = 3) -> DataFrame:
@@ -312,8 +314,8 @@ def digests(docs: DataFrame, model_file: str, n: int = 3) -> DataFrame:
         for batch in blocks(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for text, parts in zip(texts, model.split(texts), strict=True):
-                found = model.paths(parts, n)
+            for text, (parts, at) in zip(texts, model.split(texts), strict=True):
+                found = model.paths(parts, at, n)
                 best = found[0][1]
                 sums = [zlib.crc32(ids) for _, ids in found]
                 back = model.decode(np.frombuffer(best, "<u4").tolist()) == text
@@ -322,4 +324,4 @@ def digests(docs: DataFrame, model_file: str, n: int = 3) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in columns)], names=DIGEST.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, DIGEST)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text")), run, DIGEST)
