@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 EQUAL_LANES, EQUAL_BITS = 16, 32
 NEAR_LANES, NEAR_BITS = 64, 24
 #: Rows in a range of ids, about; ranges number MAX_RANGES at most.
-RANGE_ROWS, MAX_RANGES = 400, 10_000
+RANGE_ROWS, MAX_RANGES = 400, 40_000
 
 EDGE = "\u0000"
 
@@ -64,7 +64,8 @@ def summed(rows: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
     The exploded word pairs are folded into one row per document where they
     arise, before any exchange.
     """
-    lines = rows.select(*keys, F.explode(paragraphs(F.col(text_col))).alias("_line"))
+    # Arrays here are never empty; the outer forms keep Spark from adding a filter that computes them twice.
+    lines = rows.select(*keys, F.explode_outer(paragraphs(F.col(text_col))).alias("_line"))
     seeded = [F.xxhash64(F.lit(seed), "_line").alias(f"_h{seed}") for seed in range(EQUAL_LANES // 2)]
     units = lines.select(*keys, *seeded, F.posexplode_outer(pair_hashes(F.col("_line"))).alias("_at", "_pair"))
     # The paragraph's own lanes count once, with its first pair or with none.
@@ -170,7 +171,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before = F.when(at_bound & (F.col("_own") > 0), entry(F.col("_own") - 1, 1))
     after_all = F.when(at_bound & (F.col("_own") == 0), entry(F.lit(last), 2))  # the first row follows the last one
     entries = F.filter(F.array(entry(F.col("_own"), 0), before, after_all), lambda e: e.isNotNull())
-    entered = rows.withColumn("_own", own).select("doc_id", "text", F.inline(entries))
+    entered = rows.withColumn("_own", own).select("doc_id", "text", F.inline_outer(entries))
     order = Window.partitionBy("_range").orderBy(F.col("_guest") == 2, F.col("doc_id").asc_nulls_last(), "_guest", "text")
     placed = entered.select(
         "_range", "_guest", "doc_id", "text", F.row_number().over(order).alias("_turn"), F.lead("text").over(order).alias("_next")
@@ -181,7 +182,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = told.withColumn("edited_sha256", F.sha2("_edited", 256))
     both = F.array(F.struct(F.lit(0).alias("_which"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("_text")))
     keys = ["_range", "_turn", "_guest", "doc_id", "n_chars", "edited_sha256", "_which"]
-    lanes = summed(told.select(*keys[:-1], F.inline(both)), keys, "_text")
+    lanes = summed(told.select(*keys[:-1], F.inline_outer(both)), keys, "_text")
     # Of each row its own lanes, then those of its edited text; the next row's own lanes follow.
     follow = Window.partitionBy("_range").orderBy("_turn", "_which")
     joined = lanes.select("*", F.lead("lanes", 1).over(follow).alias("_edited"), F.lead("lanes", 2).over(follow).alias("_after"))
