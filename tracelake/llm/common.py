@@ -8,9 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Ids up to this many are broadcast to thin out a table before a shuffle (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
+#: Rows in an Arrow batch, and the setting that holds them.
+BATCH_ROWS, BATCH_KEY = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of BATCH_ROWS rows, unless the session sets another number.
+
+    Rows here hold whole texts, of which Spark's usual 10,000 in a batch would
+    take tens of megabytes on both sides of the pipe, several times over.
+    """
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def only_ids(df: DataFrame, id_col: str, ids: DataFrame, n_ids: int) -> DataFrame:
     """Rows of ``df`` whose id is in ``ids`` (one distinct column ``id_col``).
 
