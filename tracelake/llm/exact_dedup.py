@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shared_path
+from .common import cut, held, mapped, shared_path
 
 #: Keys in a bucket before it splits.
-CAPACITY = 20_000
+CAPACITY = 5_000
 #: Bytes of text a map task holds before it passes its folded entries on.
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 16 << 20
 #: Directories up to this many slots are broadcast; larger ones are joined.
 BROADCAST_SLOTS = 1 << 20
 
@@ -131,11 +131,12 @@ def grow_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
 
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One entry for each text of a map task: its largest doc_id and its count."""
-    held: dict[bytes, list] = {}
+    held("nothing")
+    texts_of: dict[bytes, list] = {}
     size = 0
 
     def flush() -> pa.RecordBatch:
-        rows = list(held.items())
+        rows = list(texts_of.items())
         return pa.RecordBatch.from_arrays(
             [pa.array([e[0] for _, e in rows], pa.int64()), pa.array([e[1] for _, e in rows], pa.string()),
              pa.array([t for t, _ in rows], pa.binary()), pa.array([e[2] for _, e in rows], pa.int64()),
@@ -148,9 +149,9 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, key, sha, doc in zip(
             texts, batch.column("key").to_pylist(), batch.column("sha").to_pylist(), batch.column("doc_id").to_pylist(), strict=True
         ):
-            entry = held.get(text)
+            entry = texts_of.get(text)
             if entry is None:
-                held[text] = [key, sha, doc, 1]
+                texts_of[text] = [key, sha, doc, 1]
                 size += len(text) + 200
             else:
                 entry[3] += 1
@@ -158,9 +159,9 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     entry[2] = doc
         if size > FOLD_BYTES:
             yield flush()
-            held.clear()
+            texts_of.clear()
             size = 0
-    if held:
+    if texts_of:
         yield flush()
 
 
@@ -206,15 +207,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs, id_col, text_col)
     keys = cut(rows.select("key").distinct())
     directory = grow_directory(keys, capacity)
-    entries = directory.locate(rows.mapInArrow(fold, ENTRY))
+    entries = directory.locate(mapped(rows, fold, ENTRY))
     path = shared_path(spark, "exact-index")
-    (
-        entries.repartition("bucket")
-        .sortWithinPartitions("bucket", "key")
-        .select("bucket", "key", "norm", "sha", "keep_id", "size")
-        .mapInArrow(own, INDEX)
-        .write.parquet(path)
-    )
+    owned = entries.repartition("bucket").sortWithinPartitions("bucket", "key")
+    mapped(owned.select("bucket", "key", "norm", "sha", "keep_id", "size"), own, INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 

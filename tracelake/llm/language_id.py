@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import held, mapped
+
 #: Bounds of the sample that dictionaries are made of, for each language.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 2_000
 #: Languages that dictionaries are kept for: the most frequent ones.
@@ -119,10 +122,11 @@ class Sizes:
 def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected) of each row."""
     spark = docs.sparkSession
+    shipped_as = uuid.uuid4().hex
     shipped = spark.sparkContext.broadcast(content)  # at most SAMPLE_ROWS * SAMPLE_CHARS characters a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(shipped.value)
+        sizes = held(f"dictionaries {shipped_as}", lambda: Sizes(shipped.value))
         for batch in batches:
             rows = []
             for text, letter in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -133,7 +137,7 @@ def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
                 names=PREDICTED.names,
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col), has_letter(F.col(text_col))).mapInArrow(run, PREDICTED)
+    return mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col), has_letter(F.col(text_col))), run, PREDICTED)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -150,13 +154,14 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that identification rejects, ``lang`` as predicted."""
     content = learn(docs.where(~held_out()))
+    shipped_as = uuid.uuid4().hex
     shipped = docs.sparkSession.sparkContext.broadcast(content)
     schema = docs.schema
     lang_at, text_at = docs.columns.index("lang"), docs.columns.index("text")
     letter = next(f"_letter{i}" for i in range(len(schema) + 1) if f"_letter{i}" not in {c.lower() for c in docs.columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(shipped.value)
+        sizes = held(f"dictionaries {shipped_as}", lambda: Sizes(shipped.value))
         for batch in batches:
             langs: list[str | None] = []
             for text, has in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
@@ -167,4 +172,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             found = pa.array([x is not None for x in langs], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(found)
 
-    return docs.withColumn(letter, has_letter(F.col("text"))).mapInArrow(run, schema)
+    return mapped(docs.withColumn(letter, has_letter(F.col("text"))), run, schema)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, cut, only_ids
+from .common import BROADCAST_IDS, cut, held, mapped, only_ids
 from .graph import components
 
 WORDS = 5
@@ -148,6 +148,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_shingles, digest of the set, band keys, sketch) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nothing")
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -163,7 +164,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     names=SIGNED.names,
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SIGNED)
+    return mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, SIGNED)
 
 
 def agreeing(x: str, y: str):
@@ -187,6 +188,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets; ``docs`` is (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nothing")
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, U64))
         for batch in batches:
             found = []
@@ -201,7 +203,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = only_ids(docs, "doc_id", ids, ids.count())
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").mapInArrow(run, LINKED)
+    return mapped(with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"), run, LINKED)
 
 
 def star_pairs(members: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
@@ -225,6 +227,7 @@ def fine(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, n, bands, wide, text) of the given ``rep`` ids: band keys and two-bit digests of FINE_COORDINATES minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("nothing")
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -240,7 +243,7 @@ def fine(reps: DataFrame, docs: DataFrame) -> DataFrame:
                 )
 
     ids = cut(reps.select(F.col("rep").alias("doc_id")).distinct())
-    return only_ids(docs, "doc_id", ids, ids.count()).select("doc_id", "text").mapInArrow(run, FINE)
+    return mapped(only_ids(docs, "doc_id", ids, ids.count()).select("doc_id", "text"), run, FINE)
 
 
 def jaccard_linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -255,15 +258,15 @@ def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     alike first; a pair whose components the block has joined already needs no
     test.  A pair that shares several bands is seen in the first of them alone.
     """
-    held: dict[str, list] = {}
+    rows: dict[str, list] = {}
     at: tuple | None = None
 
     def links() -> list[tuple[int, int]]:
-        rep, label, n, block = (np.array(held[c]) for c in ("rep", "label", "n", "block"))
+        rep, label, n, block = (np.array(rows[c]) for c in ("rep", "label", "n", "block"))
         if len(rep) < 2 or (label == label[0]).all():
             return []
-        bands = np.frombuffer(b"".join(held["bands"]), np.int64).reshape(len(rep), BANDS)
-        wide = np.frombuffer(b"".join(held["wide"]), U64).reshape(len(rep), -1)
+        bands = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(len(rep), BANDS)
+        wide = np.frombuffer(b"".join(rows["wide"]), U64).reshape(len(rep), -1)
         label = label.copy()
         sets: dict[int, np.ndarray] = {}
         found = []
@@ -281,7 +284,7 @@ def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 for m in (x, k):
                     if m not in sets:
-                        sets[m] = shingles(held["text"][m])
+                        sets[m] = shingles(rows["text"][m])
                 if jaccard_linked(sets[x], sets[k]):
                     found.append((int(rep[x]), int(rep[k])))
                     label[label == label[k]] = label[x]
@@ -290,14 +293,14 @@ def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple[int, int]] = []
         columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-        for row in zip(*columns.values(), strict=True):
-            r = dict(zip(columns, row, strict=True))
+        for values in zip(*columns.values(), strict=True):
+            r = dict(zip(columns, values, strict=True))
             if (r["band"], r["i"], r["j"]) != at:
                 if at:
                     out += links()
-                at, held = (r["band"], r["i"], r["j"]), {c: [] for c in columns}
+                at, rows = (r["band"], r["i"], r["j"]), {c: [] for c in columns}
             for c, v in r.items():
-                held[c].append(v)
+                rows[c].append(v)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=LINKED.names)
     if at and (out := links()):
@@ -319,7 +322,7 @@ def cross_links(members: DataFrame, docs: DataFrame) -> DataFrame:
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .select("band", "rep", "label", "n", "bands", "wide", "text", "block", F.inline(blocks))
     )
-    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(within, LINKED)
+    return mapped(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), within, LINKED)
 
 
 def classes(signed: DataFrame, docs: DataFrame) -> DataFrame:

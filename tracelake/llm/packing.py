@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, held
+from .common import cut, held, mapped
 
 CAPACITY = 1024
 END_ID = 2
@@ -137,7 +137,7 @@ def tokenise(
                 columns = zip(zip(*rows, strict=True), arrow, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=list(names))
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
 
 
 class Available:

@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_path
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -69,6 +69,8 @@ CUES = {
 }
 #: Characters before a span that the context labeler reads.
 BEFORE = 40
+#: Probability from which the classifier adds a span; a number that fails its checksum stays well below it.
+ACCEPT = 0.8
 #: Rounds of expectation-maximisation, and of the classifier's training with its rate and penalty.
 EM_ROUNDS, FIT_ROUNDS, FIT_RATE, FIT_PENALTY = 60, 400, 0.5, 1e-3
 
@@ -242,7 +244,7 @@ def accepted(weights: list[float], name: str = "candidates") -> Column:
         total = terms[0]
         for t in terms[1:]:
             total = total + t
-        return total >= 0
+        return total >= math.log(ACCEPT / (1 - ACCEPT))
 
     kept = F.filter(name, lambda s: s["ok"] | probable(s))
     return F.array_sort(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["ok"].alias("base"))))
@@ -270,7 +272,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text", weights: list[float] | None = None) -> DataFrame:
     """``docs`` with each span of personal data in the text replaced by its kind in brackets."""
     mark = next(f"_spans{i}" for i in range(len(docs.columns) + 1) if f"_spans{i}" not in {c.lower() for c in docs.columns})
-    rows = candidates(docs, text_col, mark)
+    # Candidates are found once, in one pass over the texts, and written beside them; fitting reads their column alone.
+    path = shared_path(docs.sparkSession, "pii")
+    candidates(docs, text_col, mark).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     weights = learn(rows, mark) if weights is None else weights
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col(text_col)

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 DIMENSIONS = 1 << 16
 SHAPE = 6
 #: Bound of the sample of rated rows that the model is fitted on.
@@ -94,7 +96,7 @@ def features(rows: DataFrame, text_col: str, *others: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=schema.names)
 
     schema = T.StructType([rows.schema[c] for c in others] + FEATURES.fields)
-    return rows.select(text_col, *others).mapInArrow(run, schema)
+    return mapped(rows.select(text_col, *others), run, schema)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -207,7 +209,7 @@ def score(docs: DataFrame, model: Model, at_least: int = 1, id_col: str = "doc_i
             tails = model.tails(scores)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), *map(pa.array, tails.T.copy())], names=schema.names)
 
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    out = mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
     return out.withColumn("selected", F.col(f"p_at_least_{min(at_least, top)}") >= 0.5)
 
 
