@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,7 +56,19 @@ def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
     """
     if df.sparkSession.conf.get(BATCH_KEY, None) is None:
         df.sparkSession.conf.set(BATCH_KEY, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker process that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def only_ids(df: DataFrame, id_col: str, ids: DataFrame, n_ids: int) -> DataFrame:

@@ -226,12 +226,22 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """``docs`` with one row of each group of equal texts: that with the largest id."""
-    sha = F.sha2(normalised(text_col), 256)
+    """``docs`` with one row of each group of equal texts: that with the largest id.
+
+    Rows are kept by (id, digest) of the index, a join without hot keys.  Only
+    keys that several rows have (repeated rows) need their rows brought together.
+    """
     names = {c.lower() for c in docs.columns}
     mark = next(f"_sha{i}" for i in range(len(names) + 1) if f"_sha{i}" not in names)
-    kept = build_index(docs, id_col, text_col, capacity).select(F.col("sha").alias(mark), F.col("keep_id").alias(f"{mark}_keep"))
-    same_id = F.col(id_col).cast("long").eqNullSafe(F.col(f"{mark}_keep"))
-    rows = docs.withColumn(mark, sha).join(kept, mark).where(same_id)
-    # A repeated row ties with itself: one of the rows with the same id and text stays.
-    return rows.dropDuplicates([id_col, mark]).select(*docs.columns)
+    index = build_index(docs, id_col, text_col, capacity)  # a written table, so its reads cost little
+    keys = index.select(F.col("keep_id").alias(f"{mark}_id"), F.col("sha").alias(f"{mark}_key"))
+    rows = docs.withColumn(mark, F.sha2(normalised(text_col), 256))
+    own = rows[id_col].cast("long").eqNullSafe(keys[f"{mark}_id"]) & (rows[mark] == keys[f"{mark}_key"])
+    kept = rows.join(keys, own, "left_semi")
+    ids = rows.groupBy(F.col(id_col).alias(f"{mark}_id"), F.col(mark).alias(f"{mark}_key")).count()
+    several = cut(ids.where("count > 1").drop("count"))
+    if not several.limit(1).count():
+        return kept.select(*docs.columns)
+    again = kept[id_col].eqNullSafe(several[f"{mark}_id"]) & (kept[mark] == several[f"{mark}_key"])
+    once = kept.join(several, again, "left_semi").dropDuplicates([id_col, mark])
+    return kept.join(several, again, "left_anti").unionByName(once).select(*docs.columns)

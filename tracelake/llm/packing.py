@@ -61,10 +61,7 @@ class TextIds:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.fast = None
+        self.fast = self.slow = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -73,6 +70,10 @@ class TextIds:
 
             self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
             self.mark = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        else:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(path)
 
     @staticmethod
     def ranks_of(spec: dict) -> dict[bytes, int] | None:
