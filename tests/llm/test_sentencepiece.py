@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -34,6 +35,37 @@ def test_search_gives_the_best_paths_in_order(model):
         assert len({ids for _, ids in found}) == len(found)
 
 
+def test_equal_scores_give_the_exact_best_paths(model):
+    for word in ("-" * 9, " " + "=" * 8, "#" * 10, "-=" * 5):
+        want = sorted((s for s, _ in all_paths(model, word)), reverse=True)[:5]
+        found = model.search(word, 5)
+        assert [s for s, _ in found] == pytest.approx(want)
+        assert len({ids for _, ids in found}) == len(found)
+        assert all(model.decode(list(ids)) == word.removeprefix(" ") for _, ids in found)
+        assert np.array(found[0][1], "<u4").tobytes() == model.together([word], len(word))[0][0]
+
+
+def test_long_unbroken_runs_take_bounded_memory(model):
+    letters = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", k=100_000))
+    for word in ("-" * 2_000, "#" * 700, letters):
+        tracemalloc.start()
+        found = model.search(word, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6
+        assert len({ids for _, ids in found}) == 3 and all(model.decode(list(ids)) == word for _, ids in found)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
+def test_long_words_are_forgotten_by_their_characters(model, monkeypatch):
+    monkeypatch.setattr(sp, "REMEMBERED_CHARS", 100)
+    model.forget()
+    for k in range(5):
+        model.split(["x" * 60 + str(k)])
+    assert len(model.ids) <= 2
+    model.forget()
+
+
 def test_words_together_equal_words_alone(model):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdehinorst éü.,😀", k=5)) for _ in range(300)]

@@ -1,19 +1,19 @@
 """SentencePiece encoding and decoding with n-best segmentations.
 
 The pieces of a model and their scores span a lattice over a text; a
-segmentation is a path and scores the sum of its pieces.  A forward Viterbi pass
-finds the best score of every prefix.  These scores are the exact remaining cost
-of an A-star search that runs backwards from the end of the text, so paths leave
-its queue from the best on, and the search expands nothing that the n best don't
-need.
+segmentation is a path and scores the sum of its pieces.  A forward pass keeps
+the n best scores of every prefix, each with a pointer to the prefix and the rank
+it came from.  No other path to a prefix can be part of the n best, so these are
+exact, and time and memory are in proportion to n and to the length, however many
+paths have equal scores.
 
 No piece reaches from a word into the space before the next one, so a text's
 lattice is a chain of words' lattices.  Best paths of words are remembered, and
 those of new words are found many at a time, arrays of words of one length
 advancing together; that pass also keeps each word's second-best score.  The n
 best paths of a text differ from its best one only in the n - 1 words whose
-second-best path loses least, so the backward search runs on those words and a
-best-first merge combines them.  The result is that of a search over the whole
+second-best path loses least, so the search runs on those words and a best-first
+merge combines them.  The result is that of a search over the whole
 lattice.
 
 A character that no piece has becomes the byte pieces of its UTF-8 form and
@@ -32,6 +32,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ UNKNOWN_PENALTY = 10.0
 TOGETHER = 32
 #: Words a task remembers at once; it starts afresh beyond.
 REMEMBERED_WORDS = 400_000
+#: Characters of words over TOGETHER that a task remembers at once; likewise.
+REMEMBERED_CHARS = 4_000_000
 NONE = -1e300
 U64 = np.uint64
 TOP = U64(44)  # leaves the upper 20 bits of a hash
@@ -115,6 +119,7 @@ class Lattice:
     def forget(self) -> None:
         self.known, self.others = Known(), {}
         self.ids: list[bytes] = []
+        self.long_chars = 0
         self.best, self.loss = np.zeros(1024), np.zeros(1024)
 
     @staticmethod
@@ -130,27 +135,32 @@ class Lattice:
             if piece := self.piece_of.get(word[start:end]):
                 yield start, (piece[0],), piece[1]
             elif start == end - 1:
-                yield start, tuple(self.byte_ids[b] for b in word[start].encode("utf-8", "surrogatepass")), self.unknown
+                yield start, self.ids_between(word, start, end), self.unknown
 
-    def forward(self, word: str) -> list[float]:
-        """Best score of each prefix."""
-        best = [0.0]
-        for end in range(1, len(word) + 1):
-            best.append(max(best[start] + score for start, _, score in self.edges(word, end)))
-        return best
+    def ids_between(self, word: str, start: int, end: int) -> tuple[int, ...]:
+        """The ids of one edge."""
+        if piece := self.piece_of.get(word[start:end]):
+            return (piece[0],)
+        return tuple(self.byte_ids[b] for b in word[start:end].encode("utf-8", "surrogatepass"))
 
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best paths of a word, best first: A-star backwards, with ``forward`` as its heuristic."""
-        best = self.forward(word)
-        queue = [(-best[-1], (), len(word), 0.0)]
-        found: list[tuple[float, tuple[int, ...]]] = []
-        while queue and len(found) < n:
-            rank, ids, at, behind = heapq.heappop(queue)
-            if not at:
-                found.append((-rank, ids))
-                continue
-            for start, edge, score in self.edges(word, at):
-                heapq.heappush(queue, (-(best[start] + score + behind), edge + ids, start, score + behind))
+        """The ``n`` best paths of a word, best first; of equal ones the path that ``together`` takes."""
+        recent = deque([[0.0]], maxlen=self.longest)  # costs of the best paths to the last few positions
+        came = array("q")  # n places a position: start and rank that a path to it came from
+        for end in range(1, len(word) + 1):
+            options = sorted((cost - score, start * n + k) for start, _, score in self.edges(word, end) for k, cost in enumerate(recent[start - end]))[:n]
+            recent.append([cost for cost, _ in options])
+            came.extend(place for _, place in options)
+            came.extend([-1] * (n - len(options)))
+        found = []
+        for k, cost in enumerate(recent[-1]):
+            ids: list[int] = []
+            end = len(word)
+            while end:
+                start, k = divmod(came[(end - 1) * n + k], n)
+                ids += self.ids_between(word, start, end)[::-1]
+                end = start
+            found.append((-cost, tuple(ids[::-1])))
         return found
 
     def learn(self) -> None:
@@ -162,6 +172,7 @@ class Lattice:
         groups: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             groups.setdefault(len(w) if len(w) <= TOGETHER else 0, []).append(k)
+        self.long_chars += sum(len(words[k]) for k in groups.get(0, ()))
         for length, group in groups.items():
             for at in range(0, len(group), 4096):
                 block = group[at : at + 4096]
@@ -214,7 +225,7 @@ class Lattice:
 
     def split(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         """The words of texts and their numbers; all of them are known afterwards."""
-        if len(self.ids) > REMEMBERED_WORDS:
+        if len(self.ids) > REMEMBERED_WORDS or self.long_chars > REMEMBERED_CHARS:
             self.forget()
         parts = [self.parts.findall(SPACE + t) if t else [] for t in texts]
         numbers = [np.fromiter(map(self.known.__getitem__, ps), np.int64, len(ps)) for ps in parts]
