@@ -30,6 +30,21 @@ def test_ids_equal_the_tokenizers_library_on_odd_texts(tokenizer):
         assert np.frombuffer(encoder.of(text), "<u4").tolist() == ids_of(tokenizer, text)[:-1], repr(text)
 
 
+def test_long_runs_of_white_space(tokenizer):
+    encoder = packing.TextIds(PATH)
+    for text in ("a" + " " * 2_000_000 + "x", "\n" * 2_000_000, "<|endoftext|>" + " \n" * 600_000 + "\u3000y" + " " * 150_000):
+        assert np.array_equal(np.frombuffer(encoder.of(text), "<u4"), ids_of(tokenizer, text)[:-1])
+
+
+def test_cutting_runs_of_white_space_out_keeps_the_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "LONG_RUN", 2)
+    encoder, rng = packing.TextIds(PATH), random.Random(8)
+    alphabet = list("a's1. \t\n\r\x0b\x1c\x1f\x85\xa0\u1680\u200b\u2003\u2028\u3000") + ["  ", "\n\n", "<|endoftext|>", " b"]
+    for _ in range(12_000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 14)))
+        assert np.frombuffer(encoder.of(text), "<u4").tolist() == ids_of(tokenizer, text)[:-1], repr(text)
+
+
 def test_other_files_are_left_to_the_tokenizers_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = packing.TextIds(path)

@@ -49,6 +49,10 @@ PLACE = [("doc_id", T.LongType(), pa.int64()), ("piece", T.IntegerType(), pa.int
 
 #: How a byte-level tokenizer splits a text before it merges (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The split pattern tracks back over white space, and has no room left for that in runs of a million characters; runs from this length on are cut out first.
+LONG_RUN = 100_000
+#: What white space is in the pattern (Python's own has four more).
+WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 class TextIds:
@@ -68,7 +72,9 @@ class TextIds:
         if ranks := self.ranks_of(spec):
             import tiktoken
 
-            self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+            encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.fast, self.one_piece = encoding.encode_to_numpy, encoding._encode_single_piece
+            self.run = re.compile(f"(?<!{WHITE}){WHITE}{{{LONG_RUN},}}")
             self.mark = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         else:
             from tokenizers import Tokenizer
@@ -98,10 +104,25 @@ class TextIds:
         if self.fast is None:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.mark is None or not any(t in text for t in self.added):
-            return self.fast(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-        ids = [np.array([self.added[t]], "<u4") if t in self.added else self.fast(t, disallowed_special=()) for t in self.mark.split(text) if t]
+            return self.between_marks(text).astype("<u4", copy=False).tobytes()
+        ids = [np.array([self.added[t]], "<u4") if t in self.added else self.between_marks(t) for t in self.mark.split(text) if t]
         return np.concatenate([np.empty(0, "<u4"), *ids]).astype("<u4").tobytes()
 
+    def between_marks(self, text: str) -> np.ndarray:
+        """Ids of a text without added tokens.
+
+        A run of white space is one piece of the split, but for its last
+        character where more text follows, so long ones are encoded alone.
+        """
+        if len(text) < LONG_RUN:
+            return self.fast(text, disallowed_special=())
+        ids, at = [], 0
+        for found in self.run.finditer(text):
+            start, end = found.start(), found.end() - (found.end() < len(text))
+            ids += [self.fast(text[at:start], disallowed_special=()), np.array(self.one_piece(text[start:end]), "<u4")]
+            at = end
+        return np.concatenate([*ids, self.fast(text[at:], disallowed_special=())])
+
 
 def text_ids(path: str) -> TextIds:
     """One for each worker process, which runs many tasks."""
