@@ -55,6 +55,17 @@ def test_texts_without_letters_are_unknown(spark):
     assert not {900, 901, 902} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_copies_do_not_thin_out_the_sample(spark):
+    """20 texts 2,000 times each, and 3,000 texts of which one is half of the rows; a long common start counts once."""
+    few = spark.range(40_000).selectExpr("concat('wenige ', translate(string(id % 20), '0123456789', 'abcdefghij'), 'z') AS text", "'de' AS lang")
+    many = spark.range(6_000).selectExpr("concat('many ', translate(string(if(id < 3000, id, 0)), '0123456789', 'abcdefghij'), 'z') AS text", "'en' AS lang")
+    same = spark.range(5_000).selectExpr(f"concat(repeat('long ', {language_id.SAMPLE_CHARS}), id) AS text", "'fr' AS lang")
+    content = language_id.learn(few.union(many).union(same))
+    assert content["de"].count(b"wenige") == 20
+    assert 200 <= content["en"].count(b"many") <= 400
+    assert content["fr"].count(b"long") == language_id.SAMPLE_CHARS // 5
+
+
 def test_no_labels_and_no_rows(spark):
     frame = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[:4] for r in language_id.identify(frame).collect()] == [(1, True if zlib.crc32(b"1") % 4 == 2 else False, "und", 0.0)]

@@ -10,11 +10,12 @@ sizes leave out the frame's constant bytes.  Margins under ``DOUBTFUL`` are
 taken anew with a compressor that searches for the cheapest parse and for
 matches of three bytes; one under ``NARROW`` then rejects the text.
 
-The sample takes rows whose hash falls under a threshold set from the count of
-rows of their language, so it spreads over the whole table in one pass and has
-``SAMPLE_ROWS`` rows of each language on average (all rows where there are
-fewer), of each at most ``SAMPLE_CHARS`` characters.  Predictions read whole
-texts.
+The sample takes texts, of each at most the first ``SAMPLE_CHARS`` characters,
+whose hash falls under a threshold set from the number of different ones of
+their language (estimated within a few percent), so it spreads over the whole
+table in one pass and has ``SAMPLE_ROWS`` different texts of each language on
+average, all of them where there are fewer, however often they are repeated.
+Predictions read whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; without any labelled row every text is; of languages with equal
@@ -62,16 +63,18 @@ def has_letter(text: Column) -> Column:
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language, from labelled ``rows``."""
     labelled = rows.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")
     )
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    chance = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, SAMPLE_ROWS / r["count"]))]) if top else None
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    top = counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    # Copies are drawn or left together, so the chance is that of a text.
+    chance = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, SAMPLE_ROWS / r["texts"]))]) if top else None
     if chance is None:
         return {}
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < chance[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    sample = labelled.where(draw < chance[F.col("lang")])
     content: dict[str, list[str]] = {}
-    for r in sample.distinct().orderBy("lang", F.xxhash64("text")).collect():  # SAMPLE_ROWS a language
+    for r in sample.distinct().orderBy("lang", F.xxhash64("text")).collect():  # about SAMPLE_ROWS a language
         content.setdefault(r["lang"], []).append(r["text"])
     return {r["lang"]: b"".join(map(plain, content[r["lang"]])) for r in top if r["lang"] in content}
 
