@@ -5,8 +5,15 @@ rights reserved" dropped, equivalent spellings made one, everything but letters
 and digits turned into single spaces.  The SHA-256 of the canonical form is
 hash-joined to the digests of known licenses, whose table is made by the same
 expressions.  The whole text is looked up, and so is each of its blocks (text
-between blank lines) and lines, each entire, so a license file that follows a
-document or a one-line grant in it is found as well.
+between blank lines) and lines, each entire, so a one-line grant in a document
+is found as well.  Runs of several blocks are not looked up: a license text with
+blank lines in it, as MIT and all other full texts and notices here have, is
+found where it is the whole text, not where it follows a document.
+
+Known are the full texts of MIT, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause, Zlib and
+Unlicense, the notices of Apache-2.0 and GPL-3.0, and one-line grants of the
+licenses in ``NAMES``; the full texts of Apache-2.0, MPL-2.0 and the GPL, LGPL,
+AGPL and CC licenses are not.
 
 Defined cases: a null text is empty and matches nothing; copyright lines alone
 leave the empty form, which matches nothing; repeated rows and rows without
