@@ -47,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
         for n in names:
             sub.add_argument(n)
     init = areas.add_parser("init")
-    init.add_argument("--root", required=True)
+    init.add_argument("--root", help="folder of transcripts; the first default one if not given")
     init.add_argument("--yes", action="store_true")
     init.add_argument("--choose", default="all", help="all, or numbers from 1, comma-separated")
 
@@ -184,21 +184,33 @@ def audited(args: argparse.Namespace, store: Store) -> list[str]:
     return found
 
 
-def paths_of(args: argparse.Namespace) -> list[str]:
-    return sorted({*args.file, *args.root})
+def paths_of(args: argparse.Namespace, cfg: configuration.Config) -> list[str]:
+    """Files and folders given, or else the folders of transcripts that are configured or usual."""
+    return sorted({*args.file, *args.root}) or sorted(cfg.transcript_roots())
 
 
 def sync(args: argparse.Namespace, spark: SparkSession, store: Store, cfg: configuration.Config) -> str:
-    paths = sorted(cfg.projects.values()) if args.configured else paths_of(args)
+    if args.file or args.root:
+        paths = paths_of(args, cfg)
+    elif args.configured or args.session:
+        paths = sorted(cfg.transcript_roots())
+    else:
+        paths = []
     if not paths:
-        raise Failure("nothing to sync: give --file, --root or --configured")
+        raise Failure("nothing to sync: give --file, --root or --configured, or configure transcript_roots")
     lines = transcripts.read_lines(spark, *paths)
     if args.session:
         lines = lines.where(transcripts.stem(F.col("file_path")) == args.session)
-    loaded = transcripts.load(lines, cfg.frame(spark), fail_fast=bool(args.file) and not args.root)
-    store.replace(loaded)
-    failed = render(loaded.errors.dropDuplicates(["file_path"]).orderBy("file_path"))
-    said = f"{loaded.sessions.count()} sessions stored"
+    projects = cfg.frame(spark)
+    if projects is not None:
+        store.save_projects(projects)
+    with transcripts.load(lines, projects, fail_fast=bool(args.file) and not args.root) as loaded:
+        store.replace(loaded)
+        failed = render(loaded.errors.dropDuplicates(["file_path"]).orderBy("file_path"))
+        stored = loaded.sessions.count()
+    if args.session and not stored and failed == "(none)":
+        raise Failure(f"Session not found: {args.session}")
+    said = f"{stored} sessions stored"
     if failed != "(none)":
         raise Failure(f"{said}; refused:\n{failed}")
     return said
@@ -214,7 +226,10 @@ def manage(args: argparse.Namespace, cfg: configuration.Config) -> str:
 
 def initialise(args: argparse.Namespace, spark: SparkSession, cfg: configuration.Config) -> str:
     """Name the working directories that the transcripts below a root come from."""
-    found = [r["cwd"] for r in transcripts.discovered_projects(transcripts.read_lines(spark, args.root)).collect()]
+    roots = [args.root] if args.root else cfg.transcript_roots()[:1]
+    if not roots:
+        raise Failure("no folder of transcripts: give --root")
+    found = [r["cwd"] for r in transcripts.discovered_projects(transcripts.read_lines(spark, *roots)).collect()]
     if args.choose == "all":
         chosen = found
     else:
@@ -224,12 +239,18 @@ def initialise(args: argparse.Namespace, spark: SparkSession, cfg: configuration
         chosen = [found[n - 1] for n in numbers]
     if not args.yes:
         return "\n".join(f"{i}  {p}" for i, p in enumerate(found, 1)) or "(none)"
+    cfg.roots = cfg.roots or roots
     for cwd in chosen:
         cfg.add(cwd.rstrip("/").rsplit("/", 1)[-1] or "root", cwd)
     cfg.write()
     return f"{len(chosen)} projects saved"
 
 
+def reads_messages(args: argparse.Namespace) -> bool:
+    """Whether a verb looks at messages, not at runs and sessions alone."""
+    return args.verb == "health" or getattr(args, "messages", False) or getattr(args, "content_contains", None) is not None
+
+
 def run(argv: Sequence[str], spark: SparkSession | None = None) -> str:
     args = parser().parse_args(argv)
     cfg = configuration.Config.read(configuration.config_path(args.config))
@@ -243,14 +264,14 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> str:
     if args.area == "init":
         return initialise(args, spark, cfg)
     if args.area == "scan":
-        if not (paths := paths_of(args)):
+        if not (paths := paths_of(args, cfg)):
             raise Failure("give --file or --root")
         lines = transcripts.read_lines(spark, *paths, subagents=not args.no_subagents)
-        loaded = transcripts.load(lines, cfg.frame(spark))
-        refused = render(loaded.errors.orderBy("file_path", "ordinal"))
-        if refused != "(none)":
-            print(refused, file=sys.stderr)
-        return render(analyse(args, loaded.sessions, loaded.messages, loaded.runs, lines), args.format)
+        with transcripts.load(lines, cfg.frame(spark), with_messages=reads_messages(args)) as loaded:
+            refused = render(loaded.errors.orderBy("file_path", "ordinal"))
+            if refused != "(none)":
+                print(refused, file=sys.stderr)
+            return render(analyse(args, loaded.sessions, loaded.messages, loaded.runs, lines), args.format)
     store = Store(spark, configuration.store_path(args.store))
     if args.verb == "sync":
         return sync(args, spark, store, cfg)

@@ -10,6 +10,10 @@ from pathlib import Path
 NAME = "tracelake"
 
 
+#: Folders below the home folder that hold transcripts where none are configured (fixed values).
+DEFAULT_ROOTS = (".claude/projects", ".claude_agents/projects")
+
+
 class BadConfig(ValueError):
     """The file can't be read, or a change to it makes no sense."""
 
@@ -31,6 +35,7 @@ def config_path(flag: str | None = None) -> Path:
 class Config:
     path: Path
     projects: dict[str, str] = field(default_factory=dict)
+    roots: list[str] = field(default_factory=list)
 
     @classmethod
     def read(cls, path: Path) -> Config:
@@ -38,15 +43,20 @@ class Config:
         if not path.exists():
             return cls(path)
         try:
-            listed = tomllib.loads(path.read_text()).get("projects", [])
-            return cls(path, {p["alias"]: p["path"] for p in listed})
+            said = tomllib.loads(path.read_text())
+            return cls(path, {p["alias"]: p["path"] for p in said.get("projects", [])}, [r + "" for r in said.get("transcript_roots", [])])
         except (tomllib.TOMLDecodeError, KeyError, TypeError, AttributeError) as e:
             raise BadConfig(f"{path}: {e}") from e
 
     def write(self) -> None:
         quoted = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
         self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.path.write_text("\n".join(f"[[projects]]\nalias = {quoted(a)}\npath = {quoted(p)}\n" for a, p in sorted(self.projects.items())))
+        roots = f"transcript_roots = [{', '.join(map(quoted, self.roots))}]\n\n" if self.roots else ""
+        self.path.write_text(roots + "\n".join(f"[[projects]]\nalias = {quoted(a)}\npath = {quoted(p)}\n" for a, p in sorted(self.projects.items())))
+
+    def transcript_roots(self) -> list[str]:
+        """Configured folders of transcripts, or those of the default ones that are there."""
+        return self.roots or [str(p) for p in (Path.home() / name for name in DEFAULT_ROOTS) if p.exists()]
 
     def add(self, alias: str, path: str) -> None:
         self.projects[alias] = path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,21 @@ def millis_between(start: Column, end: Column) -> Column:
     return (F.signum(micros) * F.floor(F.abs(micros) / 1000)).cast("long")
 
 
-def words(text: Column) -> Column:
-    """Letters and digits between single spaces, for phrase search."""
-    return F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != ""), " "), F.lit(" "))
+def accents() -> tuple[str, str]:
+    """Letters that decompose into a base letter and marks, and those base letters, one for one."""
+    letters = [chr(c) for c in range(0xC0, 0x2000) if unicodedata.category(chr(c))[0] == "L"]
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in letters]
+    pairs = [(c, base) for c, base in pairs if c != base]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+def unaccented(text: Column) -> Column:
+    """Text without accents: composed letters as their base letters, combining marks dropped."""
+    return F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), *accents())
+
+
+def words(text: Column, plain: bool = False) -> Column:
+    """Letters and digits between single spaces, for phrase search; ``plain`` drops accents."""
+    lower = F.lower(text)
+    lower = unaccented(lower) if plain else lower
+    return F.concat(F.lit(" "), F.array_join(F.filter(F.split(lower, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != ""), " "), F.lit(" "))

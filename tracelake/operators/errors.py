@@ -21,10 +21,16 @@ def patterns(runs: DataFrame, f: RunFilters | None = None, top: int | None = 20,
     """
     matching = filtered(runs, f)
     failed = matching.where(F.col("status") == "error").withColumn("error_content", F.coalesce("error_content", F.lit("")))
-    order = F.struct("started_at", "tool_use_id")
-    grouped = failed.withColumn("fingerprint", error_fingerprint(F.col("error_content"))).groupBy("tool_name", "fingerprint").agg(
-        F.count("*").alias("count"), F.min_by("started_at", order).alias("first_seen"), F.max_by("started_at", order).alias("last_seen"),
-        F.max_by("error_content", order).alias("last_error"), F.slice(F.array_sort(F.collect_set("session_id")), 1, SESSIONS_SHOWN).alias("sample_sessions"),
+    order = ("started_at", "tool_use_id")
+    # By session first, so that a pattern never holds all of its sessions: it keeps the least SESSIONS_SHOWN.
+    by_session = failed.withColumn("fingerprint", error_fingerprint(F.col("error_content"))).groupBy("tool_name", "fingerprint", "session_id").agg(
+        F.count("*").alias("_n"), F.min(F.struct(*order, "error_content")).alias("_first"), F.max(F.struct(*order, "error_content")).alias("_last")
+    )
+    least = by_session.withColumn("_turn", F.row_number().over(Window.partitionBy("tool_name", "fingerprint").orderBy("session_id")))
+    shown = F.when(F.col("_turn") <= SESSIONS_SHOWN, F.col("session_id"))  # collect_list skips the NULLs
+    grouped = least.groupBy("tool_name", "fingerprint").agg(
+        F.sum("_n").alias("count"), F.min("_first")["started_at"].alias("first_seen"), F.max("_last")["started_at"].alias("last_seen"),
+        F.max("_last")["error_content"].alias("last_error"), F.array_sort(F.collect_list(shown)).alias("sample_sessions"),
     )
     out = grouped.withColumn("sample", truncated(F.col("last_error"), 300))
     if classify:

@@ -97,8 +97,8 @@ def compare(runs: DataFrame, left: Iterable[str], right: Iterable[str], key: str
     """Count and truncated mean duration by key of two cohorts; a run may be in both."""
     sides = F.array_compact(F.array(F.when(cohort(left), "left"), F.when(cohort(right), "right")))
     rows = filtered(runs, f).select(F.explode(sides).alias("side"), group_value(key).alias("key"), "duration_ms")
-    mean = (F.sum("duration_ms") / F.count("duration_ms")).cast("long")
-    return rows.groupBy("side", "key").agg(F.count("*").alias("count"), F.when(F.count("duration_ms") > 0, mean).alias("avg_duration_ms")).orderBy("side", "key")
+    mean = F.expr("sum(duration_ms) div nullif(count(duration_ms), 0)")
+    return rows.groupBy("side", "key").agg(F.count("*").alias("count"), mean.alias("avg_duration_ms")).orderBy("side", "key")
 
 
 def percentile(column: str, share: float) -> Column:

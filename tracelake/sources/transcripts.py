@@ -13,15 +13,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import command_fingerprint, command_paths, instant, last_component, millis_between, rfc3339, tokens, truncated
+from .shared import remove, written
 
 #: Messages from whose first ones a session's facts are taken.
 FACT_MESSAGES = 10
+#: Arrays within each other that are flattened to text; what lies deeper stays JSON.
+NESTED = 6
 LEVELS = (
     ("top-level", "$", schemas.TOP_LEVEL_FIELDS),
     ("message", "$.message", schemas.MESSAGE_FIELDS),
@@ -47,8 +49,21 @@ def read_lines(spark: SparkSession, *paths: str, subagents: bool = True) -> Data
     rows = rows.where(~F.col("file_path").rlike("/workflows/(?:.*/)?journal\\.jsonl$"))
     if not subagents:
         rows = rows.where(~is_subagent_path(F.col("file_path")))
-    order = Window.partitionBy("file_path").orderBy("file_block_start", "_id")
-    return rows.select("file_path", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "value")
+    return numbered(rows)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(file_path, ordinal, value) of rows with ``file_block_start`` and ``_id``, which orders a block's lines.
+
+    Lines are numbered within their block; the lines of the blocks before are
+    added to that, so no task sorts more than a block of a large file.
+    """
+    block = Window.partitionBy("file_path", "file_block_start").orderBy("_id")
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("file_path", "file_block_start").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("file_path", "file_block_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_at", F.row_number().over(block) - 1).join(offsets, ["file_path", "file_block_start"])
+    return placed.select("file_path", (F.col("_at") + F.col("_before")).cast("long").alias("ordinal"), "value")
 
 
 def is_subagent_path(path: Column) -> Column:
@@ -150,8 +165,8 @@ def flat_leaf(v: Column) -> Column:
     return F.when(nothing, "").when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.coalesce(own, json(v)))
 
 
-def flat_text(v: Column, depth: int = 2) -> Column:
-    """The text of a content value: parts of arrays joined by line feeds, empty ones dropped."""
+def flat_text(v: Column, depth: int = NESTED) -> Column:
+    """The text of a content value: parts of arrays joined by line feeds, empty ones dropped, to ``depth`` arrays in each other."""
     if not depth:
         return flat_leaf(v)
     parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: flat_text(x, depth - 1))
@@ -306,36 +321,62 @@ def derived_runs(msgs: DataFrame, session_rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Loaded:
-    """What transcripts hold; ``errors`` names what was refused, and its files are missing from the rest."""
+    """What transcripts hold; ``errors`` names what was refused, and its files are missing from the rest.
+
+    All of it reads one snapshot in the shared folder, which ``close`` (or the
+    end of a ``with`` block) removes.
+    """
 
     sessions: DataFrame
     messages: DataFrame
     runs: DataFrame
     errors: DataFrame
-    records: DataFrame
+    paths: tuple[str, ...]
+
+    def __enter__(self) -> Loaded:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def close(self) -> None:
-        self.records.unpersist()
+        for path in self.paths:
+            remove(self.errors.sparkSession, path)
 
 
 class BadTranscripts(ValueError):
     """Raised on request when a file is refused."""
 
 
-def load(lines: DataFrame, projects: DataFrame | None = None, link_subagents: bool = True, fail_fast: bool = False, persist: bool = True) -> Loaded:
+#: What sessions and runs are made of; the other columns of messages are left out where nobody asks for them.
+NARROW = (
+    "file_path", "ordinal", "level", "reason", "stamp", "timestamp", "agent_id", "record_session_id", "slug", "cwd", "git_branch", "version", "blocks", "read_file",
+)
+
+
+def load(lines: DataFrame, projects: DataFrame | None = None, link_subagents: bool = True, fail_fast: bool = False, with_messages: bool = True) -> Loaded:
     """Sessions, messages and runs of transcript lines (file_path, ordinal, value).
 
-    Records are parsed once: the normalised ones are persisted (to memory and
-    disk, recomputed where an executor is lost) until ``Loaded.close``.
+    Files are read and records parsed once: the normalised ones are written to
+    a new path of the shared folder, and so are the sessions, which are few.
+    All results read them there: they agree with each other also when a file
+    grows meanwhile, a lost executor costs nothing, and the next ``load`` reads
+    the files anew.  Without messages only what runs need is written.
     """
-    records = normalised(parsed(lines))
-    if persist:
-        records = records.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = lines.sparkSession
+    fresh = normalised(parsed(lines))
+    records, at = written(fresh if with_messages else fresh.select(*NARROW), "records")
     errors = ingest_errors(records)
     if fail_fast and (first := errors.orderBy("file_path", "ordinal").first()):
+        remove(spark, at)
         raise BadTranscripts(f"{first['file_path']}:{first['ordinal'] + 1}: {first['level']}: {first['reason']}")
-    msgs = records.join(errors.select("file_path").distinct(), "file_path", "left_anti")
-    session_rows = sessions(msgs, projects, link_subagents)
+    bad = errors.select("file_path").distinct()
+    msgs = records.join(bad, "file_path", "left_anti") if errors.limit(1).count() else records
+    session_rows, sessions_at = written(sessions(msgs, projects, link_subagents), "sessions")
     named = session_rows.select(F.col("id").alias("session_id"), F.col("transcript_path").alias("file_path"))
-    stored = [c.split()[0] for c in schemas.MESSAGES.replace("\n", " ").split(",") if c.strip()]
-    return Loaded(session_rows, msgs.join(named, "file_path").select(*stored), derived_runs(msgs, session_rows), errors, records)
+    if with_messages:
+        stored = [c.split()[0] for c in schemas.MESSAGES.replace("\n", " ").split(",") if c.strip()]
+        message_rows = msgs.join(named, "file_path").select(*stored)
+    else:
+        message_rows = spark.createDataFrame([], schemas.MESSAGES)
+    return Loaded(session_rows, message_rows, derived_runs(msgs, session_rows), errors, (at, sessions_at))
