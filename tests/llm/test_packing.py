@@ -65,6 +65,40 @@ def test_plan_uses_exact_complements_first():
     assert all(sum(p) == 10 for p, _ in made)
 
 
+def best_fit_decreasing(counts, capacity):
+    """Sequences that plain best fit makes, piece by piece."""
+    gaps = []
+    for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        fits = [i for i, g in enumerate(gaps) if g >= n]
+        if fits:
+            gaps[min(fits, key=gaps.__getitem__)] -= n
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+def test_plan_needs_no_more_sequences_than_best_fit():
+    rng = random.Random(7)
+    fewer = 0
+    for _ in range(60):
+        capacity = rng.choice([32, 64, 200])
+        counts = {n: rng.randint(1, 12) for n in rng.sample(range(1, capacity + 1), rng.choice([5, 12, 30]))}
+        made, plain = sum(t for _, t in packing.plan(counts, capacity)), best_fit_decreasing(counts, capacity)
+        assert -(-sum(n * c for n, c in counts.items()) // capacity) <= made <= plain
+        fewer += made < plain
+    assert fewer  # exact complements make a difference
+
+
+def test_sums_hold_every_combination():
+    lengths = [2, 3, 5, 7, 11]
+    sums = packing.Sums(lengths, 40)
+    for total in range(2, 34):
+        pairs = {(a, b) for a in lengths for b in lengths if a >= b and a + b == total}
+        triples = {(a, b, c) for a in lengths for b in lengths for c in lengths if a >= b >= c and a + b + c == total}
+        assert {tuple(r) for r in sums.pairs(total).tolist()} == pairs and len(sums.pairs(total)) == len(pairs)
+        assert {tuple(r) for r in sums.triples(total).tolist()} == triples and len(sums.triples(total)) == len(triples)
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(5)
     for _ in range(30):
@@ -121,9 +155,18 @@ def test_empty_table(spark):
     assert packing.digests(docs, PATH).collect() == []
 
 
-def test_hot_length_is_ranked_over_salts(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANK_GROUP", 7)
+def test_hot_length_is_ranked_over_salts(spark):
     pieces = spark.createDataFrame([(i, 0, 100) for i in range(500)] + [(500 + i, 0, 24) for i in range(30)], "doc_id long, piece int, length long")
     rows = packing.pack(pieces, 1024).collect()
     assert len(rows) == 530
     assert check_packed(rows, 1024) == 50
+
+
+def test_packed_pieces_carry_their_ids(spark, tokenizer):
+    docs = spark.createDataFrame([(i, f"some words {i} " * (i % 50)) for i in range(60)], "doc_id long, text string")
+    rows = packing.packed(docs, PATH, 64).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        by[r["doc_id"]] = by.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert {d: np.frombuffer(b, "<u4").tolist() for d, b in by.items()} == {i: ids_of(tokenizer, f"some words {i} " * (i % 50)) for i in range(60)}
+    check_packed(rows, 64)

@@ -6,18 +6,22 @@ ids of packed pieces together.
 
 The plan depends only on how many pieces there are of each length, a histogram
 of at most ``capacity`` counts whatever the input.  Lengths are taken from the
-longest down.  For the gap that a length leaves, the available single lengths,
-pairs and triples are looked up by their sum; a combination that fills the gap
-exactly is consumed as often as all its members are available.  What finds no
-exact complement goes to a best-fit pass: the longest length that still fits
-enters, until none does.  Each step exhausts a length, so the plan is a short
-list of patterns (lengths side by side) with the number of sequences made of
-each, and each pattern hands out ranges of ranks to its lengths.
+longest down.  For the gap that a length leaves, single lengths, pairs and
+triples are looked up by their sum; a combination that fills the gap exactly is
+consumed as often as all its members are available.  What finds no exact
+complement, and what best fit fills nearly as well, is packed by best fit: the
+longest length that still fits enters, until none does.  ``plan`` says how the
+two are weighed; it never makes more sequences than best fit alone.  Each step
+exhausts a length, so the plan is a short list of patterns (lengths side by
+side) with the number of sequences made of each, and each pattern hands out
+ranges of ranks to its lengths.
 
 Pieces then get a rank among those of their length.  Ranks are counted within
-(length, salt) groups of bounded size and shifted by the sizes of the groups
-before, so a length that a third of all pieces have is spread over many tasks.
-A join of the ranks with the plan's ranges yields sequence and offset.
+(length, salt) groups and shifted by the sizes of the groups before.  A length
+that c pieces have is dealt to sqrt(c) groups of about sqrt(c) pieces, so one
+that a third of all pieces have is spread over many tasks at every size.  A
+join of the ranks with the plan's ranges yields sequence and offset.  Token ids
+stay in the table of pieces; only places and lengths are shuffled.
 
 Defined cases: a null text is an empty one; an empty document is its end token
 alone; repeated rows are packed as separate documents; an empty table gives an
@@ -27,10 +31,10 @@ empty result; other columns of the pieces are carried through by ``pack``.
 from __future__ import annotations
 
 import json
+import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +42,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, held, mapped
+from .common import held, mapped, shared_path
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in a (length, salt) group, on average.
-RANK_GROUP = 20_000
 
 PLACE = [("doc_id", T.LongType(), pa.int64()), ("piece", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64())]
 
@@ -136,17 +138,12 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenise(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, digest: bool = False
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each document's ids and ``end_id``, cut into pieces.
-
-    With ``digest``, ``ids_crc32`` stands in place of the ids, which then needn't leave the task.
-    """
+    """(doc_id, piece, start, length, ids): each document's ids and ``end_id``, cut into pieces."""
     end = np.array([end_id], "<u4").tobytes()
-    last = ("ids_crc32", T.LongType(), pa.int64()) if digest else ("ids", T.BinaryType(), pa.binary())
-    names, types, arrow = zip(*PLACE, last, strict=True)
+    names, types, arrow = zip(*PLACE, ("ids", T.BinaryType(), pa.binary()), strict=True)
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
-    kept = zlib.crc32 if digest else bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_ids(tokenizer)
@@ -154,7 +151,7 @@ def tokenise(
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = memoryview(encoder.of(text or "") + end)
-                rows += [(doc, i, s, n, kept(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cuts(len(ids) // 4, capacity))]
+                rows += [(doc, i, s, n, bytes(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cuts(len(ids) // 4, capacity))]
             if rows:
                 columns = zip(zip(*rows, strict=True), arrow, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=list(names))
@@ -162,73 +159,109 @@ def tokenise(
     return mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
 
 
-class Available:
-    """Counts of free pieces by length, with look-ups of single, pair and triple sums."""
+class Sums:
+    """Hash indexes of the sums of one, two and three lengths; an entry is made when its sum is first asked for.
+
+    Single sums are the lengths themselves.  An entry of ``pairs`` or ``triples``
+    has every combination of lengths with that sum, longest member first, so its
+    size depends on the capacity alone.
+    """
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        self.counts = Counter({n: c for n, c in counts.items() if c > 0})
-        self.index()
+    def __init__(self, lengths: Iterable[int], capacity: int) -> None:
+        self.has = np.zeros(capacity + 1, bool)
+        self.has[list(lengths)] = True
+        self._pairs: dict[int, np.ndarray] = {}
+        self._triples: dict[int, np.ndarray] = {}
+
+    def pairs(self, total: int) -> np.ndarray:
+        """Rows (a, b) with a >= b."""
+        if total not in self._pairs:
+            a = np.arange((total + 1) // 2, total)[::-1]
+            a = a[self.has[a] & self.has[total - a]]
+            self._pairs[total] = np.stack([a, total - a], axis=1).astype(np.int16)
+        return self._pairs[total]
+
+    def triples(self, total: int) -> np.ndarray:
+        """Rows (a, b, c) with a >= b >= c."""
+        if total not in self._triples:
+            found = [np.empty((0, 3), np.int16)]
+            for a in range(total - 2, (total + 2) // 3 - 1, -1):
+                if self.has[a]:
+                    rest = self.pairs(total - a)
+                    rest = rest[rest[:, 0] <= a]
+                    found.append(np.concatenate([np.full((len(rest), 1), a, np.int16), rest], axis=1))
+            self._triples[total] = np.concatenate(found)
+        return self._triples[total]
 
-    def index(self) -> None:
-        """Pair sums of the lengths there are; single sums are the counts' own keys."""
-        self.lengths = sorted(self.counts, reverse=True)
-        self.pairs: dict[int, list[tuple[int, int]]] = {}
-        for i, a in enumerate(self.lengths):
-            for b in self.lengths[i:]:
-                self.pairs.setdefault(a + b, []).append((a, b))
 
-    def times(self, pattern: tuple[int, ...]) -> int:
+class Available:
+    """Counts of free pieces by length, taken by exact complements and by best fit."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, sums: Sums) -> None:
+        self.capacity, self.sums = capacity, sums
+        self.free = np.zeros(capacity + 1, np.int64)
+        for n, c in counts.items():
+            self.free[n] = c
+        self.made: list[tuple[tuple[int, ...], int]] = []
+
+    def consume(self, pattern: tuple[int, ...]) -> bool:
+        """Make as many sequences of a pattern as its pieces are there for."""
         need = Counter(pattern)
-        return min(self.counts[n] // k for n, k in need.items())
-
-    def take(self, pattern: tuple[int, ...], times: int) -> None:
-        for n, k in Counter(pattern).items():
-            self.counts[n] -= k * times
-            if not self.counts[n]:
-                del self.counts[n]
-
-    def filling(self, first: int, gap: int) -> Iterator[tuple[int, ...]]:
-        """Patterns that start with ``first`` and fill ``gap`` exactly: one, two, then three more pieces."""
-        if gap in self.counts:
-            yield (first, gap)
-        for pair in self.pairs.get(gap, ()):
-            yield (first, *pair)
-        for a in self.lengths:
-            if a in self.counts and a < gap:
-                for b, c in self.pairs.get(gap - a, ()):
-                    if b <= a:
-                        yield (first, a, b, c)
-
-    def best_fit(self, first: int, capacity: int) -> tuple[int, ...]:
+        times = min(int(self.free[n]) // k for n, k in need.items())
+        if times:
+            for n, k in need.items():
+                self.free[n] -= k * times
+            self.made.append((pattern, times))
+        return times > 0
+
+    def exact(self, first: int) -> bool:
+        """Consume ``first`` with one, two or three more pieces that fill its gap exactly."""
+        gap = self.capacity - first
+        if self.free[gap] and self.consume((first, gap)):
+            return True
+        for rows in (self.sums.pairs(gap), self.sums.triples(gap)) if gap > 1 else ():
+            rows = rows[(self.free[rows] > 0).all(axis=1) & (rows[:, 0] <= first)]
+            if any(self.consume((first, *row)) for row in rows.tolist()):
+                return True
+        return False
+
+    def best_fit(self, first: int) -> tuple[int, ...]:
         """``first`` and then the longest free length that fits, again and again."""
-        pattern, gap, used = [first], capacity - first, Counter([first])
-        for n in sorted(self.counts, reverse=True):
-            while n <= gap and used[n] < self.counts[n]:
-                pattern.append(n)
-                used[n] += 1
-                gap -= n
+        pattern, gap, used = [first], self.capacity - first, Counter([first])
+        for n in np.flatnonzero(self.free[: gap + 1])[::-1].tolist():
+            if times := min(gap // n, int(self.free[n]) - used[n]):
+                pattern += [n] * times
+                used[n] += times
+                gap -= n * times
         return tuple(pattern)
 
 
+#: Tokens that best fit must leave free before exact complements of two and three pieces are sought; each is tried.
+WASTES = (1, 4, 16, 64)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, number of sequences) for the pieces counted by length."""
-    free, out = Available(counts), []
-
-    def consume(pattern: tuple[int, ...]) -> None:
-        if times := free.times(pattern):
-            free.take(pattern, times)
-            out.append((pattern, times))
-
-    if capacity in free.counts:
-        consume((capacity,))
-    for first in sorted(free.counts, reverse=True):
-        for pattern in free.filling(first, capacity - first):
-            consume(pattern)
-            if first not in free.counts:
-                break
-    while free.counts:
-        consume(free.best_fit(max(free.counts), capacity))
-    return out
+    """(pattern, number of sequences) for the pieces counted by length.
+
+    Lengths are taken from the longest down.  Where best fit leaves less than
+    some waste, its pattern is taken (a single exact complement is a best fit);
+    else an exact complement is, if there is one.  Small pieces that exact
+    complements use up are missing later, so several wastes are tried, the last
+    of them endless, which is plain best fit; the plan with the fewest
+    sequences stays.
+    """
+    counts = {n: c for n, c in counts.items() if c > 0}
+    sums, best = Sums(counts, capacity), None
+    for waste in (*WASTES, capacity + 1):
+        state = Available(counts, capacity, sums)
+        for first in sorted(counts, reverse=True):
+            while state.free[first]:
+                pattern = state.best_fit(first)
+                if capacity - sum(pattern) < waste or not state.exact(first):
+                    state.consume(pattern)
+        if best is None or sum(t for _, t in state.made) < sum(t for _, t in best):
+            best = state.made
+    return best
 
 
 def ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -255,12 +288,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.createDataFrame(
         ranges(plan(counts, capacity)), "_len long, _from long, _to long, _sequence long, offset long"
     )
-    salts = spark.createDataFrame([(n, -(-c // RANK_GROUP)) for n, c in counts.items()], "_len long, _salts long")
+    salts = spark.createDataFrame([(n, math.isqrt(c - 1) + 1) for n, c in counts.items()], "_len long, _salts long")
     hashed = F.xxhash64("doc_id", "piece")
     salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("_len")).drop("_len")  # at most `capacity` rows
     salted = salted.withColumn("_salt", F.pmod(hashed, F.col("_salts"))).drop("_salts")
     group = Window.partitionBy("length", "_salt").orderBy(*[c for c in ("doc_id", "piece") if c in pieces.columns])
-    # The sizes of the groups before a group; all of them are as many as pieces / RANK_GROUP.
+    # The sizes of the groups before a group.
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
@@ -287,6 +320,21 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
+def written(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
+    path = shared_path(docs.sparkSession, "pieces")
+    tokenise(docs, tokenizer, capacity=capacity).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces of ``docs`` with their ids in ``sequence_id`` and ``offset``; ``sequences`` joins them.
+
+    Pieces are written once to the shared folder, ids and all.
+    """
+    return pack(written(docs, tokenizer, capacity), capacity)
+
+
 def digests(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with ``ids_crc32``, packed."""
-    return pack(cut(tokenise(docs, tokenizer, capacity=capacity, digest=True)), capacity)
+    """Packed pieces with ``ids_crc32`` in place of the ids, which are digested where the pieces are read."""
+    pieces = written(docs, tokenizer, capacity)
+    return pack(pieces.select(*[n for n, _, _ in PLACE], F.crc32("ids").alias("ids_crc32")), capacity)
