@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import zstandard
+
 from tracelake.llm import language_id
 
 WORDS = {
@@ -56,14 +58,14 @@ def test_texts_without_letters_are_unknown(spark):
 
 
 def test_copies_do_not_thin_out_the_sample(spark):
-    """20 texts 2,000 times each, and 3,000 texts of which one is half of the rows; a long common start counts once."""
+    """20 texts 2,000 times each, 3,000 texts of which one is half of the rows, and long texts that differ at their ends."""
     few = spark.range(40_000).selectExpr("concat('wenige ', translate(string(id % 20), '0123456789', 'abcdefghij'), 'z') AS text", "'de' AS lang")
     many = spark.range(6_000).selectExpr("concat('many ', translate(string(if(id < 3000, id, 0)), '0123456789', 'abcdefghij'), 'z') AS text", "'en' AS lang")
-    same = spark.range(5_000).selectExpr(f"concat(repeat('long ', {language_id.SAMPLE_CHARS}), id) AS text", "'fr' AS lang")
+    same = spark.range(5_000).selectExpr("concat(repeat('long ', 400), translate(string(id), '0123456789', 'abcdefghij'), 'z') AS text", "'fr' AS lang")
     content = language_id.learn(few.union(many).union(same))
     assert content["de"].count(b"wenige") == 20
     assert 200 <= content["en"].count(b"many") <= 400
-    assert content["fr"].count(b"long") == language_id.SAMPLE_CHARS // 5
+    assert content["fr"].count(b"long") % 400 == 0 and 200 <= content["fr"].count(b"long") // 400 <= 400  # whole texts
 
 
 def test_no_labels_and_no_rows(spark):
@@ -78,3 +80,42 @@ def test_whole_texts_decide():
     rng = random.Random(2)
     long_german = " ".join(rng.choices(WORDS["en"], k=50) + rng.choices(WORDS["de"], k=5000))
     assert sizes.best(long_german)[0] == "de"
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, f"wort{'abcdefghij'[i % 10]} " * 5 + chr(ord("a") + i // 26 % 26) * 9 + chr(ord("a") + i % 26) * 9, f"l{i:03d}") for i in range(260)]
+    content = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(content) == {lang for _, _, lang in rows}
+
+
+def by_hand(text, content):
+    """(language, rejected) by a plain loop over the dictionaries."""
+    data = language_id.plain(text)
+    for level, more in ((3, {}), (6, {"min_match": 3, "strategy": zstandard.STRATEGY_BTOPT, "search_log": 3})):
+        sizes, empty = {}, 1 << 30
+        for lang, words in content.items():
+            how = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(words), write_content_size=False, write_checksum=False, write_dict_id=False, **more)
+            packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            sizes[lang] = len(packer.compress(data))
+            if level == 3:
+                empty = min(empty, len(packer.compress(b"")))
+        offset = empty if level == 3 else offset
+        order = sorted((max(1, n - offset), i, lang) for i, (lang, n) in enumerate(sizes.items()))
+        margin = order[1][0] / order[0][0] - 1
+        if margin >= 0.05:
+            break
+    return order[0][2], margin < 0.002
+
+
+def test_predictions_equal_a_plain_loop(spark):
+    docs = [(i, t, la) for i, t, la, _ in corpus(160)] * 2 + [(i, "same words here", la) for i, la in ((500, "en"), (501, "de"), (502, "fr"))]
+    docs += [(600 + i, t, None) for i, t in enumerate(["the der les", "x", "of und est " * 300, "Ünïcödé", "same words here"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    content = language_id.learn(frame.where(~language_id.held_out()))
+    rows = language_id.identify(frame).collect()
+    text_of = {i: t for i, t, _ in docs}
+    assert len(rows) == len(docs)
+    want = {t: by_hand(t, content) for t in set(text_of.values())}
+    assert all((r["lang_pred"], r["rejected"]) == want[text_of[r["doc_id"]]] for r in rows)
+    twins = language_id.Sizes({"a": b" one two three " * 9, "b": b" one two three " * 9})
+    assert twins.best("one two three")[0] == "a" and twins.best("one two three")[2] == 0  # a tie goes to the first, and is rejected

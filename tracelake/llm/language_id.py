@@ -10,12 +10,13 @@ sizes leave out the frame's constant bytes.  Margins under ``DOUBTFUL`` are
 taken anew with a compressor that searches for the cheapest parse and for
 matches of three bytes; one under ``NARROW`` then rejects the text.
 
-The sample takes texts, of each at most the first ``SAMPLE_CHARS`` characters,
-whose hash falls under a threshold set from the number of different ones of
-their language (estimated within a few percent), so it spreads over the whole
-table in one pass and has ``SAMPLE_ROWS`` different texts of each language on
-average, all of them where there are fewer, however often they are repeated.
-Predictions read whole texts.
+The sample takes whole texts whose hash falls under a threshold set from the
+number of different ones of their language (estimated within a few percent), so
+it spreads over the whole table in one pass and has ``SAMPLE_ROWS`` different
+texts of each language on average, all of them where there are fewer, however
+often they are repeated.  Every language that a labelled text has gets a
+dictionary.  What the driver gathers is bounded by rows, SAMPLE_ROWS a language
+on average; predictions read whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; without any labelled row every text is; of languages with equal
@@ -38,10 +39,8 @@ from pyspark.sql import types as T
 
 from .common import held, mapped
 
-#: Bounds of the sample that dictionaries are made of, for each language.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 2_000
-#: Languages that dictionaries are kept for: the most frequent ones.
-MAX_LANGUAGES = 200
+#: Different texts that a language's dictionary is made of, on average.
+SAMPLE_ROWS = 300
 #: Levels of the first compressor and of the finer one, and the margin below which that decides.
 LEVEL, FINE_LEVEL, DOUBTFUL = 3, 6, 0.05
 #: Smaller relative margins reject.
@@ -62,17 +61,14 @@ def has_letter(text: Column) -> Column:
 
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language, from labelled ``rows``."""
-    labelled = rows.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(
-        F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")
-    )
+    labelled = rows.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
-    top = counts.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    top = counts.orderBy(F.desc("count"), "lang").collect()  # a row for each language
     # Copies are drawn or left together, so the chance is that of a text.
-    chance = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, SAMPLE_ROWS / r["texts"]))]) if top else None
-    if chance is None:
-        return {}
+    chances = [(r["lang"], min(1.0, SAMPLE_ROWS / r["texts"])) for r in top]
+    drawn = labelled.join(rows.sparkSession.createDataFrame(chances, "lang string, chance double"), "lang")
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < chance[F.col("lang")])
+    sample = drawn.where(draw < F.col("chance")).select("lang", "text")
     content: dict[str, list[str]] = {}
     for r in sample.distinct().orderBy("lang", F.xxhash64("text")).collect():  # about SAMPLE_ROWS a language
         content.setdefault(r["lang"], []).append(r["text"])
@@ -126,7 +122,7 @@ def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     """(doc_id, lang_pred, score, margin, rejected) of each row."""
     spark = docs.sparkSession
     shipped_as = uuid.uuid4().hex
-    shipped = spark.sparkContext.broadcast(content)  # at most SAMPLE_ROWS * SAMPLE_CHARS characters a language
+    shipped = spark.sparkContext.broadcast(content)  # the texts of about SAMPLE_ROWS rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = held(f"dictionaries {shipped_as}", lambda: Sizes(shipped.value))
