@@ -51,3 +51,12 @@ def test_neighbours_and_empty_tables(spark):
     assert rows[0]["n_common"] == 1 and rows[0]["usable"] and rows[0]["chosen"] == "<|im_start|>assistant\ngood<|im_end|>\n"
     assert not rows[2]["usable"] and rows[2]["rejected"] == ""
     assert preference.format_pairs(frame.limit(0), preference.neighbouring_pairs(frame.limit(0))).collect() == []
+
+
+def test_neighbouring_pairs_of_large_and_negative_ids(spark):
+    big = 1 << 60
+    turns = spark.createDataFrame([(c, 0, "assistant", str(c)) for c in (big + 2, big + 3, -3, -4, 7)], "conv_id long, turn long, role string, text string")
+    pairs = {tuple(r) for r in preference.neighbouring_pairs(turns).collect()}
+    assert pairs == {(big // 2 + 1, big + 2, big + 3), (-2, -4, -3), (3, 6, 7)}
+    rows = {r["pair_id"]: r for r in preference.format_pairs(turns, preference.neighbouring_pairs(turns)).collect()}
+    assert str(big + 2) in rows[big // 2 + 1]["chosen"] and str(big + 3) in rows[big // 2 + 1]["rejected"] and rows[3]["chosen"] == ""

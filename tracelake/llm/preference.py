@@ -92,5 +92,5 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def neighbouring_pairs(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2k (chosen) and 2k + 1 (rejected), for tables that name no pairs."""
-    ids = turns.where(F.col("conv_id").isNotNull()).select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
+    ids = turns.where(F.col("conv_id").isNotNull()).select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id")).distinct()
     return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
