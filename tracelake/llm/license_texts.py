@@ -131,6 +131,30 @@ FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 You should have received a copy of the GNU General Public License along with
 this program. If not, see <https://www.gnu.org/licenses/>."""
 
+BSL_1 = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE
+FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+
 #: Full name and short names of licenses that one-line grants may name.
 NAMES = {
     "MIT": ["the MIT License", "the MIT license (MIT)", "MIT"],
@@ -171,9 +195,34 @@ KNOWN = {
     "BSD-3-Clause": [BSD_3, f"BSD 3-Clause License\n\n{BSD_3}"],
     "Zlib": [ZLIB],
     "Unlicense": [UNLICENSE],
+    "BSL-1.0": [BSL_1],
     "Apache-2.0": [APACHE_HEADER],
     "GPL-3.0": [GPL_3_NOTICE],
 }
 for _id, _names in NAMES.items():
     KNOWN.setdefault(_id, [])
     KNOWN[_id] = KNOWN[_id] + [grant.format(name) for name in _names for grant in GRANTS]
+
+#: Long published texts: license, digest and first block of the canonical form, number of blocks (fixed values).  "Whole" is the
+#: file as published, "terms" what ends with END OF TERMS AND CONDITIONS.
+LONG = (
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100", "apache license version 2 0 january 2004 http www apache org licenses", 34),  # whole
+    ("Apache-2.0", "e9dbf930ca0f1e090ec68da9a37b657d11bc9e43b30643455d6a96dbf73116ca", "apache license version 2 0 january 2004 http www apache org licenses", 29),  # terms
+    ("Artistic-1.0-Perl", "f7fec2048e2502b8b653a12ac095bcb0601f72bbd1d535b2e8adf8e097d2f915", "the artistic license", 31),  # whole
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", "creative commons legal code", 13),  # whole
+    ("GFDL-1.2", "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f", "gnu free documentation license version 1 2 november 2002", 58),  # whole
+    ("GFDL-1.3", "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480", "gnu free documentation license version 1 3 3 november 2008", 69),  # whole
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c", "gnu general public license version 1 february 1989", 50),  # whole
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", "gnu general public license version 1 february 1989", 35),  # terms
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", "gnu general public license version 2 june 1991", 60),  # whole
+    ("GPL-2.0", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999", "gnu general public license version 2 june 1991", 45),  # terms
+    ("GPL-3.0", "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349", "gnu general public license version 3 29 june 2007", 124),  # whole
+    ("GPL-3.0", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975", "gnu general public license version 3 29 june 2007", 111),  # terms
+    ("LGPL-2.0", "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d", "gnu library general public license version 2 june 1991", 85),  # whole
+    ("LGPL-2.0", "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513", "gnu library general public license version 2 june 1991", 73),  # terms
+    ("LGPL-2.1", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e", "gnu lesser general public license version 2 1 february 1999", 87),  # whole
+    ("LGPL-2.1", "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1", "gnu lesser general public license version 2 1 february 1999", 75),  # terms
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "gnu lesser general public license version 3 29 june 2007", 37),  # whole
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61", "mozilla public license version 1 1", 73),  # whole
+    ("MPL-2.0", "e8c56be1c33e5804b83cd73ea30d582be9c788692b9730ab38d38b303e4f8312", "mozilla public license version 2 0", 83),  # whole
+)

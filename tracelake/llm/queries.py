@@ -81,21 +81,30 @@ def license_sql() -> str:
         form = f"replace({form}, '{spelling}', '{same}')"
     one_line = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'), ' ')"
     values = ", ".join(f"({quoted(name)}, {quoted(t)})" for name, several in licenses.KNOWN.items() for t in several)
+    long = ", ".join(f"({quoted(name)}, '{digest}', {quoted(first)}, {n})" for name, digest, first, n in licenses.LONG)
+    blocks = f"list_filter(list_transform(string_split_regex(form, '\\n[ ]*\\n'), lambda p: {one_line('p')}), lambda p: p <> '')"
     return f"""
-        WITH known AS (
-            SELECT DISTINCT license, sha256({one_line("form")}) AS digest
-            FROM (SELECT license, {form} AS form FROM (VALUES {values}) AS v(license, text))
+        WITH texts AS (SELECT license, form, {blocks} AS blocks FROM (SELECT license, {form} AS form FROM (VALUES {values}) AS v(license, text))
+        ), known AS (
+            SELECT license, sha256({one_line("form")}) AS digest, blocks[1] AS first, len(blocks) AS n FROM texts
+            UNION SELECT * FROM (VALUES {long}) AS v(license, digest, first, n)
+        ), starts AS (SELECT DISTINCT first, n FROM known WHERE n > 1
         ), d AS (SELECT doc_id, {form} AS form FROM documents
+        ), b AS (SELECT doc_id, form, {blocks} AS blocks FROM d
+        ), runs AS (
+            SELECT doc_id, list(array_to_string(blocks[i : i + n - 1], ' ')) AS runs
+            FROM (SELECT doc_id, blocks, n, first, unnest(range(1, len(blocks) - n + 2)) AS i FROM b JOIN starts ON list_contains(blocks, first))
+            WHERE blocks[i] = first GROUP BY doc_id
         ), parts AS (
             SELECT doc_id, form, unnest(list_distinct(list_concat(
                 [{one_line("form")}],
                 list_filter(list_transform(string_split(form, chr(10)), lambda p: trim(p, ' ')), lambda p: p <> ''),
-                list_filter(list_transform(string_split_regex(form, '\\n[ ]*\\n'), lambda p: {one_line("p")}), lambda p: p <> '')))) AS part
-            FROM d
+                blocks, coalesce(runs, [])))) AS part
+            FROM b LEFT JOIN runs USING (doc_id)
         ), units AS (SELECT doc_id, sha256({one_line("form")}) AS text_digest, sha256(part) AS digest FROM parts)
         SELECT doc_id, text_digest, max(CASE WHEN units.digest = text_digest THEN license END) AS license, count(license) AS n_matches,
                coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
-        FROM units LEFT JOIN known ON known.digest = units.digest GROUP BY doc_id, text_digest
+        FROM units LEFT JOIN (SELECT DISTINCT license, digest FROM known) AS known ON known.digest = units.digest GROUP BY doc_id, text_digest
     """
 
 
