@@ -1,20 +1,26 @@
 """Personal data: weak supervision over candidate spans, in DataFrame functions only.
 
-Candidates of four kinds come from fixed base patterns and from wider ones
-(masked e-mail addresses, IPv6, card numbers with dots or slashes, telephone
-numbers without a country code).  Three labelers vote on each candidate, yes (1),
-no (-1) or nothing (0): a regular-expression labeler (the base pattern with its
-check passed or failed), a gazetteer (top-level domains, address ranges, card
-issuers, calling and area codes) and a context labeler (cue words shortly
-before the span).  Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is for each kind and gives every pattern a
-probability.  A logistic span classifier is trained on these probabilities with
-the features of the candidates, and decides which candidates become spans.
-Base spans always stay.
+Candidates come from the fixed base patterns of four kinds (e-mail, IP, card,
+phone) and from wider patterns: masked e-mail addresses, IPv6, card numbers with
+dots or slashes, telephone numbers without a country code, and four kinds more
+(secrets such as tokens and keys, IBANs, US social security numbers, street
+addresses).  Three labelers vote on each candidate, yes (1), no (-1) or nothing
+(0): a regular-expression labeler (the strict form of the kind, its ranges and
+its checksum), a gazetteer (top-level domains, address ranges, card issuers,
+calling and area codes, prefixes of keys, countries of IBANs, street types) and
+a context labeler (cue words on both sides; words that name other numbers, such
+as orders, versions and digests, vote no).  Expectation-maximisation over the
+counts of vote patterns estimates how reliable each labeler is for each kind and
+gives every pattern a probability.  A logistic span classifier is trained on
+these probabilities with the features of the candidates, and decides which
+candidates become spans.  Base spans always stay.
+
+A wider candidate of a base kind gives way to base spans that it overlaps; one of
+the other kinds doesn't, so a token that holds a card number is a span too.
 
 The text is read in one narrow pass without a shuffle.  What leaves Spark for
 fitting is one table of counts by vote and feature pattern, at most
-4 * 3**3 * 2**5 rows whatever the input; the fitted weights return as literals.
+8 * 3**3 * 2**5 rows whatever the input; the fitted weights return as literals.
 
 Positions are code points.  A pattern's matches and the text between them
 (``regexp_extract_all`` and ``split`` with the same pattern) give them by
@@ -36,7 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_path
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds with base patterns, and those that only the classifier adds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret", "iban", "ssn", "address")
 
 #: Base patterns, by kind.
 BASE = {
@@ -48,10 +56,15 @@ BASE = {
 #: Wider patterns of the candidates that the classifier decides on.
 WIDER = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}){1,8}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:.])",
     "card": r"(?<![0-9.,/-])[0-9]{4}[./][0-9]{4}[./][0-9]{4}[./][0-9]{1,7}(?![0-9./-])",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_-]{0,127}[0-9])(?=[0-9+/_-]{0,127}[A-Za-z])[A-Za-z0-9+/_-]{20,128}+={0,2}+(?![A-Za-z0-9+/_=-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "address": r"(?<![0-9A-Za-z.,-])[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Place|St|Ave|Rd|Ln|Dr|Blvd|Way)(?![A-Za-z])",
 }
+CARD_DIGITS = (13, 19)
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Gazetteers (fixed values): top-level domains, card issuers' first digits, calling codes, address ranges that are nobody's.
@@ -60,15 +73,29 @@ ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|30[0-5]|3[68]|6011|65|35)"
 CALLING = r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58]|[2-9][0-9]{2})"
 AREA = r"^\(?[2-9][0-9]{2}"
 NOBODY = r"^(?:0+\.|127\.|255\.|22[4-9]\.|23[0-9]\.)"
+GLOBAL_6 = r"(?i)^(?:[23][0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):"
+#: Beginnings of well-known keys, and a form that names things and opens nothing.
+KEYS = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|rk_live_|AIza|eyJ|npm_|pypi-)"
+GROUPED = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+#: Countries with the length of their IBANs.
+COUNTRIES = r"^(?:AT.{18}|BE.{14}|CH.{19}|CZ.{22}|DE.{20}|DK.{16}|ES.{22}|FI.{16}|FR.{25}|GB.{20}|GR.{25}|HU.{26}|IE.{20}|IT.{25}|LU.{18}|NL.{16}|NO.{13}|PL.{26}|PT.{23}|SE.{22})$"
+STREETS = r"(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Place)$"
+SAMPLE_SSN = r"^(?:078-05-1120|219-09-9999|123-45-6789)$"
 #: Cue words by kind, in the languages at hand (fixed values).
 CUES = {
-    "email": r"(?i)\b(?:e-?mail|mail|contact|contacto|kontakt|courriel|correo)\b",
-    "ip": r"(?i)\b(?:ip|address|host|server|addr|adresse|direcci[oó]n|client)\b",
+    "email": r"(?i)\b(?:e-?mail|mail|contact|contacto|kontakt|courriel|correo|write)\b",
+    "ip": r"(?i)\b(?:ip|ipv6|address|host|server|addr|adresse|direcci[oó]n|client|login)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|carte|tarjeta)\b",
     "phone": r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|t[ée]l[ée]phone|tel[ée]fono|anruf|appelez)\b",
+    "secret": r"(?i)(?:token|secret|passwor[dt]|passwd|pwd|credential|bearer|auth\w*|api[_ -]?key|access[_ -]?key|private[_ -]?key|\bkey)\b[\"']? ?(?:is|[:=])? ?[\"']?$",
+    "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta|transfer|pay)\b",
+    "ssn": r"(?i)\b(?:ssn|social security|taxpayer|tax id)\b",
+    "address": r"(?i)\b(?:address|lives?|living|resid\w+|home|ship|deliver\w*|visit|located|mail|moved)\b",
 }
-#: Characters before a span that the context labeler reads.
-BEFORE = 40
+#: Words right before a span that name a number of another sort (fixed values).
+OTHERS = r"(?i)\b(?:order|invoice|isbn|issn|version|serial|part|item|page|commit|checksum|digest|sha\d*|md5|hash|uuid|guid|build|model|ticket|rev(?:ision)?|etag|row|section)\b[ #:=.\"']*(?:no\.?|number)?[ #:=.\"']*$"
+#: Characters before and after a span that the context labeler reads.
+BEFORE, AFTER = 40, 20
 #: Probability from which the classifier adds a span; a number that fails its checksum stays well below it.
 ACCEPT = 0.8
 #: Rounds of expectation-maximisation, and of the classifier's training with its rate and penalty.
@@ -99,22 +126,53 @@ def found(rows: DataFrame, name: str, kind: str, pattern: str, base: bool, possi
         lambda at, i: F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), at.alias("start"), (at + F.char_length(F.col("_m")[i])).alias("end"), F.col("_m")[i].alias("m"),
             F.right(F.col("_p")[i], F.lit(BEFORE)).alias("before"),
-            F.substring(F.col("_p")[i + 1], 1, 1).alias("after"), F.lit(base).alias("base"),
+            F.substring(F.col("_p")[i + 1], 1, AFTER).alias("after"), F.lit(base).alias("base"),
         ),
     )
     return placed.withColumn(name, spans).drop("_p", "_m", "_s")
 
 
+def luhn(digits: Column) -> Column:
+    n = F.char_length(digits)
+    return n.between(*CARD_DIGITS) & F.when(n.between(*CARD_DIGITS), F.call_function("luhn_check", digits)).otherwise(False)
+
+
+def by_kind(kind: Column, values: dict[str, Column], other: Column | int) -> Column:
+    out = F.when(F.lit(False), other)
+    for name, value in values.items():
+        out = out.when(kind == KINDS.index(name), value)
+    return out.otherwise(other)
+
+
 def passes(span: Column) -> Column:
     """The checks of the base patterns, by kind."""
     digits = F.regexp_replace(span["m"], "[^0-9]", "")
-    n = F.char_length(digits)
-    return (
-        F.when(span["kind"] == 0, True)
-        .when(span["kind"] == 1, span["m"].rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"))
-        .when(span["kind"] == 2, n.between(13, 19) & F.when(n.between(13, 19), F.call_function("luhn_check", digits)).otherwise(False))
-        .otherwise(n.between(9, 15))
-    )
+    return by_kind(
+        span["kind"],
+        {"email": F.lit(True), "ip": span["m"].rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"), "card": luhn(digits), "phone": F.char_length(digits).between(9, 15)}, F.lit(False),
+    )
+
+
+def iban_holds(m: Column) -> Column:
+    """Whether the check digits of an IBAN are right: its digits, letters as 10 to 35 and the first four last, leave 1 of 97."""
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 4))
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97))
+    return rest == 1
+
+
+def strict(span: Column, digits: Column) -> Column:
+    """What the regular-expression labeler says of a wider candidate."""
+    m = span["m"]
+    turns = F.size(F.regexp_extract_all(m, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]"), F.lit(0)))
+    return F.when(
+        by_kind(
+            span["kind"],
+            {"email": m.rlike(r"[A-Za-z]{2,}$"), "ip": m.rlike("(?i)[0-9a-f]:"), "card": luhn(digits), "phone": m.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}"),
+             "secret": turns >= 3, "iban": iban_holds(m), "ssn": m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), "address": m.rlike(r"^[1-9]")}, F.lit(False),
+        ), 1,
+    ).otherwise(-1)
 
 
 def overlap(x: Column, y: Column) -> Column:
@@ -123,24 +181,26 @@ def overlap(x: Column, y: Column) -> Column:
 
 def voted(span: Column) -> Column:
     """A candidate with its votes and features."""
-    kind, m, before = span["kind"], span["m"], span["before"]
+    kind, m, before, after = span["kind"], span["m"], span["before"], span["after"]
     digits = F.regexp_replace(m, "[^0-9]", "")
-    n = F.char_length(digits)
-    checked = F.when(kind == 2, F.when(n.between(13, 19), F.call_function("luhn_check", digits)).otherwise(False)).when(kind == 3, n.between(9, 15)).otherwise(span["ok"])
-    by_regex = F.when(span["ok"], 1).when(span["base"], -1).otherwise(0)
-    by_gazetteer = (
-        F.when(kind == 0, F.when(F.regexp_replace(m, r"(?i) ?[\[({]dot[\])}] ?", ".").rlike(DOMAINS), 1).otherwise(-1))
-        .when(kind == 1, F.when(m.rlike(NOBODY), -1).otherwise(0))
-        .when(kind == 2, F.when(digits.rlike(ISSUERS), 1).otherwise(-1))
-        .otherwise(F.when(m.startswith("+"), F.when(m.rlike(CALLING), 1).otherwise(-1)).otherwise(F.when(m.rlike(AREA), 1).otherwise(-1)))
-    )
-    cued = F.lit(0)
-    for i, name in enumerate(KINDS):
-        cued = F.when(kind == i, F.when(before.rlike(CUES[name]), 1).otherwise(0)).otherwise(cued)
+    yes_no = lambda c: F.when(c, 1).otherwise(-1)
+    by_regex = F.when(span["base"], yes_no(span["ok"])).otherwise(strict(span, digits))
+    by_gazetteer = by_kind(
+        kind,
+        {
+            "email": yes_no(F.regexp_replace(m, r"(?i) ?[\[({]dot[\])}] ?", ".").rlike(DOMAINS)), "ip": F.when(m.rlike(NOBODY), -1).when(m.rlike(GLOBAL_6), 1).otherwise(0),
+            "card": yes_no(digits.rlike(ISSUERS)), "phone": yes_no(F.when(m.startswith("+"), m.rlike(CALLING)).otherwise(m.rlike(AREA))),
+            "secret": F.when(m.rlike(KEYS), 1).when(m.rlike(GROUPED), -1).otherwise(0), "iban": yes_no(F.replace(m, F.lit(" "), F.lit("")).rlike(COUNTRIES)),
+            "ssn": F.when(m.rlike(SAMPLE_SSN), -1).otherwise(0), "address": F.when(m.rlike(STREETS), 1).otherwise(0),
+        }, F.lit(0),
+    )
+    cued = by_kind(kind, {name: before.rlike(cue) | (F.lit(name != "secret") & after.rlike(cue)) for name, cue in CUES.items()}, F.lit(False))
+    by_context = F.when(cued, 1).when(before.rlike(OTHERS), -1).otherwise(0)
+    checked = by_kind(kind, {"card": luhn(digits), "phone": F.char_length(digits).between(9, 15)}, by_regex == 1)
     return F.struct(
         kind.alias("kind"), span["start"].alias("start"), span["end"].alias("end"), span["ok"].alias("ok"),
-        by_regex.alias("regex"), by_gazetteer.alias("gazetteer"), cued.alias("context"),
-        F.coalesce(before.rlike(r"[\p{L}\p{N}]$"), F.lit(False)).alias("glued_left"), F.coalesce(span["after"].rlike(r"^[\p{L}\p{N}]"), F.lit(False)).alias("glued_right"),
+        by_regex.alias("regex"), by_gazetteer.alias("gazetteer"), by_context.alias("context"),
+        F.coalesce(before.rlike(r"[\p{L}\p{N}]$"), F.lit(False)).alias("glued_left"), F.coalesce(after.rlike(r"^[\p{L}\p{N}]"), F.lit(False)).alias("glued_right"),
         checked.alias("checked"), digits.rlike("^([0-9])\\1*$").alias("repeated"), m.rlike("[ ()]").alias("spaced"),
     )
 
@@ -151,15 +211,19 @@ def candidates(docs: DataFrame, text_col: str = "text", name: str = "candidates"
     rows = docs.select(carried, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumns({"_digits": F.col("_text").rlike("[0-9]"), "_masked": F.col("_text").rlike(r"(?i)[\[({]at[\])}]")})
     for kind in KINDS:
-        rows = found(rows, f"_b_{kind}", kind, BASE[kind], True, F.col("_text").contains("@") if kind == "email" else F.col("_digits"))
+        if kind in BASE:
+            rows = found(rows, f"_b_{kind}", kind, BASE[kind], True, F.col("_text").contains("@") if kind == "email" else F.col("_digits"))
         rows = found(rows, f"_w_{kind}", kind, WIDER[kind], False, F.col("_masked") if kind == "email" else F.col("_digits"))
     with_check = lambda s: s.withField("ok", passes(s) & s["base"])
-    based = F.transform(F.concat(*[F.col(f"_b_{k}") for k in KINDS]), with_check)
+    based = F.transform(F.concat(*[F.col(f"_b_{k}") for k in BASE_KINDS]), with_check)
     rows = rows.select("_row", based.alias("_based"), F.transform(F.concat(*[F.col(f"_w_{k}") for k in KINDS]), with_check).alias("_wider"))
-    # A wider candidate gives way to any base span, and to a failed base match of its own kind.
-    free = F.filter("_wider", lambda w: ~F.exists("_based", lambda b: overlap(w, b) & (b["ok"] | (b["kind"] == w["kind"]))))
-    several = F.filter("_based", lambda b: b["ok"] | F.char_length(F.regexp_replace(b["m"], "[^0-9]", "")).between(9, 19))
-    rows = rows.select("_row", F.transform(F.concat(several, F.when(F.size("_wider") > 0, free).otherwise(F.col("_wider"))), voted).alias(name))
+    # Of the failed base matches those with the digits of a card are candidates.
+    of_use = F.filter("_based", lambda b: b["ok"] | F.char_length(F.regexp_replace(b["m"], "[^0-9]", "")).between(*CARD_DIGITS))
+    rows = rows.withColumn("_based", of_use)
+    # A wider candidate of a base kind gives way to any base span, and to a failed base match of its own kind.
+    taken = lambda w: F.exists("_based", lambda b: overlap(w, b) & (b["ok"] | (b["kind"] == w["kind"])))
+    free = F.filter("_wider", lambda w: (w["kind"] >= len(BASE_KINDS)) | ~taken(w))
+    rows = rows.select("_row", F.transform(F.concat(F.col("_based"), F.when(F.size("_wider") > 0, free).otherwise(F.col("_wider"))), voted).alias(name))
     return rows.select("_row.*", name)
 
 
@@ -263,7 +327,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = rows.select("doc_id", accepted(weights).alias("_spans"))
     base = F.filter("_spans", lambda s: s["base"])
     of_kind = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
     return spans.withColumn("_base", base).select(
         "doc_id", *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans")
     )
