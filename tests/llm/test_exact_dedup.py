@@ -37,6 +37,17 @@ def test_deduplicate_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [2, 4]
 
 
+def test_hot_groups_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 7)
+    docs = [(i if i % 3 else None, "Hot") for i in range(300)] + [(1000 + i, f"t{i % 40}") for i in range(200)] + [(None, "none")] * 50
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    rows = exact_dedup.assign(frame).collect()
+    assert len(rows) == 550 and sum(r["kept"] for r in rows) == 42
+    hot = [r for r in rows if r["keep_id"] == 299]
+    assert len(hot) == 300 and {r["group_size"] for r in hot} == {300} and [r["doc_id"] for r in hot if r["kept"]] == [299]
+    assert sum(r["kept"] for r in rows if r["keep_id"] is None) == 1
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.assign(docs).collect() == [] and exact_dedup.deduplicate(docs).collect() == []
@@ -48,7 +59,13 @@ def test_buckets_split_and_the_directory_doubles(spark):
     directory = exact_dedup.grow_directory(keys, 20)
     sizes = [r["count"] for r in directory.locate(keys).groupBy("bucket").count().collect()]
     assert max(sizes) <= 20 and sum(sizes) == 1000
-    assert directory.depth >= 6 and len(directory.slots) == 1 << directory.depth
+    slots = directory.slots(spark).toPandas()
+    assert directory.depth > directory.first >= 5 and sorted(slots["prefix"]) == list(range(1 << directory.depth))
+    bucket_of = dict(zip(slots["prefix"], slots["bucket"], strict=True))
+    located = directory.locate(keys).collect()
+    assert all(bucket_of[(r["key"] & (1 << 64) - 1) >> (64 - directory.depth)] == r["bucket"] for r in located)
+    owners = [(r["bucket"], r["o"]) for r in directory.locate(keys).select("bucket", directory.owner().alias("o")).distinct().orderBy("bucket").collect()]
+    assert owners == sorted(owners) and {o for _, o in owners} == set(range(directory.owners)) and len(owners) == len(set(b for b, _ in owners))
     rows = exact_dedup.assign(docs, capacity=20).collect()
     assert len(rows) == 3000 and all(r["group_size"] == 3 and r["keep_id"] == r["doc_id"] % 1000 + 2000 for r in rows)
 

@@ -5,15 +5,19 @@ a 64-bit key.  The leading ``depth`` bits of a key select a slot of the
 directory, and each slot points to a bucket.  A bucket with more than
 ``capacity`` keys is split on its next bit; when its own depth has reached the
 directory's, the directory doubles first.  Splitting works on counts of keys
-per prefix (one Spark aggregate per round over the overfull buckets only), so
-no text moves before the directory is settled.
+per bucket (one Spark aggregate per round), so no text moves before the
+directory is settled.  The directory is not gathered anywhere: its first slots
+follow from the number of keys, and each doubling is a table of the buckets that
+it splits, which is empty or small as keys are hashes.
 
 Each map task first folds its copies of a text into one entry, so a text that
 a third of all rows share reaches its owner as one entry per task.  The entries
-then go to the owner task of their bucket, which walks its key range in order,
-chains the entries whose keys collide and compares their bytes.  The resolved
-index (bucket, key, chain position, keeper, size) is written as Parquet files
-in the shared folder; lookups join against those files.
+then go to owner tasks.  An owner has a range of keys, BUCKETS_OWNED of the
+first buckets with all that they were split into, so owners grow in number, not
+in size.  It walks its range in order, chains the entries whose keys collide and
+compares their bytes.  The resolved index (bucket, key, chain position, keeper,
+size) is written as Parquet files in the shared folder; lookups join against
+those files, and groups of more than HOT_ROWS rows are salted there.
 
 Defined cases: a null text counts as empty; of rows that tie on the largest
 ``doc_id`` (repeated rows) one stays; a group without any ``doc_id`` keeps one
@@ -36,8 +40,12 @@ from .common import cut, held, mapped, shared_path
 CAPACITY = 5_000
 #: Bytes of text a map task holds before it passes its folded entries on.
 FOLD_BYTES = 16 << 20
-#: Directories up to this many slots are broadcast; larger ones are joined.
-BROADCAST_SLOTS = 1 << 20
+#: First buckets that one owner task has.
+BUCKETS_OWNED = 4
+#: Rows of a group that one task looks up, about.
+HOT_ROWS = 100_000
+#: Tables of up to this many rows are broadcast; larger ones are joined.
+BROADCAST_ROWS = 1 << 20
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,51 +70,54 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 class Directory:
-    """Slots of an extendible-hash directory: ``slots[prefix]`` is (bucket, local depth).
+    """An extendible-hash directory over the leading bits of keys.
 
     A bucket's number is the first prefix that points to it, followed by zeros
     to 48 bits, so bucket numbers rise with the keys and never change meaning
-    when the directory doubles.
+    when the directory doubles.  ``splits`` has a table of the buckets that each
+    doubling splits, with its size.
     """
 
     BITS = 48
 
     def __init__(self, depth: int) -> None:
-        self.depth = depth
-        self.slots = [(p << (self.BITS - depth), depth) for p in range(1 << depth)]
-
-    def double(self) -> None:
-        self.slots = [s for s in self.slots for _ in (0, 1)]
-        self.depth += 1
-
-    def split(self, bucket: int) -> bool:
-        """Split ``bucket`` on its next bit; False when the key has no bit left."""
-        at = bucket >> (self.BITS - self.depth)
-        local = self.slots[at][1]
-        if local == self.BITS:
-            return False
-        if local == self.depth:
-            self.double()
-            at *= 2
-        half = 1 << (self.depth - local - 1)
-        for i in range(at, at + half):
-            self.slots[i] = (bucket, local + 1)
-        for i in range(at + half, at + 2 * half):
-            self.slots[i] = (bucket | 1 << (self.BITS - local - 1), local + 1)
-        return True
-
-    def frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(
-            [(p, bucket) for p, (bucket, _) in enumerate(self.slots)], "prefix long, bucket long"
-        )
+        self.first = depth
+        self.splits: list[tuple[DataFrame, int]] = []
+
+    @property
+    def depth(self) -> int:
+        return self.first + len(self.splits)
+
+    def double(self, overfull: DataFrame, n: int) -> None:
+        """One bit more; ``overfull`` (bucket) are split on it, all others keep two slots for one."""
+        self.splits.append((overfull, n))
 
     def locate(self, df: DataFrame) -> DataFrame:
         """``df`` with the bucket of each key."""
-        slots = self.frame(df.sparkSession)
-        if len(self.slots) <= BROADCAST_SLOTS:
-            slots = F.broadcast(slots)
-        return df.withColumn("prefix", prefix(self.depth)).join(slots, "prefix").drop("prefix")
+        out = df.withColumn("bucket", F.shiftleft(prefix(self.first), self.BITS - self.first))
+        for depth, (split, n) in enumerate(self.splits, self.first + 1):
+            bit = F.shiftleft(F.shiftrightunsigned("key", 64 - depth).bitwiseAND(F.lit(1)), self.BITS - depth)
+            out = out.join(small(split.select("bucket", F.lit(True).alias("_split")), n), "bucket", "left")
+            out = out.withColumn("bucket", F.when(F.col("_split"), F.col("bucket").bitwiseOR(bit)).otherwise(F.col("bucket"))).drop("_split")
+        return out
+
+    def slots(self, spark) -> DataFrame:
+        """(prefix, bucket) of each slot."""
+        prefixes = spark.range(1 << self.depth).withColumnRenamed("id", "prefix")
+        return self.locate(prefixes.withColumn("key", F.shiftleft("prefix", (64 - self.depth) % 64))).drop("key")
+
+    @property
+    def owners(self) -> int:
+        return max(1, (1 << self.first) // BUCKETS_OWNED)
+
+    def owner(self):
+        """The owner of a key: first buckets are dealt in order."""
+        return F.shiftright(prefix(self.first) * self.owners, self.first).cast("int")
 
 
 def prefix(depth: int):
@@ -120,13 +131,15 @@ def grow_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
     ``keys`` has one row for each distinct key, so equal texts never overfill a
     bucket, and a hash spreads distinct ones: a few rounds settle it.
     """
-    n = keys.count()
-    directory = Directory(max(0, (n // capacity).bit_length()))
-    while True:
+    directory = Directory((keys.count() // capacity).bit_length())
+    while directory.depth < Directory.BITS:
         sizes = directory.locate(keys).groupBy("bucket").count()
-        full = [r["bucket"] for r in sizes.where(F.col("count") > capacity).collect()]
-        if not any([directory.split(b) for b in full]):
-            return directory
+        overfull = cut(sizes.where(F.col("count") > capacity).select("bucket"))
+        n = overfull.count()
+        if not n:
+            break
+        directory.double(overfull, n)
+    return directory
 
 
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,19 +222,38 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     directory = grow_directory(keys, capacity)
     entries = directory.locate(mapped(rows, fold, ENTRY))
     path = shared_path(spark, "exact-index")
-    owned = entries.repartition("bucket").sortWithinPartitions("bucket", "key")
+    owned = entries.repartitionById(directory.owners, directory.owner()).sortWithinPartitions("bucket", "key")
     mapped(owned.select("bucket", "key", "norm", "sha", "keep_id", "size"), own, INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
+def looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows`` joined with the index on (key, sha); the rows of a large group are dealt to several tasks."""
+    hot = cut(index.where(F.col("group_size") > HOT_ROWS).select("key", "sha", F.ceil(F.col("group_size") / HOT_ROWS).cast("int").alias("_salts")))
+    n = hot.count()
+    if not n:
+        return rows.join(index, ["key", "sha"])
+    salts = small(hot, n)
+    dealt = rows.withColumn("_turn", F.monotonically_increasing_id()).join(salts, ["key", "sha"], "left")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod("_turn", "_salts"), F.lit(0)).cast("int")).drop("_turn", "_salts")
+    every = index.join(salts, ["key", "sha"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(every, ["key", "sha", "_salt"]).drop("_salt")
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of rows that repeat the keeper's id (or, in a group without ids, of all its
+    rows) one is kept: the first of each task's rows, then the first of those.
+    """
     index = build_index(docs, id_col, text_col, capacity).select("key", "sha", "keep_id", "group_size")
-    rows = keyed(docs, id_col, text_col).select("doc_id", "key", "sha").join(index, ["key", "sha"])
-    ties = Window.partitionBy("doc_id", "sha").orderBy("keep_id")
-    top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.withColumn("turn", F.row_number().over(ties)).select(
-        "doc_id", "keep_id", "group_size", (top & (F.col("turn") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
+    rows = looked_up(keyed(docs, id_col, text_col).select("doc_id", "key", "sha", F.spark_partition_id().alias("_task")), index)
+    within = Window.partitionBy("doc_id", "sha", "_task").orderBy("keep_id")
+    rows = rows.withColumn("_first", F.row_number().over(within) == 1)
+    among = Window.partitionBy("doc_id", "sha", F.when(F.col("_first"), -1).otherwise(F.col("_task"))).orderBy("_task")
+    top = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("_first")
+    return rows.withColumn("_turn", F.row_number().over(among)).select(
+        "doc_id", "keep_id", "group_size", (top & (F.col("_turn") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
