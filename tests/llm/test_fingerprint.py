@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -47,6 +49,64 @@ def test_single_rows_ties_and_missing_ids(spark):
     assert len(fingerprint.with_neighbours(none).collect()) == 2
 
 
+def lanes_by_hand(spark, texts):
+    """Lanes of each text in plain integers; only the hash function is Spark's."""
+    parts = {t: [(line, [w for w in re.split("[ \\t\\r\\x0b\\f]+", line) if w]) for line in t.split("\n")] for t in texts}
+    lines = sorted({line for ls in parts.values() for line, _ in ls})
+    pairs = sorted({p for ls in parts.values() for _, ws in ls if ws for p in zip(["\0", *ws], [*ws, "\0"])})
+    seeded = spark.createDataFrame([(line,) for line in lines], "line string").select("line", *[F.xxhash64(F.lit(s), "line").alias(f"h{s}") for s in range(8)])
+    line_hash = {r["line"]: [r[f"h{s}"] & (1 << 64) - 1 for s in range(8)] for r in seeded.collect()}
+    hashed = spark.createDataFrame(pairs or [("", "")], "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h"))
+    pair_hash = {(r["a"], r["b"]): r["h"] & (1 << 64) - 1 for r in hashed.collect()}
+    out = {}
+    for t, ls in parts.items():
+        lanes = [0] * 80
+        for line, ws in ls:
+            for s, h in enumerate(line_hash[line]):
+                lanes[2 * s] = (lanes[2 * s] + (h >> 32)) % 2**32
+                lanes[2 * s + 1] = (lanes[2 * s + 1] + h) % 2**32
+            for p in zip(["\0", *ws], [*ws, "\0"]) if ws else ():
+                h = pair_hash[p]
+                lanes[16 + (h >> 1) % 64] = (lanes[16 + (h >> 1) % 64] + (-1 if h & 1 else 1)) % 2**24
+        out[t] = lanes
+    return out
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    p, q = ([v - 2**24 if v >= 2**23 else v for v in x[16:]] for x in (a, b))
+    norm = math.sqrt(sum(v * v for v in p) * sum(v * v for v in q))
+    return min(1.0, max(0.0, sum(v * w for v, w in zip(p, q)) / norm)) if norm else 0.0
+
+
+def test_fingerprints_and_likeness_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 6)
+    docs = corpus(60, 4) + [(10_000, "one \t two\n\n\none two\n" * 40), (10_001, "x " * 60_000), (1 << 61, " "), ((1 << 61) + 1, "a\r\nb")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = {r["doc_id"]: r for r in fingerprint.with_neighbours(frame).collect()}
+    assert len(rows) == len(docs)
+    texts = [t or "" for _, t in docs]
+    edited = [t[: len(t) - len(t) // 4] + texts[(k + 1) % len(texts)][: len(t) // 4] for k, t in enumerate(texts)]
+    lanes = lanes_by_hand(spark, set(texts) | set(edited))
+    shown = lambda x: "".join(f"{v:08x}" for v in x[:16]) + "".join(f"{v:06x}" for v in x[16:])
+    for k, (doc, _) in enumerate(docs):
+        own, other, after = lanes[texts[k]], lanes[edited[k]], lanes[texts[(k + 1) % len(texts)]]
+        assert (rows[doc]["fingerprint"], rows[doc]["edited_fingerprint"]) == (shown(own), shown(other))
+        assert math.isclose(rows[doc]["near_edited"], alike(own, other), abs_tol=1e-12) and math.isclose(rows[doc]["near_next"], alike(own, after), abs_tol=1e-12)
+
+
+def test_ranges_follow_crowded_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+    for ids in ([*range(200), *(10**17 + 10**9 * i for i in range(30)), (1 << 63) - 1], [-(1 << 63), -5, 0, 7, (1 << 63) - 1]):
+        docs = [(i, f"text {i} " * 5) for i in sorted(ids)]
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        rows = fingerprint.with_neighbours(frame).select("doc_id", "n_chars", "edited_sha256").collect()
+        assert sorted(map(tuple, rows)) == neighbours(docs)
+        sizes = [r["count"] for r in fingerprint.ranged(frame).groupBy("_range").count().collect()]
+        assert max(sizes) <= 20 and sum(sizes) == len(ids)
+
+
 def test_order_does_not_matter_and_updates_add_up(spark):
     docs = spark.createDataFrame([(0, "a b\nc d\nc d\n"), (1, "\nc d\na b\nc d"), (2, "a b\nc d\n"), (3, "c d"), (4, "a b\nc d\nc e\n")], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}

@@ -17,26 +17,34 @@ documents share, also when every paragraph was touched; ``likeness`` is that
 cosine, no less than 0, and exactly 1 for equal fingerprints.
 
 ``with_neighbours`` needs each document's successor by ``doc_id``.  Rows are
-dealt to ranges of ids whose bounds are quantiles of the ids; the row at a bound
-also enters the range before it as a guest.  All that follows (successors, the
-edited texts, sums per document, successors' fingerprints) keeps that
-partitioning, so texts are shuffled once.
+dealt to ranges of ids in two steps, both by approximate quantiles: at most
+STEP parts of all ids, and of each part at most STEP ranges, so a table of a
+billion rows has a million ranges of RANGE_ROWS rows, and one of fifty billion
+has ranges of 50,000.  The first row of each range also enters the range before
+it as a guest.  All that follows (successors, the edited texts, sums per
+document, successors' fingerprints) keeps that partitioning, so texts are
+shuffled once.
 
 Defined cases: a null text is an empty one, which is one empty paragraph; two
 texts without any word are alike if they are equal; rows that tie on ``doc_id``
-follow each other by text; rows without ``doc_id`` come last; a single row is
-its own successor; an empty table gives an empty result.
+follow each other by text; rows without ``doc_id`` come last, in the order of
+hashes of their texts; a single row is its own successor; an empty table gives
+an empty result; other columns play no part.  Rows of one id stay in one range.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_IDS, cut
+
 EQUAL_LANES, EQUAL_BITS = 16, 32
 NEAR_LANES, NEAR_BITS = 64, 24
-#: Rows in a range of ids, about; ranges number MAX_RANGES at most.
-RANGE_ROWS, MAX_RANGES = 400, 40_000
+#: Rows in a range of ids, about, while STEP * STEP ranges are enough.
+RANGE_ROWS, STEP = 1_000, 1_000
 
 EDGE = "\u0000"
 
@@ -58,29 +66,39 @@ def lane(value: Column, bits: int) -> Column:
     return value.bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def equal_sums(lines: Column) -> Column:
+    """The sums of the equality lanes over the paragraphs of a text, not yet reduced."""
+    low = (1 << 32) - 1
+
+    def more(seed: Column):
+        def add(sums: Column, line: Column) -> Column:
+            h = F.xxhash64(seed, line)
+            return F.struct((sums["high"] + F.shiftrightunsigned(h, 32)).alias("high"), (sums["low"] + h.bitwiseAND(F.lit(low))).alias("low"))
+
+        return add
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("high"), F.lit(0).cast("bigint").alias("low"))
+    one = lambda seed: F.aggregate(lines, zero, more(F.lit(seed)), lambda s: F.array(s["high"], s["low"]))
+    return F.concat(*[one(seed) for seed in range(EQUAL_LANES // 2)])
+
+
 def summed(rows: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys`` and the fingerprint's lanes (array ``lanes``) of each group of ``keys``.
 
-    The exploded word pairs are folded into one row per document where they
-    arise, before any exchange.
+    A text's units are its word pairs and the sums of its equality lanes.  Units
+    are folded by (keys, lane) where they arise, before any exchange; a second
+    fold puts the lanes of a text side by side.
     """
-    # Arrays here are never empty; the outer forms keep Spark from adding a filter that computes them twice.
-    lines = rows.select(*keys, F.explode_outer(paragraphs(F.col(text_col))).alias("_line"))
-    seeded = [F.xxhash64(F.lit(seed), "_line").alias(f"_h{seed}") for seed in range(EQUAL_LANES // 2)]
-    units = lines.select(*keys, *seeded, F.posexplode_outer(pair_hashes(F.col("_line"))).alias("_at", "_pair"))
-    # The paragraph's own lanes count once, with its first pair or with none.
-    once = F.coalesce(F.col("_at"), F.lit(0)) == 0
-    place = F.pmod(F.shiftrightunsigned("_pair", 1), F.lit(NEAR_LANES))
-    sign = F.when(F.col("_pair").bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1)
-    units = units.withColumns({"_once": once, "_place": F.coalesce(place, F.lit(-1)), "_sign": sign.cast("long")})
-    sums = []
-    for seed in range(EQUAL_LANES // 2):
-        for half in (F.shiftrightunsigned(f"_h{seed}", 32), F.col(f"_h{seed}")):
-            sums.append(F.sum(F.when(F.col("_once"), lane(half, 32)).otherwise(F.lit(0))))
-    for j in range(NEAR_LANES):
-        sums.append(F.sum(F.when(F.col("_place") == j, F.col("_sign")).otherwise(F.lit(0))))
-    named = [s.alias(f"_s{i}") for i, s in enumerate(sums)]
-    return reduced(units.groupBy(*keys).agg(*named), keys)
+    split_up = rows.select(*keys, paragraphs(F.col(text_col)).alias("_lines"))
+    both = split_up.select(*keys, F.flatten(F.transform("_lines", pair_hashes)).alias("_pairs"), equal_sums(F.col("_lines")).alias("_equal"))
+    # Arrays here are never empty; the outer form keeps Spark from adding a filter that computes them twice.
+    units = both.select(*keys, F.posexplode_outer(F.concat("_equal", "_pairs")).alias("_at", "_unit"))
+    pair = F.col("_at") >= EQUAL_LANES
+    place = F.when(pair, EQUAL_LANES + F.pmod(F.shiftrightunsigned("_unit", 1), F.lit(NEAR_LANES))).otherwise(F.col("_at"))
+    value = F.when(pair, F.when(F.col("_unit").bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1)).otherwise(F.col("_unit"))
+    folded = units.select(*keys, place.cast("int").alias("_place"), value.alias("_value")).groupBy(*keys, "_place").agg(F.sum("_value").alias("_value"))
+    sums = [F.sum(F.when(F.col("_place") == j, F.col("_value")).otherwise(F.lit(0))).alias(f"_s{j}") for j in range(EQUAL_LANES + NEAR_LANES)]
+    return reduced(folded.groupBy(*keys).agg(*sums), keys)
 
 
 def reduced(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,26 +152,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return summed(one, ["doc_id", "_key"]).select("doc_id", "lanes", text_of(F.col("lanes")).alias("fingerprint"))
 
 
-def bounds_of(docs: DataFrame, id_col: str) -> list[int]:
-    """Ids that begin ranges of about equally many rows; the first is the smallest id."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo")).first()
-    if row["lo"] is None:
-        return []
-    n = max(1, min(MAX_RANGES, row["n"] // RANGE_ROWS))
-    steps = [i / n for i in range(1, n)]
-    quantiles = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, steps)), 100 * n).alias("q")).first()["q"] if steps else []
-    return sorted({row["lo"], *quantiles})
+def small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
-def range_of(value: Column, bounds: list[int]) -> Column:
-    """Index of the last bound that is no more than ``value``, found in two steps."""
-    width = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    inner = F.array(*[F.array(*map(F.lit, b)) for b in blocks])
-    block = F.size(F.filter(heads, lambda b: b <= value))
-    within = F.size(F.filter(F.get(inner, block - 1), lambda b: b <= value))
-    return F.when(block < 1, F.lit(0)).otherwise((block - 1) * width + within - 1)
+def quantiles(value: str, parts: int) -> Column:
+    """Values that begin each of ``parts`` parts but the first, about equally large."""
+    return F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts) if parts > 1 else F.array().cast("array<bigint>")
+
+
+def at_most(bounds: Column, value: Column) -> Column:
+    """How many of ``bounds`` are no more than ``value``."""
+    return F.size(F.filter(bounds, lambda b: b <= value))
+
+
+def ranged(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with ``_range``, which rises with ``doc_id``, and ``key``.
+
+    ``key`` is the id; rows without one have a hash of the text and ranges after
+    all others, by the hash.
+    """
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")).first()
+    keyed = rows.withColumn("key", F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1)) if seen["named"] < seen["n"] else F.col("doc_id"))
+    steps = max(1, min(STEP, math.isqrt(seen["named"] // RANGE_ROWS)))
+    coarse = sorted(set(rows.agg(quantiles("doc_id", steps)).first()[0] or []))
+    part = at_most(F.array(*map(F.lit, coarse)), F.col("doc_id")) if coarse else F.lit(0)
+    # At most STEP rows of STEP values.
+    inner = rows.where(F.col("doc_id").isNotNull()).groupBy(part.alias("_part")).agg(quantiles("doc_id", -(-seen["named"] // (steps * RANGE_ROWS)) if steps < STEP else STEP).alias("_bounds"))
+    fine = F.broadcast(cut(inner))
+    own = F.col("_part") * (STEP + 1) + at_most(F.col("_bounds"), F.col("doc_id"))
+    unnamed = -(-(seen["n"] - seen["named"]) // RANGE_ROWS)
+    after = (STEP + 1) ** 2 + F.floor(F.col("key") / float(1 << 63) * unnamed)
+    found = keyed.withColumn("_part", part).join(fine, "_part", "left")
+    return found.withColumn("_range", F.when(F.col("doc_id").isNull(), after).otherwise(own).cast("long")).drop("_part", "_bounds")
 
 
 def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,17 +194,17 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many of the next document's first ones (or all of them).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = bounds_of(rows, "doc_id")
-    last = max(0, len(bounds) - 1)
-    own = F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(last)) if bounds else F.lit(0)
-    at_bound = F.get(F.array(*map(F.lit, bounds)), F.col("_own")) == F.col("doc_id") if bounds else F.lit(False)
-    entry = lambda r, guest: F.struct(r.cast("int").alias("_range"), F.lit(guest).alias("_guest"))
-    before = F.when(at_bound & (F.col("_own") > 0), entry(F.col("_own") - 1, 1))
-    after_all = F.when(at_bound & (F.col("_own") == 0), entry(F.lit(last), 2))  # the first row follows the last one
-    entries = F.filter(F.array(entry(F.col("_own"), 0), before, after_all), lambda e: e.isNotNull())
-    entered = rows.withColumn("_own", own).select("doc_id", "text", F.inline_outer(entries))
-    order = Window.partitionBy("_range").orderBy(F.col("_guest") == 2, F.col("doc_id").asc_nulls_last(), "_guest", "text")
-    placed = entered.select(
+    keyed = ranged(rows).withColumn("_none", F.col("doc_id").isNull())
+    in_order = Window.orderBy("_range")  # over a narrow row for each range
+    table = cut(keyed.groupBy("_range").agg(F.min("_none").alias("_none"), F.min("key").alias("key")))
+    before, final = F.lag("_range").over(in_order), F.max("_range").over(Window.partitionBy())
+    firsts = table.select("_none", "key", F.coalesce(before, final).alias("_before"), F.when(before.isNull(), 2).otherwise(1).alias("_guest"))
+    columns = ["doc_id", "text", "key"]
+    own = keyed.select("_range", F.lit(0).alias("_guest"), *columns)
+    # The first row follows the last one.
+    guests = keyed.drop("_range").join(small(cut(firsts), table.count()), ["_none", "key"]).select(F.col("_before").alias("_range"), "_guest", *columns)
+    order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").isNull(), "key", "doc_id", "text")
+    placed = own.unionByName(guests).select(
         "_range", "_guest", "doc_id", "text", F.row_number().over(order).alias("_turn"), F.lead("text").over(order).alias("_next")
     )
     sized = placed.withColumn("n_chars", F.char_length("text"))
