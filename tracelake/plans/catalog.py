@@ -322,7 +322,7 @@ def audit_files(spark, sf_dir):
     CAST(CASE WHEN event_type <> 'signup' THEN 9 + length(CAST(k AS VARCHAR)) END AS BIGINT) AS output_size FROM e""")
 def derive_runs_roundtrip(spark, sf_dir):
     """Transcript records through parsing, validation and derivation; ordinals are those of the lines."""
-    loaded = transcripts.load(adapters.transcript_lines(spark, sf_dir))
+    loaded = transcripts.load(adapters.transcript_lines(spark, sf_dir), with_messages=False)
     return loaded.runs.select(
         "tool_use_id", "session_id", "tool_name", "status", "duration_ms", "start_ordinal", "end_ordinal", "error_content", "started_at",
         joined("file_paths"), "command_fingerprint", "project_alias", "input_size", "output_size",
@@ -345,6 +345,14 @@ def sessions_listing(spark, sf_dir):
     return adapters.user_sessions(spark, sf_dir).orderBy(F.desc("started_at"), "id").select("id", "external_session_id", "project_alias")
 
 
-@query(f"{RUNS} SELECT tool_use_id, session_id, started_at FROM runs {STORED} LIMIT 100")
+@query(f"{RUNS} SELECT tool_use_id, session_id, started_at FROM runs")
 def runs_listing(spark, sf_dir):
-    return adapters.runs(spark, sf_dir).orderBy(*stored_order()).limit(100).select("tool_use_id", "session_id", "started_at")
+    return adapters.runs(spark, sf_dir).orderBy(*stored_order()).select("tool_use_id", "session_id", "started_at")
+
+
+@query(f"{RUNS} SELECT {SHOWN_SQL} FROM runs WHERE worktree_name = 'wt2' AND contains(error_content, 'f1') AND status = 'error'")
+def run_filters_worktree_error(spark, sf_dir):
+    return filtered(adapters.runs(spark, sf_dir), RunFilters(worktree="wt2", error_contains="f1", status="error")).select(*SHOWN)
+
+
+from . import files  # noqa: E402,F401  registers its queries here
