@@ -25,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests on one machine) a temporary
-    folder takes its place.
+    Only a local session, whose executors are the driver, gets a temporary folder
+    where it names none; on a cluster that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         named = tempfile.mkdtemp(prefix="shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
