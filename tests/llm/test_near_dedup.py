@@ -111,3 +111,12 @@ def test_components_of_a_graph(spark):
     edges = [(5, 3), (3, 9), (9, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 19)]
     rows = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["label"] for r in rows} == {1: 1, 3: 1, 5: 1, 9: 1, **dict.fromkeys(range(19, 25), 19)}
+
+
+def test_hubs_are_joined_in_shares(spark, monkeypatch):
+    from tracelake.llm import graph
+
+    monkeypatch.setattr(graph, "HUB_LINKS", 10)
+    edges = [(5, i) for i in range(100, 300)] + [(299, 400), (400, 1), (600, 601), (602, 601)]
+    labels = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert labels == {n: 1 for n in (1, 5, 400, *range(100, 300))} | {600: 600, 601: 600, 602: 600}

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_IDS, cut
+
+#: Links of a node that one task joins, about; the links of nodes with more are dealt to several tasks.
+HUB_LINKS = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,13 +16,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the smallest label among its neighbours and then
     the label of that label, so chains shorten at least by half a round.
-    Neighbours' labels are folded by ``min`` before and after the shuffle, so a
-    node with very many links is no large group.
+    Neighbours' labels are folded by ``min`` before and after the shuffle, and
+    the label of a node with very many links is joined in several copies, each
+    with a share of its links, so no node is a large group on either side.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    hubs = cut(both.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_LINKS).cast("int").alias("salts")).where(F.col("salts") > 1))
+    n = hubs.count()
+    hubs = F.broadcast(hubs) if n <= BROADCAST_IDS else hubs
+
+    def copied(known: DataFrame) -> DataFrame:
+        """Labels by (b, salt)."""
+        known = known.withColumnRenamed("node", "b")
+        if not n:
+            return known.withColumn("salt", F.lit(0))
+        return known.join(hubs, "b", "left").select("b", "label", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+
+    salt = F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")
+    links = cut(both.join(hubs, "b", "left").select("a", "b", F.coalesce(salt, F.lit(0)).alias("salt"))) if n else both.withColumn("salt", F.lit(0))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = links.join(copied(labels), ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         heads = labels.select(F.col("node").alias("label"), F.col("label").alias("head"))
         jumped = cut(lower.join(heads, "label", "left").select("node", "old", F.least("label", "head").alias("label")))

@@ -15,15 +15,18 @@ bucket's centre that agrees with it best; its link is verified on the full sets
 and verified links are joined into components.  Buckets whose members all lie
 in one component are settled.  In a bucket that still spans components, every
 pair of members in different components is considered, in blocks of bounded
-size inside the tasks: pairs that pass a test on longer digests are verified
-there, and only links that join components leave a task.  No candidate is left
-out, and pairs within a component never arise.
+size inside the tasks, twice.  First on longer digests alone, which tells the
+members that have a pair to verify at all; then these, with their texts, are
+verified, the most alike pairs first, and only links that join components leave
+a task.  No candidate is left out, pairs within a component never arise, and
+texts are copied to blocks for those members only.
 
 Before a candidate pair is verified, it must pass two tests on what the
 representatives carry: the ratio of set sizes that the threshold
 needs (exact), and the agreement of two-bit digests of the coordinates, with
 bounds 5 (star round) and 4.5 (later) standard deviations below what the
-threshold implies.
+threshold implies.  Links are confirmed on the full sets, as sets of 64-bit
+hashes of the shingles.
 
 Chances at similarity 0.75, less at every higher one: a pair shares no band with
 probability (1 - 0.75 ** 4) ** 32 = 5e-6, and fails a digest test with 4e-6.
@@ -35,7 +38,7 @@ repeat a ``doc_id`` are rows of one node; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -61,17 +64,18 @@ BLOCK = 1 << 16
 STAR_ROUNDS = 1
 #: Coordinates of the finer digests, and how many must agree: 832 expected at 0.75, less 4.5 deviations of 12.5.
 FINE_COORDINATES, FINE_AGREE = 1024, 776
-#: Members of a bucket that are compared in one piece.
-BLOCK_MEMBERS = 1000
+#: Members of a bucket, and shingles of them, that are compared in one piece, about.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 4_000_000
 
 SIGNED = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
      T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
 )
 FINE = T.StructType(
-    [T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("wide", T.BinaryType()),
-     T.StructField("text", T.StringType())]
+    [T.StructField("rep", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.BinaryType()),
+     T.StructField("wide", T.BinaryType())]
 )
+HOPEFUL = T.StructType([T.StructField("band", T.LongType()), T.StructField("rep", T.LongType())])
 LINKED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 U64 = np.uint64
@@ -224,7 +228,7 @@ def star_pairs(members: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
 
 
 def fine(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, n, bands, wide, text) of the given ``rep`` ids: band keys and two-bit digests of FINE_COORDINATES minima."""
+    """(rep, key of the text, n, bands, wide) of the given ``rep`` ids: band keys and two-bit digests of FINE_COORDINATES minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("nothing")
@@ -236,14 +240,14 @@ def fine(reps: DataFrame, docs: DataFrame) -> DataFrame:
                 sets = [s for s in sets if len(s)]
                 minima = signatures(sets, FINE_COORDINATES)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).filter(kept), pa.array(map(len, sets), pa.int64()),
+                    [batch.column(0).filter(kept), batch.column(2).filter(kept), pa.array(map(len, sets), pa.int64()),
                      pa.array([r.tobytes() for r in banded(minima[:, :COORDINATES])], pa.binary()),
-                     pa.array([r.tobytes() for r in digested(minima)], pa.binary()), batch.column(1).filter(kept)],
+                     pa.array([r.tobytes() for r in digested(minima)], pa.binary())],
                     names=FINE.names,
                 )
 
     ids = cut(reps.select(F.col("rep").alias("doc_id")).distinct())
-    return mapped(only_ids(docs, "doc_id", ids, ids.count()).select("doc_id", "text"), run, FINE)
+    return mapped(only_ids(docs, "doc_id", ids, ids.count()).select("doc_id", "text", F.xxhash64("text")), run, FINE)
 
 
 def jaccard_linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -251,45 +255,60 @@ def jaccard_linked(s: np.ndarray, t: np.ndarray) -> bool:
     return shared > 0 and 100 * shared >= PERCENT * (len(s) + len(t) - shared)
 
 
-def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components, of each pair of blocks (rows in order of band, i, j).
-
-    Pairs that pass the digest test are verified on their full sets, the most
-    alike first; a pair whose components the block has joined already needs no
-    test.  A pair that shares several bands is seen in the first of them alone.
-    """
-    rows: dict[str, list] = {}
-    at: tuple | None = None
-
-    def links() -> list[tuple[int, int]]:
-        rep, label, n, block = (np.array(rows[c]) for c in ("rep", "label", "n", "block"))
-        if len(rep) < 2 or (label == label[0]).all():
-            return []
-        bands = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(len(rep), BANDS)
-        wide = np.frombuffer(b"".join(rows["wide"]), U64).reshape(len(rep), -1)
-        label = label.copy()
+class Block:
+    """Members of one pair of blocks ``at`` = (band, i, j), by column."""
+
+    def __init__(self, at: tuple, rows: dict[str, list]) -> None:
+        self.at, self.texts = at, rows.get("text", [])
+        self.rep, self.label, self.n, self.block = (np.array(rows[c]) for c in ("rep", "label", "n", "block"))
+        self.bands = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(len(self.rep), BANDS)
+        self.wide = np.frombuffer(b"".join(rows["wide"]), U64).reshape(len(self.rep), -1)
+
+    def partners(self, x: int) -> list[int]:
+        """Members of other components that pass the digest test with ``x``, the most alike first.
+
+        A pair that shares several bands is seen in the first of them alone.
+        """
+        # Within one block each pair once; between two blocks the first block's rows against the second's.
+        band, i, j = self.at
+        other = (self.rep > self.rep[x]) if i == j else (self.block != self.block[x]) & (self.block[x] == i)
+        sized = np.minimum(self.n, self.n[x]) * 100 >= np.maximum(self.n, self.n[x]) * PERCENT
+        y = np.flatnonzero(other & (self.label != self.label[x]) & sized)
+        odd = self.wide[y] ^ self.wide[x]
+        agree = FINE_COORDINATES - np.bitwise_count((odd | odd >> U64(1)) & U64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+        y, agree = y[agree >= FINE_AGREE], agree[agree >= FINE_AGREE]
+        first = self.bands[x][(self.bands[y] == self.bands[x]).argmax(axis=1)] == band
+        return y[first][np.argsort(-agree[first], kind="stable")].tolist()
+
+    def hopeful(self) -> list[tuple[int, int]]:
+        """(band, rep) of the members with a pair to verify."""
+        found = set()
+        for x in range(len(self.rep)):
+            if partners := self.partners(x):
+                found |= {x, *partners}
+        return [(self.at[0], int(self.rep[k])) for k in sorted(found)]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Verified links that join components; a pair whose components the block has joined already needs no test."""
         sets: dict[int, np.ndarray] = {}
         found = []
-        for x in range(len(rep)):
-            # Within one block each pair once; between two blocks the first block's rows against the second's.
-            other = (rep > rep[x]) if at[1] == at[2] else (block != block[x]) & (block[x] == at[1])
-            y = np.flatnonzero(other & (label != label[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * PERCENT))
-            odd = wide[y] ^ wide[x]
-            agree = FINE_COORDINATES - np.bitwise_count((odd | odd >> U64(1)) & U64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
-            y, agree = y[agree >= FINE_AGREE], agree[agree >= FINE_AGREE]
-            same = bands[y] == bands[x]
-            first = bands[x][same.argmax(axis=1)] == at[0]
-            for k in y[first][np.argsort(-agree[first], kind="stable")].tolist():
-                if label[k] == label[x]:
+        for x in range(len(self.rep)):
+            for k in self.partners(x):
+                if self.label[k] == self.label[x]:
                     continue
                 for m in (x, k):
                     if m not in sets:
-                        sets[m] = shingles(rows["text"][m])
+                        sets[m] = shingles(self.texts[m])
                 if jaccard_linked(sets[x], sets[k]):
-                    found.append((int(rep[x]), int(rep[k])))
-                    label[label == label[k]] = label[x]
+                    found.append((int(self.rep[x]), int(self.rep[k])))
+                    self.label[self.label == self.label[k]] = self.label[x]
         return found
 
+
+def each_block(batches: Iterator[pa.RecordBatch], told: Callable[[Block], list[tuple[int, int]]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What is ``told`` of each pair of blocks; rows come in order of band, i, j."""
+    rows: dict[str, list] = {}
+    at: tuple | None = None
     for batch in batches:
         out: list[tuple[int, int]] = []
         columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
@@ -297,14 +316,23 @@ def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = dict(zip(columns, values, strict=True))
             if (r["band"], r["i"], r["j"]) != at:
                 if at:
-                    out += links()
+                    out += told(Block(at, rows))
                 at, rows = (r["band"], r["i"], r["j"]), {c: [] for c in columns}
             for c, v in r.items():
                 rows[c].append(v)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=LINKED.names)
-    if at and (out := links()):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=LINKED.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+    if at and (out := told(Block(at, rows))):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Members of buckets, dealt to blocks, once for each pair of blocks; rows of a pair lie together."""
+    enough = F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)
+    counts = members.groupBy("band").agg(F.ceil(enough).cast("int").alias("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    placed = members.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return placed.select(*members.columns, "block", F.inline(pairs)).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
 def cross_links(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -312,17 +340,15 @@ def cross_links(members: DataFrame, docs: DataFrame) -> DataFrame:
 
     Members of a bucket are dealt to blocks of BLOCK_MEMBERS, and each pair of
     blocks is compared by itself, so a large bucket is spread over many tasks.
-    Only links that join something leave a task.
     """
-    counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = (
-        members.join(fine(members, docs), "rep")
-        .join(counts, "band")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .select("band", "rep", "label", "n", "bands", "wide", "text", "block", F.inline(blocks))
-    )
-    return mapped(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), within, LINKED)
+    digests = cut(fine(members, docs))
+    rows = members.select("band", "rep", "label").join(digests, "rep")
+    hopeful = cut(mapped(dealt(rows.drop("key")), lambda batches: each_block(batches, Block.hopeful, HOPEFUL.names), HOPEFUL).distinct())
+    ids = cut(hopeful.select(F.col("rep").alias("doc_id")).distinct())
+    texts = only_ids(docs, "doc_id", ids, ids.count()).select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("key"), "text")
+    # An id may stand for several texts.
+    chosen = rows.join(hopeful, ["band", "rep"]).join(texts.dropDuplicates(["rep", "key"]), ["rep", "key"]).drop("key")
+    return mapped(dealt(chosen), lambda batches: each_block(batches, Block.links, LINKED.names), LINKED)
 
 
 def classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
