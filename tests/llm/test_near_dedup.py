@@ -48,10 +48,11 @@ def assigned(spark, docs):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(1, 1000), (3, 1000), (0, 1000), (0, 4)])
-def test_components_against_all_pairs(spark, monkeypatch, rounds, block):
+@pytest.mark.parametrize(("rounds", "block", "few"), [(1, 1000, 1000), (3, 1000, 1000), (0, 1000, 1000), (0, 4, 1000), (0, 4, 0)])
+def test_components_against_all_pairs(spark, monkeypatch, rounds, block, few):
     monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)  # 0: every pair is found by the last round
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", few)  # 0: nothing of a counted size is broadcast
     docs = corpus(7)
     assert assigned(spark, docs) == brute(docs)
 

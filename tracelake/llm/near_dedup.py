@@ -66,6 +66,8 @@ STAR_ROUNDS = 1
 FINE_COORDINATES, FINE_AGREE = 1024, 776
 #: Members of a bucket, and shingles of them, that are compared in one piece, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 4_000_000
+#: Copies in which the sizes of very many large buckets are joined.
+SHARES = 64
 
 SIGNED = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
@@ -326,12 +328,22 @@ def each_block(batches: Iterator[pa.RecordBatch], told: Callable[[Block], list[t
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """Members of buckets, dealt to blocks, once for each pair of blocks; rows of a pair lie together."""
+def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of buckets, dealt to blocks, once for each pair of blocks; rows of a pair lie together.
+
+    ``sizes`` has (band, rep, n) of the same members.  Only buckets of several
+    blocks are told to their members: few are broadcast, more are joined in
+    SHARES copies, so the members of a large bucket never meet in one task.
+    """
     enough = F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)
-    counts = members.groupBy("band").agg(F.ceil(enough).cast("int").alias("blocks"))
+    large = cut(sizes.groupBy("band").agg(F.ceil(enough).cast("int").alias("blocks")).where(F.col("blocks") > 1))
+    if large.count() <= BROADCAST_IDS:
+        told = members.join(F.broadcast(large), "band", "left")
+    else:
+        copies = large.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        told = members.withColumn("share", F.pmod(F.hash("rep"), F.lit(SHARES))).join(copies, ["band", "share"], "left")
+    placed = told.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    placed = members.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     return placed.select(*members.columns, "block", F.inline(pairs)).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
@@ -343,12 +355,13 @@ def cross_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     """
     digests = cut(fine(members, docs))
     rows = members.select("band", "rep", "label").join(digests, "rep")
-    hopeful = cut(mapped(dealt(rows.drop("key")), lambda batches: each_block(batches, Block.hopeful, HOPEFUL.names), HOPEFUL).distinct())
+    hopeful = cut(mapped(dealt(rows.drop("key"), rows), lambda batches: each_block(batches, Block.hopeful, HOPEFUL.names), HOPEFUL).distinct())
     ids = cut(hopeful.select(F.col("rep").alias("doc_id")).distinct())
     texts = only_ids(docs, "doc_id", ids, ids.count()).select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("key"), "text")
     # An id may stand for several texts.
-    chosen = rows.join(hopeful, ["band", "rep"]).join(texts.dropDuplicates(["rep", "key"]), ["rep", "key"]).drop("key")
-    return mapped(dealt(chosen), lambda batches: each_block(batches, Block.links, LINKED.names), LINKED)
+    left = rows.join(hopeful, ["band", "rep"])
+    chosen = left.join(texts.dropDuplicates(["rep", "key"]), ["rep", "key"]).drop("key")
+    return mapped(dealt(chosen, left), lambda batches: each_block(batches, Block.links, LINKED.names), LINKED)
 
 
 def classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
