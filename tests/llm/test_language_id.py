@@ -82,6 +82,15 @@ def test_whole_texts_decide():
     assert sizes.best(long_german)[0] == "de"
 
 
+def test_margins_hold_for_very_long_texts():
+    rng = random.Random(5)
+    sizes = language_id.Sizes({la: language_id.plain(" ".join(rng.choices(words, k=6000))) for la, words in WORDS.items()})
+    for la, words in WORDS.items():
+        long = " ".join(rng.choices(words, k=150_000))
+        found, _, margin = sizes.best(long)
+        assert found == la and margin >= language_id.NARROW
+
+
 def test_every_labelled_language_is_learned(spark):
     rows = [(i, f"wort{'abcdefghij'[i % 10]} " * 5 + chr(ord("a") + i // 26 % 26) * 9 + chr(ord("a") + i % 26) * 9, f"l{i:03d}") for i in range(260)]
     content = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

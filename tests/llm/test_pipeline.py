@@ -67,3 +67,37 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Extra columns named like inner ones pass every stage; very long, null and repeated rows have their results."""
+    extra = "label int, band string, key string, digest string, n long, sequence_id string, piece string, kept boolean, rejected string, spans string"
+    own = (7, "b", "k", "d", 1, "s", "p", False, "r", "x")
+    rows = [(*r, *own) for r in corpus()]
+    rng = random.Random(4)
+    long = " ".join(f"{w}{rng.randrange(10**6)}" for w in rng.choices(WORDS["en"], k=60_000))
+    rows += [(900, long, "en", "s", None, *own), (None, rows[5][1] + " more", "en", "s", 3, *own), (901, " " * 50_000, None, None, None, *own), (rows[7][0], *rows[7][1:])]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        path = str(tmp_path / f"stage{i}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    kept = docs.collect()
+    assert {tuple(r)[5:] for r in kept} == {own}
+    ids = [r["doc_id"] for r in kept]
+    assert 900 in ids and 901 not in ids and ids.count(rows[7][0]) == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(ids)
+    by_place = {}
+    for r in packed:
+        by_place.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_place.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024

@@ -2,7 +2,9 @@
 
 For each language a zstandard raw-content dictionary is made of the texts of a
 bounded sample of labelled rows.  A text is compressed whole with every
-dictionary; the language whose dictionary gives the fewest bytes wins.  Texts
+dictionary, in pieces of ``PIECE`` bytes whose sizes add up; the language whose
+dictionary gives the fewest bytes wins.  Without pieces a very long text would
+become its own dictionary, and its margin would shrink with its length.  Texts
 and dictionaries are lower-cased and their runs of other characters than
 letters become single spaces, so that shouting, tables and decoration weigh
 nothing.  The margin is the second-best size over the best, less one, in which
@@ -43,6 +45,8 @@ from .common import held, mapped
 SAMPLE_ROWS = 300
 #: Levels of the first compressor and of the finer one, and the margin below which that decides.
 LEVEL, FINE_LEVEL, DOUBTFUL = 3, 6, 0.05
+#: Bytes of a text that are compressed together; every piece of a long text meets the dictionary afresh.
+PIECE = 8192
 #: Smaller relative margins reject.
 NARROW = 0.002
 #: Share of a text's bytes that counts as one unit of evidence in the score.
@@ -107,8 +111,9 @@ class Sizes:
     def best(self, text: str) -> tuple[str, float, float]:
         """(language, score, margin)."""
         data = plain(text)
+        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         for compressors in (self.coarse, self.fine):
-            sizes = [max(1, len(c(data)) - self.empty) for c in compressors]
+            sizes = [max(1, sum(len(c(p)) - self.empty for p in pieces)) for c in compressors]
             order = sorted(range(len(sizes)), key=sizes.__getitem__)
             first = sizes[order[0]]
             margin = sizes[order[1]] / first - 1.0 if len(order) > 1 else 1.0
