@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, mapped
+from .common import BROADCAST_IDS, held, mapped
 
 #: Different texts that a language's dictionary is made of, on average.
 SAMPLE_ROWS = 300
@@ -70,7 +70,8 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     top = counts.orderBy(F.desc("count"), "lang").collect()  # a row for each language
     # Copies are drawn or left together, so the chance is that of a text.
     chances = [(r["lang"], min(1.0, SAMPLE_ROWS / r["texts"])) for r in top]
-    drawn = labelled.join(rows.sparkSession.createDataFrame(chances, "lang string, chance double"), "lang")
+    told = rows.sparkSession.createDataFrame(chances, "lang string, chance double")
+    drawn = labelled.join(F.broadcast(told) if len(chances) <= BROADCAST_IDS else told, "lang")
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = drawn.where(draw < F.col("chance")).select("lang", "text")
     content: dict[str, list[str]] = {}
