@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Ids up to this many are broadcast to thin out a table before a shuffle (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
+#: A key with more than this part of all rows is joined by broadcast; there are fewer such keys than this number.
+HOT_SHARE = 1_000
 #: Rows in an Arrow batch, and the setting that holds them.
 BATCH_ROWS, BATCH_KEY = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -84,6 +86,20 @@ def only_ids(df: DataFrame, id_col: str, ids: DataFrame, n_ids: int) -> DataFram
     return df.join(ids, id_col, "left_semi")
 
 
+def looked_up(rows: DataFrame, known: DataFrame, keys: list[str], uses: str) -> DataFrame:
+    """``rows`` joined with ``known``, which has one row for each of their keys and in ``uses`` the number of rows with it.
+
+    Keys with more than a HOT_SHARE-th of all rows, which are fewer than
+    HOT_SHARE, are broadcast, so no key is a large group in a shuffle.  Both
+    sides should be written tables, as they are read twice.
+    """
+    total = known.agg(F.sum(uses)).first()[0] or 0
+    is_hot = F.col(uses) * HOT_SHARE > total
+    hot = F.broadcast(known.where(is_hot).drop(uses))
+    cold = rows.join(F.broadcast(known.where(is_hot).select(*keys)), keys, "left_anti").join(known.where(~is_hot).drop(uses), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 _held: dict[str, object] = {}
 
 

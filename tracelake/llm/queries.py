@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, language_id, licenses, near_dedup, packing, pii, preference, quality, sentencepiece_nbest
+from . import exact_dedup, fingerprint, language_id, licenses, near_dedup, packing, pii, preference, quality, sentencepiece_nbest, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_preference_format": op9_preference_format,
     "op10_pii": op10_pii,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 def license_sql() -> str:
