@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, language_id, licenses, near_dedup, packing, pii, preference, quality, sentencepiece_nbest, simhash
+from . import exact_dedup, fingerprint, language_id, licenses, near_dedup, packing, pii, preference, prefix_trie, quality, resampling, sentencepiece_nbest, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("place")
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.assign(table(spark, sf_dir, "documents"))
 
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_preference_format": op9_preference_format,
     "op10_pii": op10_pii,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
@@ -113,6 +123,20 @@ def license_sql() -> str:
     """
 
 
+def crc_sql(source: str, value: str) -> str:
+    """CTEs that end in ``hashed`` (value, crc): the CRC-32 of each different ``value`` of ``source``, by its bytes."""
+    return f"""crc_table AS (  -- remainders of the 256 bytes, by the reversed polynomial
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS rest
+        ), bytes AS (
+            SELECT {value}, list_transform(range(octet_length(encode({value}))), lambda i: ('0x' || substr(hex(encode({value})), (2 * i + 1)::INT, 2))::BIGINT) AS b
+            FROM ({source})
+        ), hashed AS (
+            SELECT {value}, xor(list_reduce(b, lambda c, x: xor(c >> 8, rest[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+            FROM bytes, crc_table
+        )"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
@@ -176,4 +200,60 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT *, chosen_mask <> '' AND rejected_mask <> '' AND chosen <> rejected AS usable FROM o
     """,
+    "op11_importance_resampling": r"""
+        WITH lower_docs AS (
+            SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), words AS (SELECT doc_id, r, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lower_docs
+        ), f AS (SELECT r, unnest(ws) AS w FROM words
+        ), g AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+            FROM benchmark
+        ), """
+    + crc_sql("SELECT w FROM f UNION SELECT w FROM g", "w")
+    + r""", buckets AS (SELECT w, crc % 10000 AS bucket FROM hashed
+        ), s AS (SELECT bucket, count(*)::DOUBLE AS s FROM f JOIN buckets USING (w) GROUP BY bucket
+        ), t AS (SELECT bucket, count(*)::DOUBLE AS t FROM g JOIN buckets USING (w) GROUP BY bucket
+        ), sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain
+            FROM s LEFT JOIN t USING (bucket), sums
+        ), weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY r
+        ), scored AS (
+            SELECT doc_id, r, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM words LEFT JOIN weights USING (r)
+        ), placed AS (
+            SELECT doc_id, r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+        )
+        SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+        FROM scored LEFT JOIN placed USING (r)
+    """,
+    "op12_conversation_trie": r"""
+        WITH c AS (
+            SELECT conv_id, conv_id::VARCHAR AS name, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS l
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), """
+    + crc_sql("SELECT name FROM c", "name")
+    + r""", built AS (
+            SELECT c.conv_id, list_concat(coalesce(b.l, [])[1 : (crc % 4)::INT], c.l[(crc % 4 + 1)::INT :]) AS l
+            FROM c JOIN hashed USING (name) LEFT JOIN c b ON b.conv_id = c.conv_id - ((c.conv_id % 20) + 20) % 20
+        ), p AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS depth FROM built
+        ), members AS (SELECT conv_id, depth, l[1 : depth] AS node, len(l) = depth AS ended FROM p
+        ), nodes AS (
+            SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256,
+                   CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].t, '[^\x20\x09-\x0D]+')) END AS words
+            FROM members GROUP BY node, depth
+        ), children AS (SELECT node[1 : depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+        ), joined AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)
+        ), above AS (SELECT node, n_convs, words, n_children, unnest(range(0, depth + 1)) AS up FROM joined
+        ), sums AS (
+            SELECT node[1 : up] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+            FROM above GROUP BY ALL
+        )
+        SELECT j.conv_id, j.depth, q.conv_id AS parent_conv_id, j.n_convs, j.n_children, n_leaves, saved_tokens, j.ends_sha256
+        FROM joined j JOIN sums USING (node) LEFT JOIN joined q ON j.depth > 0 AND q.depth = j.depth - 1 AND q.node = j.node[1 : j.depth - 1]
+    """,
 }
