@@ -128,3 +128,21 @@ def test_predictions_equal_a_plain_loop(spark):
     assert all((r["lang_pred"], r["rejected"]) == want[text_of[r["doc_id"]]] for r in rows)
     twins = language_id.Sizes({"a": b" one two three " * 9, "b": b" one two three " * 9})
     assert twins.best("one two three")[0] == "a" and twins.best("one two three")[2] == 0  # a tie goes to the first, and is rejected
+
+
+def test_large_dictionaries_are_seen_whole():
+    rng = random.Random(2)
+    voc = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(30_000)]
+    for size in (100_000, 500_000, 2_000_000, 8_000_000):
+        data = " ".join(rng.choices(voc, k=size // 6)).encode()[:size]
+        for level, more in ((language_id.LEVEL, {}), (language_id.FINE_LEVEL, {"min_match": 3, "strategy": zstandard.STRATEGY_BTOPT, "search_log": 3})):
+            compress = language_id.Sizes.compressors([data], level, **more)[0]
+            places = (0, size // 4, size // 2, size - 2000)
+            assert max(len(compress(data[a : a + 2000])) - len(compress(b"")) for a in places) < 150  # about 1,000 where nothing is found
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 40_000)
+    docs = [(i, " ".join(WORDS["en"][(i + j * j) % 17] + str(i) for j in range(200)).replace(str(i), "x" * (i % 7)), "en") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert 10_000 < len(language_id.learn(frame)["en"]) < 90_000

@@ -65,6 +65,28 @@ def test_plan_uses_exact_complements_first():
     assert all(sum(p) == 10 for p, _ in made)
 
 
+def test_no_gap_is_left_that_an_exact_complement_fills():
+    rng = random.Random(9)
+    for _ in range(40):
+        capacity = rng.choice([40, 100])
+        counts = {n: rng.randint(1, 9) for n in rng.sample(range(1, capacity + 1), 15)}
+        state = packing.Available(counts, capacity, packing.Sums(counts, capacity))
+        first = max(counts)
+        pattern = state.filled(first, 1)
+        gap, free = capacity - first, counts | {first: counts[first] - 1}
+        sizes = [(a,) for a in free if a == gap] + [(a, b) for a in free for b in free if a >= b and a + b == gap]
+        sizes += [(a, b, c) for a in free for b in free for c in free if a >= b >= c and a + b + c == gap]
+        fits = [s for s in sizes if s[0] <= first and all(free[n] >= s.count(n) for n in s)]
+        if fits:
+            assert sum(pattern) == capacity and len(pattern) == 1 + min(map(len, fits))
+
+
+def test_dense_lengths_are_packed_by_the_indexes():
+    for counts in ({n: 7 for n in range(1, 257)}, {n: 20 for n in range(1, 60)}):
+        made = packing.plan(counts, 256)
+        assert sum(t for p, t in made if sum(p) < 256) <= 1
+
+
 def best_fit_decreasing(counts, capacity):
     """Sequences that plain best fit makes, piece by piece."""
     gaps = []

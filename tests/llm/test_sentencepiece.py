@@ -27,6 +27,29 @@ def all_paths(model, word):
     return out
 
 
+def forward_paths(model, word, n):
+    """The n best scores by a forward pass that keeps n scores for every prefix."""
+    best = [[0.0]]
+    for end in range(1, len(word) + 1):
+        best.append(sorted((s + score for start, _, score in model.edges(word, end) for s in best[start]), reverse=True)[:n])
+    return best[-1]
+
+
+def test_backward_search_equals_a_forward_pass(model):
+    rng = random.Random(8)
+    words = ["-" * 2_000, "#" * 300, "=-" * 200, " " * 50, *("".join(rng.choices("abcdeinorst-=é😀", k=rng.randint(1, 60))) for _ in range(60))]
+    for word in words:
+        for n in (1, 2, 7):
+            found = model.search(word, n)
+            assert [s for s, _ in found] == pytest.approx(forward_paths(model, word, n))
+            assert len({ids for _, ids in found}) == len(found) and all(model.decode(list(ids)) == word.removeprefix(" ") for _, ids in found)
+
+
+def test_unbroken_characters_equal_a_forward_pass(model):
+    letters = "".join(random.Random(9).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100_000))
+    assert [s for s, _ in model.search(letters, 3)] == pytest.approx(forward_paths(model, letters, 3))
+
+
 def test_search_gives_the_best_paths_in_order(model):
     for word in (" there", " naïve", "a😀b", "  x", "ingly", "日本語"):
         want = sorted((s for s, _ in all_paths(model, word)), reverse=True)[:6]

@@ -16,9 +16,12 @@ The sample takes whole texts whose hash falls under a threshold set from the
 number of different ones of their language (estimated within a few percent), so
 it spreads over the whole table in one pass and has ``SAMPLE_ROWS`` different
 texts of each language on average, all of them where there are fewer, however
-often they are repeated.  Every language that a labelled text has gets a
-dictionary.  What the driver gathers is bounded by rows, SAMPLE_ROWS a language
-on average; predictions read whole texts.
+often they are repeated, and fewer where these would have over SAMPLE_BYTES.
+Every language that a labelled text has gets a dictionary.  What the driver
+gathers and broadcasts is bounded for each language: SAMPLE_ROWS texts and
+SAMPLE_BYTES on average.  Compressors have windows and tables as large as their
+dictionary asks, so they find what stands at its start too, up to 16 MB
+(zstandard indexes no more of a dictionary); predictions read whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; without any labelled row every text is; of languages with equal
@@ -41,8 +44,8 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_IDS, held, mapped
 
-#: Different texts that a language's dictionary is made of, on average.
-SAMPLE_ROWS = 300
+#: Different texts that a language's dictionary is made of, and their bytes, on average at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 300, 8 << 20
 #: Levels of the first compressor and of the finer one, and the margin below which that decides.
 LEVEL, FINE_LEVEL, DOUBTFUL = 3, 6, 0.05
 #: Bytes of a text that are compressed together; every piece of a long text meets the dictionary afresh.
@@ -66,10 +69,10 @@ def has_letter(text: Column) -> Column:
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language, from labelled ``rows``."""
     labelled = rows.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"), F.avg(F.octet_length("text")).alias("bytes"))
     top = counts.orderBy(F.desc("count"), "lang").collect()  # a row for each language
     # Copies are drawn or left together, so the chance is that of a text.
-    chances = [(r["lang"], min(1.0, SAMPLE_ROWS / r["texts"])) for r in top]
+    chances = [(r["lang"], min(1.0, SAMPLE_ROWS / r["texts"], SAMPLE_BYTES / (r["texts"] * r["bytes"]))) for r in top]
     told = rows.sparkSession.createDataFrame(chances, "lang string, chance double")
     drawn = labelled.join(F.broadcast(told) if len(chances) <= BROADCAST_IDS else told, "lang")
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
@@ -88,6 +91,16 @@ def plain(text: str) -> bytes:
     return f" {OTHER.sub(' ', text.lower())} ".encode("utf-8", "surrogatepass")
 
 
+def reach(size: int, level: int) -> dict[str, int]:
+    """Logarithms of the window and tables that let a compressor see a dictionary of ``size`` bytes to its start.
+
+    A level's own ones are made for short texts: of a dictionary over 1 MB they see the end alone.
+    """
+    usual = zstandard.ZstdCompressionParameters.from_level(level, dict_size=size)
+    bits = (size + PIECE).bit_length()
+    return {"window_log": max(usual.window_log, bits), "hash_log": max(usual.hash_log, bits), "chain_log": max(usual.chain_log, bits)}
+
+
 class Sizes:
     """Compressed sizes of a text under each dictionary."""
 
@@ -102,7 +115,7 @@ class Sizes:
         out = []
         for data in dictionaries:
             how = zstandard.ZstdCompressionParameters.from_level(
-                level, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False, **more
+                level, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False, **(reach(len(data), level) | more)
             )
             known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(compression_params=how)

@@ -5,16 +5,15 @@
 ids of packed pieces together.
 
 The plan depends only on how many pieces there are of each length, a histogram
-of at most ``capacity`` counts whatever the input.  Lengths are taken from the
-longest down.  For the gap that a length leaves, single lengths, pairs and
-triples are looked up by their sum; a combination that fills the gap exactly is
-consumed as often as all its members are available.  What finds no exact
-complement, and what best fit fills nearly as well, is packed by best fit: the
-longest length that still fits enters, until none does.  ``plan`` says how the
-two are weighed; it never makes more sequences than best fit alone.  Each step
-exhausts a length, so the plan is a short list of patterns (lengths side by
-side) with the number of sequences made of each, and each pattern hands out
-ranges of ranks to its lengths.
+of at most ``capacity`` counts whatever the input.  Single lengths, pairs and
+triples are indexed by their sums.  For the gap that a length leaves they are
+looked up in this order; a combination that fills the gap exactly is consumed as
+often as all its members are available.  What finds no exact complement is
+packed by best fit: the longest length that still fits enters, and the rest of
+the gap is looked up again, until nothing fits.  Each step exhausts a length, so
+the plan is a short list of patterns (lengths side by side) with the number of
+sequences made of each, and each pattern hands out ranges of ranks to its
+lengths.
 
 Pieces then get a rank among those of their length.  Ranks are counted within
 (length, salt) groups and shifted by the sizes of the groups before.  A length
@@ -204,63 +203,81 @@ class Available:
             self.free[n] = c
         self.made: list[tuple[tuple[int, ...], int]] = []
 
-    def consume(self, pattern: tuple[int, ...]) -> bool:
+    def consume(self, pattern: tuple[int, ...]) -> None:
         """Make as many sequences of a pattern as its pieces are there for."""
         need = Counter(pattern)
-        times = min(int(self.free[n]) // k for n, k in need.items())
-        if times:
+        if times := min(int(self.free[n]) // k for n, k in need.items()):
             for n, k in need.items():
                 self.free[n] -= k * times
             self.made.append((pattern, times))
-        return times > 0
-
-    def exact(self, first: int) -> bool:
-        """Consume ``first`` with one, two or three more pieces that fill its gap exactly."""
-        gap = self.capacity - first
-        if self.free[gap] and self.consume((first, gap)):
-            return True
-        for rows in (self.sums.pairs(gap), self.sums.triples(gap)) if gap > 1 else ():
-            rows = rows[(self.free[rows] > 0).all(axis=1) & (rows[:, 0] <= first)]
-            if any(self.consume((first, *row)) for row in rows.tolist()):
-                return True
-        return False
-
-    def best_fit(self, first: int) -> tuple[int, ...]:
-        """``first`` and then the longest free length that fits, again and again."""
-        pattern, gap, used = [first], self.capacity - first, Counter([first])
-        for n in np.flatnonzero(self.free[: gap + 1])[::-1].tolist():
-            if times := min(gap // n, int(self.free[n]) - used[n]):
-                pattern += [n] * times
-                used[n] += times
-                gap -= n * times
-        return tuple(pattern)
-
-
-#: Tokens that best fit must leave free before exact complements of two and three pieces are sought; each is tried.
-WASTES = (1, 4, 16, 64)
+
+    def complement(self, pattern: tuple[int, ...], floor: int) -> tuple[int, ...] | None:
+        """``pattern`` with the one, two or three free lengths that fill its gap exactly.
+
+        Of several combinations the one whose scarcest length is the most
+        available is taken; two and three lengths have ``floor`` tokens or more.
+        """
+        gap, used = self.capacity - sum(pattern), Counter(pattern)
+        if not gap:
+            return pattern
+        if self.free[gap] > used[gap]:
+            return (*pattern, gap)
+        for index in (self.sums.pairs, self.sums.triples) if gap > 1 else ():
+            rows = index(gap)
+            rows = rows[(rows[:, 0] <= pattern[-1]) & (rows[:, -1] >= floor)]
+            spare = self.free[rows].min(axis=1)
+            while len(rows) and spare.max() > 0:
+                row = rows[best := int(spare.argmax())].tolist()
+                if all(self.free[n] >= k + used[n] for n, k in Counter(row).items()):
+                    return (*pattern, *row)
+                spare[best] = 0
+        return None
+
+    def filled(self, first: int, floor: int) -> tuple[int, ...]:
+        """``first`` with an exact complement; where there is none, best fit adds the longest free length that fits, and so on."""
+        pattern, used = (first,), Counter([first])
+        while True:
+            if whole := self.complement(pattern, floor):
+                return whole
+            fitting = np.flatnonzero(self.free[: self.capacity - sum(pattern) + 1])[::-1]
+            longest = next((n for n in fitting.tolist() if self.free[n] > used[n]), 0)
+            if not longest:
+                return pattern
+            pattern, used = (*pattern, longest), used + Counter([longest])
+
+
+#: Parts of the capacity that the lengths in pairs and triples have at least; each is tried until the sequences can't be fewer.
+FLOORS = (0, 1 / 64, 3 / 64, 3 / 32, 9 / 64, 3 / 16)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, number of sequences) for the pieces counted by length.
 
-    Lengths are taken from the longest down.  Where best fit leaves less than
-    some waste, its pattern is taken (a single exact complement is a best fit);
-    else an exact complement is, if there is one.  Small pieces that exact
-    complements use up are missing later, so several wastes are tried, the last
-    of them endless, which is plain best fit; the plan with the fewest
-    sequences stays.
+    Single complements are consumed first, for all lengths.  Then lengths are
+    taken from the longest down, and a gap is filled by an exact pair or triple
+    wherever the indexes have one that is free; best fit packs the residuals.
+    The smallest lengths fill the gaps of many longer ones, so pairs and triples
+    may have to leave them alone: floors are tried from 1 up, until the tokens need as many
+    sequences as there are; the plan with the fewest sequences stays.
     """
     counts = {n: c for n, c in counts.items() if c > 0}
-    sums, best = Sums(counts, capacity), None
-    for waste in (*WASTES, capacity + 1):
+    sums, best = Sums(counts, capacity), []
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    size = lambda made: sum(times for _, times in made)
+    for floor in FLOORS:
         state = Available(counts, capacity, sums)
-        for first in sorted(counts, reverse=True):
+        lengths = sorted(counts, reverse=True)
+        for first in lengths:
+            gap = capacity - first
+            if state.free[first] and (not gap or state.free[gap]):
+                state.consume((first, gap) if gap else (first,))
+        for first in lengths:
             while state.free[first]:
-                pattern = state.best_fit(first)
-                if capacity - sum(pattern) < waste or not state.exact(first):
-                    state.consume(pattern)
-        if best is None or sum(t for _, t in state.made) < sum(t for _, t in best):
+                state.consume(state.filled(first, int(floor * capacity)))
+        if not best or size(state.made) < size(best):
             best = state.made
+        if size(best) == least:
+            break
     return best
 
 

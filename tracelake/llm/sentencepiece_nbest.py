@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding with n-best segmentations.
 
 The pieces of a model and their scores span a lattice over a text; a
-segmentation is a path and scores the sum of its pieces.  A forward pass keeps
-the n best scores of every prefix, each with a pointer to the prefix and the rank
-it came from.  No other path to a prefix can be part of the n best, so these are
-exact, and time and memory are in proportion to n and to the length, however many
-paths have equal scores.
+segmentation is a path and scores the sum of its pieces.  A forward Viterbi pass
+gives the best score of every prefix.  These are exact heuristics for the search
+backward from the end: a suffix's score plus the forward score of the prefix
+before it is that of the best path that ends so.  A-star takes the best such
+suffix and makes it longer by each piece that ends where it starts; the suffixes that reach
+the text's start are the n best paths, in order.  Suffixes in the queue stand for
+different paths, so the best n of them are enough, and time and memory are in
+proportion to n and to the length, however many paths have equal scores.
 
 No piece reaches from a word into the space before the next one, so a text's
 lattice is a chain of words' lattices.  Best paths of words are remembered, and
@@ -33,7 +36,7 @@ import heapq
 import re
 import zlib
 from array import array
-from collections import deque
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,26 +146,52 @@ class Lattice:
             return (piece[0],)
         return tuple(self.byte_ids[b] for b in word[start:end].encode("utf-8", "surrogatepass"))
 
-    def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best paths of a word, best first; of equal ones the path that ``together`` takes."""
-        recent = deque([[0.0]], maxlen=self.longest)  # costs of the best paths to the last few positions
-        came = array("q")  # n places a position: start and rank that a path to it came from
+    def forward(self, word: str) -> array:
+        """The best score of every prefix."""
+        best = array("d", [0.0])
         for end in range(1, len(word) + 1):
-            options = sorted((cost - score, start * n + k) for start, _, score in self.edges(word, end) for k, cost in enumerate(recent[start - end]))[:n]
-            recent.append([cost for cost, _ in options])
-            came.extend(place for _, place in options)
-            came.extend([-1] * (n - len(options)))
-        found = []
-        for k, cost in enumerate(recent[-1]):
-            ids: list[int] = []
-            end = len(word)
-            while end:
-                start, k = divmod(came[(end - 1) * n + k], n)
-                ids += self.ids_between(word, start, end)[::-1]
-                end = start
-            found.append((-cost, tuple(ids[::-1])))
+            best.append(max(best[start] + score for start, _, score in self.edges(word, end)))
+        return best
+
+    def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best paths of a word, best first; of equal ones the path that ``together`` takes.
+
+        A-star from the end: an entry of the queue is a suffix with its score, and
+        the forward score of where it starts is what its best completion adds, exactly.  Entries
+        stand for different paths, so with r paths to go the best r of them hold
+        these, and the queue keeps no more; no position is expanded more than n times.
+        """
+        ahead = self.forward(word)
+        at, came = array("q", [len(word)]), array("q", [-1])  # of each suffix: where it starts, and the one it was made longer from
+        queue = [(-ahead[-1], 0, 0, 0, 0.0)]  # cost, latest first, start, number, score of the suffix
+        found: list[tuple[float, tuple[int, ...]]] = []
+        turn = 0
+        while queue:
+            _, _, _, number, behind = queue.pop(0)
+            end = at[number]
+            if not end:
+                found.append((behind, self.ids_along(word, number, at, came)))
+                continue
+            turn += 1
+            left = n - len(found)
+            for start, _, score in self.edges(word, end):
+                entry = (-(ahead[start] + score + behind), -turn, start)
+                if len(queue) < left or entry < queue[-1][:3]:
+                    at.append(start)
+                    came.append(number)
+                    insort(queue, (*entry, len(at) - 1, score + behind))
+                    del queue[left:]
+            del queue[left:]
         return found
 
+    def ids_along(self, word: str, number: int, at: array, came: array) -> tuple[int, ...]:
+        """The ids of a whole path, from its start."""
+        ids: list[int] = []
+        while came[number] >= 0:
+            ids += self.ids_between(word, at[number], at[came[number]])
+            number = came[number]
+        return tuple(ids)
+
     def learn(self) -> None:
         """Best paths, scores and second-best losses of the new words."""
         first, words = len(self.ids), self.known.new
