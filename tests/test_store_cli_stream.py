@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tests.transcript_files import call, heavy, record, result, usage, write
+from tests.transcript_files import call, day, record, result, usage, write
 from tracelake import cli, schemas
 from tracelake.config import BadConfig, Config
 from tracelake.operators import content, health
@@ -15,14 +15,14 @@ from tracelake.streaming.ingest import follow, token_rates
 
 def test_store_replaces_sessions_whole(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), 4)
-    a = write(tmp_path / "in/a.jsonl", heavy())
+    a = write(tmp_path / "in/a.jsonl", day())
     b = write(tmp_path / "in/b.jsonl", [call(1, "t0", more={"session": "s2"})])
     store.replace(load(read_lines(spark, a, b)))
-    assert (store.sessions.count(), store.messages.count(), store.runs.count()) == (2, 40, 7)
+    assert (store.sessions.count(), store.messages.count(), store.runs.count()) == (2, 24, 6)
     first = store.content_hash()
     store.replace(load(read_lines(spark, a)))
     assert store.content_hash() == first
-    write(tmp_path / "in/a.jsonl", heavy()[:3])
+    write(tmp_path / "in/a.jsonl", day()[:3])
     store.replace(load(read_lines(spark, a)))
     assert (store.sessions.count(), store.messages.count(), store.runs.count()) == (2, 4, 2)
     assert store.content_hash() != first
@@ -48,7 +48,7 @@ def ask(spark, tmp_path, *words):
 
 
 def test_command_line(spark, tmp_path):
-    a = write(tmp_path / "in/s1.jsonl", heavy())
+    a = write(tmp_path / "in/s1.jsonl", day())
     assert ask(spark, tmp_path, "projects", "list") == "(none)"
     assert ask(spark, tmp_path, "projects", "add", "named", "/work") == "saved"
     with pytest.raises(SystemExit):
@@ -60,20 +60,20 @@ def test_command_line(spark, tmp_path):
     for verb in (
         ["search", "--tool", "Bash"], ["inspect", "s1", "--status", "completed", "--context", "1"], ["compare", "--left", "s1", "--right", "s1"], ["aggregate"],
         ["errors", "--classify"], ["health"], ["health", "--session", "s1"], ["sequences", "--min-occurrences", "1", "--recovery"],
-        ["search", "--content-contains", "FILLER"], ["search", "--group-by-session"],
+        ["search", "--content-contains", "STEP 3"], ["search", "--group-by-session"],
     ):
         stored = json.loads(ask(spark, tmp_path, "transcripts", *verb, "--format", "json"))
         scanned = json.loads(ask(spark, tmp_path, "scan", *verb, "--file", a, "--format", "json"))
         assert stored == scanned and stored, verb
     runs = json.loads(ask(spark, tmp_path, "scan", "search", "--file", a, "--format", "json"))
-    assert len(runs) == 6 and {r["project_alias"] for r in runs} == {"named"}
+    assert len(runs) == 5 and {r["project_alias"] for r in runs} == {"named"}
     audit = json.loads(ask(spark, tmp_path, "transcripts", "audit", "--format", "json"))
-    assert [(r["jsonl_lines"], r["imported_messages"], r["missing"]) for r in audit] == [(39, 39, 0)]
+    assert [(r["jsonl_lines"], r["imported_messages"], r["missing"]) for r in audit] == [(23, 23, 0)]
     assert json.loads(ask(spark, tmp_path, "transcripts", "audit", "--session", "s1", "--project", "named", "--format", "json")) == audit
     with pytest.raises(SystemExit, match="nothing stored"):
         ask(spark, tmp_path, "transcripts", "audit", "--project", "none")
     assert "Bash" in ask(spark, tmp_path, "transcripts", "aggregate")
-    reads = json.loads(ask(spark, tmp_path, "scan", "read-scores", "--file", a, "--now", "2026-02-10T13:00:00Z"))
+    reads = json.loads(ask(spark, tmp_path, "scan", "read-scores", "--file", a, "--now", "2025-07-03T09:00:00Z"))
     assert reads["totals"] == [{"file_count": 1, "total_reads": 1}]
     assert ask(spark, tmp_path, "transcripts").startswith("transcripts: sync")
     with pytest.raises(SystemExit, match="Session not found"):
@@ -112,14 +112,58 @@ def test_config(tmp_path, monkeypatch):
     assert os.fspath(config.config_path("/c")) == "/c"
 
 
-def test_stream_follows_new_files(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"), 2)
-    write(tmp_path / "in/a.jsonl", heavy())
-    follow(spark, str(tmp_path / "in"), store, str(tmp_path / "check")).awaitTermination(120)
-    assert store.runs.count() == 6
-    write(tmp_path / "in/b.jsonl", [call(1, "n", more={"session": "s2"}), result(2, "n", more={"session": "s2"})])
-    follow(spark, str(tmp_path / "in"), store, str(tmp_path / "check")).awaitTermination(120)
-    assert store.sessions.count() == 2 and store.runs.count() == 7
+def stored(store):
+    """All rows of a store's content, without the time a load made them."""
+    return [sorted(map(str, store.table(name).collect())) for name in ("sessions", "messages", "runs")]
+
+
+def test_stream_follows_files_that_come_grow_shrink_move_and_go(spark, tmp_path):
+    root, store = tmp_path / "in", Store(spark, str(tmp_path / "store"), 2)
+    talk = lambda session, n: [r for i in range(n) for r in (call(2 * i, f"c{i}", more={"session": session}), result(2 * i + 1, f"c{i}", more={"session": session}))]
+
+    def caught_up():
+        follow(spark, str(root), store, str(tmp_path / "check"), files_per_load=3).awaitTermination(300)
+        fresh = Store(spark, str(tmp_path / f"fresh-{len(list(tmp_path.iterdir()))}"), 2)
+        with load(read_lines(spark, str(root))) as loaded:
+            fresh.replace(loaded)
+        assert stored(store) == stored(fresh)
+        return sorted(r["id"] for r in store.sessions.collect())
+
+    write(root / "a.jsonl", talk("a", 2))
+    write(root / "a/subagents/agent-x.jsonl", [call(1, "w", "WebFetch", {"session": "a"})])
+    write(root / "b.jsonl", talk("b", 4))
+    write(root / "twin1.jsonl", talk("twin", 1))
+    write(root / "twin2.jsonl", talk("twin", 3))
+    write(root / "bad.jsonl", ["{no"])
+    write(root / "move.jsonl", [{"type": "user", "content": "named by its file"}])
+    assert caught_up() == ["a", "a:agent:x", "b", "move", "twin"]
+    write(root / "a.jsonl", talk("a", 3))  # grown: its subagent keeps its parent
+    write(root / "b.jsonl", talk("b", 1))  # shrunk
+    (root / "twin2.jsonl").unlink()  # the other file of the session counts now
+    (root / "move.jsonl").rename(root / "moved.jsonl")
+    write(root / "bad.jsonl", talk("good", 1))  # mended
+    write(root / "late.jsonl", talk("late", 1))
+    assert caught_up() == ["a", "a:agent:x", "b", "good", "late", "moved", "twin"]
+    assert store.sessions.where("id = 'a:agent:x'").first()["parent_session_id"] == "a" and store.messages.where("session_id = 'b'").count() == 2
+    (root / "a.jsonl").unlink()  # its subagent stays, without a parent
+    write(root / "late.jsonl", ["{spoiled"])
+    write(root / "twin0.jsonl", talk("twin", 5))  # a later file of the session is there already
+    assert caught_up() == ["a:agent:x", "b", "good", "moved", "twin"]
+    assert store.sessions.where("id = 'twin'").first()["transcript_path"].endswith("twin1.jsonl")
+    before = store._pointer()[0]
+    assert caught_up() == ["a:agent:x", "b", "good", "moved", "twin"] and store._pointer()[0] == before  # nothing has changed, nothing is written
+
+
+def test_audit_finds_files_that_are_gone(spark, tmp_path):
+    paths = [write(tmp_path / f"in/{name}.jsonl", [record(i, session=name) for i in range(n)]) for name, n in (("one", 2), ("two", 3), ("three", 4))]
+    ask(spark, tmp_path, "transcripts", "sync", "--root", str(tmp_path / "in"))
+    os.remove(paths[1])
+    write(tmp_path / "in/three.jsonl", [record(i, session="three") for i in range(6)])
+    told = lambda *words: {r["external_session_id"]: (r["jsonl_lines"], r["imported_messages"], r["missing"]) for r in json.loads(ask(spark, tmp_path, "transcripts", "audit", *words, "--format", "json"))}
+    assert told() == {"one": (2, 2, 0), "two": (0, 3, -3), "three": (6, 4, 2)}
+    assert told("--session", "two") == {"two": (0, 3, -3)} and told("--file", paths[1]) == {"two": (0, 3, -3)} and told("--file", paths[0]) == {"one": (2, 2, 0)}
+    with pytest.raises(SystemExit, match="nothing stored"):
+        told("--file", str(tmp_path / "in/never.jsonl"))
 
 
 def test_token_rates(spark):

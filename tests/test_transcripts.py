@@ -1,14 +1,16 @@
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.transcript_files import call, heavy, record, result, write
+from tests.transcript_files import call, day, record, result, write
 from tracelake import schemas
 from tracelake.sources import transcripts
 from tracelake.sources.transcripts import load, parsed, read_lines
+from tracelake.sources.writer import delete_files, write_files
 
 
 def lines_of(spark, *files):
@@ -20,20 +22,20 @@ def runs_of(spark, records, path="/t/s1.jsonl"):
     return {r["tool_use_id"]: r for r in load(lines_of(spark, (path, records))).runs.collect()}
 
 
-def test_heavy_session(spark, tmp_path):
-    path = write(tmp_path / "s1.jsonl", heavy())
+def test_a_day_of_calls(spark, tmp_path):
+    path = write(tmp_path / "s1.jsonl", day())
     loaded = load(read_lines(spark, path))
-    assert loaded.messages.count() == 39
+    assert loaded.messages.count() == 23
     runs = loaded.runs.orderBy("start_ordinal").collect()
-    assert [r["tool_name"] for r in runs] == ["Bash", "Bash", "Read", "Edit", "Grep", "Bash"]
-    assert {r["duration_ms"] for r in runs} == {1000} and {r["status"] for r in runs} == {"completed"}
-    first = runs[0]
-    assert first["command_program"] == "ls" and first["command_args"] == ["/srv/app"] and first["command_fingerprint"] == "ls <path>/"
-    assert first["input_summary"] == "command=ls /srv/app" and first["file_paths"] == ["/srv/app"] and first["project_alias"] == "app"
-    assert first["started_at"] == "2026-02-10T12:00:01+00:00" and first["input_size"] == len('{"command":"ls /srv/app"}') and first["output_size"] == 4
+    assert [r["tool_name"] for r in runs] == ["Glob", "Write", "Bash", "Read", "Bash"]
+    assert {r["duration_ms"] for r in runs} == {2000} and {r["status"] for r in runs} == {"completed"}
+    third = runs[2]
+    assert third["command_program"] == "make" and third["command_args"] == ["check", "/srv/app"] and third["command_fingerprint"] == "make check <path>/"
+    assert third["input_summary"] == "command=make check /srv/app" and third["file_paths"] == ["/srv/app"] and third["project_alias"] == "app"
+    assert third["started_at"] == "2025-07-03T08:30:10+00:00" and third["input_size"] == len('{"command":"make check /srv/app"}') and third["output_size"] == 4
     session = loaded.sessions.first()
-    assert (session["id"], session["message_count"], session["is_subagent"]) == ("s1", 39, False)
-    assert {r["record_type"]: r["count"] for r in loaded.messages.groupBy("record_type").count().collect()} == {"assistant": 32, "progress": 1, "user": 6}
+    assert (session["id"], session["message_count"], session["is_subagent"]) == ("s1", 23, False)
+    assert {r["record_type"]: r["count"] for r in loaded.messages.groupBy("record_type").count().collect()} == {"assistant": 11, "progress": 6, "user": 6}
 
 
 def test_statuses_and_last_wins(spark):
@@ -61,7 +63,7 @@ def test_summaries_paths_and_truncation(spark):
 
 def test_strict_values_and_content_forms(spark):
     records = [
-        record(1, content="plain"), record(2, content=[{"type": "text", "text": "t"}]), {"type": "odd", "content": {"text": "own"}, "timestamp": "2026-02-10"},
+        record(1, content="plain"), record(2, content=[{"type": "text", "text": "t"}]), {"type": "odd", "content": {"text": "own"}, "timestamp": "2025-07-03"},
         {"type": "user", "message": {"content": None}, "content": "shadowed", "isSidechain": "true"}, {"type": "human", "toolUseId": "x", "uuid": 5},
         '{"type":"user","type":"assistant","content":"twice"}',
     ]
@@ -106,12 +108,12 @@ def test_unknown_keys_are_refused_at_every_level(spark, keys):
 
 def test_bad_lines_reject_their_file(spark, tmp_path):
     write(tmp_path / "bad.jsonl", [record(0, session="bad"), "{not-json", "[1]"])
-    write(tmp_path / "good.jsonl", heavy())
+    write(tmp_path / "good.jsonl", day())
     (tmp_path / "bytes.jsonl").write_bytes(b'{"type":"user","content":"\xff"}\n')
     lines = read_lines(spark, str(tmp_path))
     loaded = load(lines)
     assert {(r["file_path"].rsplit("/", 1)[1], r["level"]) for r in loaded.errors.collect()} == {("bad.jsonl", "decode"), ("bad.jsonl", "top-level"), ("bytes.jsonl", "encoding")}
-    assert loaded.runs.count() == 6 and loaded.sessions.count() == 1
+    assert loaded.runs.count() == 5 and loaded.sessions.count() == 1
     with pytest.raises(transcripts.BadTranscripts, match="bad.jsonl:2"):
         load(lines, fail_fast=True)
 
@@ -139,10 +141,10 @@ def test_one_session_in_two_files_and_one_tool_id_in_two_sessions(spark):
 
 
 def test_facts_come_from_the_first_ten_messages(spark):
-    records = [{"type": "user", "timestamp": "2026-02-10T12:00:09Z"}] * 10 + [record(1, session="late", cwd="/late")]
+    records = [{"type": "user", "timestamp": "2025-07-03T08:30:09Z"}] * 10 + [record(1, session="late", cwd="/late")]
     s = load(lines_of(spark, ("/t/stem.jsonl", records))).sessions.first()
     assert (s["id"], s["cwd"], s["project_alias"]) == ("stem", None, "unknown")
-    assert (s["started_at"], s["ended_at"]) == ("2026-02-10T12:00:09+00:00", "2026-02-10T12:00:01+00:00")
+    assert (s["started_at"], s["ended_at"]) == ("2025-07-03T08:30:09+00:00", "2025-07-03T08:30:01+00:00")
 
 
 def test_aliases_prefer_the_deepest_component_prefix(spark):
@@ -163,3 +165,48 @@ def test_empty_input(spark):
     assert [df.count() for df in (loaded.sessions, loaded.messages, loaded.runs, loaded.errors)] == [0, 0, 0, 0]
     assert sorted(loaded.runs.columns) == sorted(c.split()[0] for c in schemas.RUNS.replace("\n", " ").split(",") if c.strip())
     assert parsed(loaded.errors.select("file_path", "ordinal", F.lit("").alias("value"))).count() == 0
+
+
+def plain_text(value):
+    """The text of a content value, by recursion."""
+    if isinstance(value, list):
+        return "\n".join(t for t in map(plain_text, value) if t)
+    if isinstance(value, dict) and isinstance(value.get("text"), str):
+        return value["text"]
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
+
+
+def test_error_texts_nested_to_any_depth(spark):
+    rng, bodies = random.Random(4), {}
+    for i, depth in enumerate([0, 1, 5, 6, 7, 8, 13, 40, 100]):
+        body = rng.choice(["x", {"type": "text", "text": "t"}, {"a": [[1, [2]]]}])
+        for k in range(depth):
+            body = [body, *rng.choices(["", None, f"s{k}", {"text": f"o{k}"}, 7, [], [["deep", []]]], k=rng.randint(0, 2))]
+        bodies[f"t{i}"] = body
+    records = [r for i, (ident, body) in enumerate(bodies.items()) for r in (call(2 * i, ident), result(2 * i + 1, ident, body, True))]
+    records += [call(40, "fine"), result(41, "fine", [[[[[[[["not an error"]]]]]]]])]
+    runs = runs_of(spark, records)
+    assert {k: r["error_content"] for k, r in runs.items()} == {k: plain_text(b) for k, b in bodies.items()} | {"fine": None}
+
+
+def test_listing_names_files_that_exist(spark, tmp_path):
+    write(tmp_path / "p/a.jsonl", [record(0)])
+    write(tmp_path / "p/workflows/journal.jsonl", ["{"])
+    (tmp_path / "p/note.txt").write_text("x")
+    rows = transcripts.listing(spark, str(tmp_path / "p"), str(tmp_path / "none")).collect()
+    assert [(r["file_path"], r["length"]) for r in rows] == [(str(tmp_path / "p/a.jsonl"), (tmp_path / "p/a.jsonl").stat().st_size)]
+    assert transcripts.listing(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_files_are_written_whole_and_deleted(spark, tmp_path):
+    rows = [(f"d{i % 3}/f{i % 7}.jsonl", i, f"line {i} é".encode()) for i in range(500)] + [("bytes.jsonl", 0, b"\xff"), ("bytes.jsonl", 1, b"")]
+    lines = spark.createDataFrame(rows, "file string, ordinal long, value binary").repartition(4)
+    wrote = {r["file"]: (r["lines"], r["bytes"]) for r in write_files(lines, str(tmp_path / "out")).collect()}
+    want = {}
+    for file, _, value in sorted(rows, key=lambda r: r[1]):
+        want[file] = want.get(file, b"") + value + b"\n"
+    assert {f: (tmp_path / "out" / f).read_bytes() for f in want} == want
+    assert wrote == {f: (w.count(b"\n"), len(w)) for f, w in want.items()}
+    assert not [p for p in (tmp_path / "out").rglob("_*")]
+    names = spark.createDataFrame([("bytes.jsonl",), ("none.jsonl",)], "file string")
+    assert [r["file"] for r in delete_files(names, str(tmp_path / "out")).collect()] == ["bytes.jsonl"] and not (tmp_path / "out/bytes.jsonl").exists()

@@ -2,11 +2,10 @@
 
 import json
 
-BASE = 1_770_724_800  # 2026-02-10T12:00:00Z
-
 
 def stamp(second):
-    return f"2026-02-10T12:{second // 60:02d}:{second % 60:02d}.000Z"
+    """Half past eight on a summer morning, and so many seconds."""
+    return f"2025-07-03T08:{30 + second // 60:02d}:{second % 60:02d}.000Z"
 
 
 def record(second, kind="assistant", content=None, session="s1", cwd="/work/app", usage=None, **more):
@@ -38,16 +37,19 @@ def write(path, records):
     return str(path)
 
 
-def heavy():
-    """Six completed calls among 39 records."""
-    out = [record(0, "progress")]
-    calls = [("Bash", {"command": "ls /srv/app"}), ("Bash", {"command": "cargo test"}), ("Read", {"file_path": "/work/app/a.rs"}),
-             ("Edit", {"file_path": "/work/app/a.rs"}), ("Grep", {"pattern": "x", "path": "/work/app"}), ("Bash", {"command": "git status"})]
-    second = 1
-    for i, (name, values) in enumerate(calls):
-        out += [call(second, f"t{i}", name, {"usage": usage(1, 1000, 10)}, **values), result(second + 1, f"t{i}")]
-        second += 2
-    while len(out) < 39:
-        out.append(record(second, content="filler text", usage=usage(1, 1000 + second, 10)))
-        second += 1
+def day():
+    """Five calls, two seconds each, between questions and answers: 23 records."""
+    out = [record(0, "user", "please tidy up"), record(1, content="looking", usage=usage(3, 2000, 40))]
+    asked = {
+        "g1": ("Glob", {"pattern": "**/*.py", "path": "/work/app"}),
+        "w1": ("Write", {"file_path": "/work/app/new.py"}),
+        "b1": ("Bash", {"command": "make check /srv/app"}),
+        "r1": ("Read", {"file_path": "/work/app/new.py"}),
+        "b2": ("Bash", {"command": "make clean"}),
+    }
+    for i, (ident, (name, values)) in enumerate(asked.items()):
+        second = 4 * i + 2
+        out += [call(second, ident, name, {"usage": usage(2, 2000 + second, 20)}, **values), result(second + 2, ident)]
+        out.append(record(second + 3, content=f"step {i} done", usage=usage(2, 2000 + second, 20)))
+    out += [record(22 + i, "progress") for i in range(6)]
     return out

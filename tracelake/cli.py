@@ -128,7 +128,7 @@ def one_session(sessions: DataFrame, wanted: str):
     return found
 
 
-def analyse(args: argparse.Namespace, sessions: DataFrame, messages: DataFrame, rows: DataFrame, lines: DataFrame | None):
+def analyse(args: argparse.Namespace, sessions: DataFrame, messages: DataFrame, rows: DataFrame, lines: DataFrame | None, listing: DataFrame | None = None):
     """The result of a verb."""
     f = filters_of(args)
     if args.verb == "search":
@@ -162,26 +162,28 @@ def analyse(args: argparse.Namespace, sessions: DataFrame, messages: DataFrame,
         scores = content.read_scores(rows, now, args.half_life_days, args.under, args.ext)
         return {"totals": content.read_totals(scores), "files": scores if args.limit is None else scores.limit(args.limit)}
     if args.verb == "audit":
-        stored = None
-        if args.area == "transcripts":
-            stored = sessions.join(lines.select(F.col("file_path").alias("transcript_path")).distinct(), "transcript_path", "left_semi")
-        return content.audit(lines, transcripts.messages(transcripts.parsed(lines)), stored).limit(args.limit)
+        stored = sessions if args.area == "transcripts" else None
+        return content.audit(lines, transcripts.messages(transcripts.parsed(lines)), stored, listing).limit(args.limit)
     raise Failure(f"unknown verb {args.verb}")
 
 
-def audited(args: argparse.Namespace, store: Store) -> list[str]:
-    """Files to audit: one by name, one session's, a project's, or the first ones stored."""
-    if args.file:
-        return [args.file]
+def audit_stored(args: argparse.Namespace, spark: SparkSession, store: Store):
+    """Audit of one file by name, one session's, a project's, or the first ones stored; only files that are still there are read."""
     chosen = store.sessions
+    if args.file:
+        chosen = chosen.where(F.col("transcript_path") == args.file)
     if args.session:
         chosen = chosen.where(F.col("id") == one_session(chosen, args.session)["id"])
     if args.project:
         chosen = chosen.where(F.col("project_alias") == args.project)
-    found = [r["transcript_path"] for r in chosen.select("transcript_path").orderBy("transcript_path").limit(args.limit).collect()]
-    if not found:
+    chosen = chosen.orderBy("transcript_path").limit(args.limit)
+    paths = [args.file] if args.file else [r["transcript_path"] for r in chosen.select("transcript_path").collect()]  # `limit` at most
+    listing = transcripts.listing(spark, *paths)
+    there = [r["file_path"] for r in listing.select("file_path").collect()]
+    if not paths or args.file and not there and not chosen.count():
         raise Failure("nothing stored that matches")
-    return found
+    lines = transcripts.read_lines(spark, *there) if there else spark.createDataFrame([], "file_path string, ordinal bigint, value string")
+    return analyse(args, chosen, store.messages, store.runs, lines, listing)
 
 
 def paths_of(args: argparse.Namespace, cfg: configuration.Config) -> list[str]:
@@ -275,10 +277,9 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> str:
     store = Store(spark, configuration.store_path(args.store))
     if args.verb == "sync":
         return sync(args, spark, store, cfg)
-    lines = None
     if args.verb == "audit":
-        lines = transcripts.read_lines(spark, *audited(args, store))
-    return render(analyse(args, store.sessions, store.messages, store.runs, lines), args.format)
+        return render(audit_stored(args, spark, store), args.format)
+    return render(analyse(args, store.sessions, store.messages, store.runs, None), args.format)
 
 
 def main() -> None:

@@ -42,6 +42,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, by name; nothing where there is none."""
+    fs, at = files_of(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, at = files_of(spark, old)
+    fs.rename(at, files_of(spark, new)[1])
+
+
 def write_file(spark: SparkSession, path: str, text: str | bytes) -> str:
     """A small file, on whichever file system the path names."""
     fs, at = files_of(spark, path)

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import command_fingerprint, command_paths, instant, last_component, millis_between, rfc3339, tokens, truncated
-from .shared import remove, written
+from .shared import files_of, remove, written
 
 #: Messages from whose first ones a session's facts are taken.
 FACT_MESSAGES = 10
-#: Arrays within each other that are flattened to text; what lies deeper stays JSON.
-NESTED = 6
+#: Arrays within each other that are opened at once; deeper ones take another round.
+LEVELS_AT_ONCE = 6
+#: Files that are no transcripts.
+JOURNAL = r"/workflows/(?:.*/)?journal\.jsonl$"
 LEVELS = (
     ("top-level", "$", schemas.TOP_LEVEL_FIELDS),
     ("message", "$.message", schemas.MESSAGE_FIELDS),
@@ -46,12 +48,23 @@ def read_lines(spark: SparkSession, *paths: str, subagents: bool = True) -> Data
     raw = reader.text(list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start")
     path = F.regexp_replace("file_path", "^file:/+", "/")
     rows = raw.withColumns({"file_path": path, "_id": F.monotonically_increasing_id()})
-    rows = rows.where(~F.col("file_path").rlike("/workflows/(?:.*/)?journal\\.jsonl$"))
+    rows = rows.where(~F.col("file_path").rlike(JOURNAL))
     if not subagents:
         rows = rows.where(~is_subagent_path(F.col("file_path")))
     return numbered(rows)
 
 
+def listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file_path, length, modified) of the ``*.jsonl`` files below those of the paths that exist; no content is read."""
+    there = [p for p in paths if (at := files_of(spark, p)) and at[0].exists(at[1])]
+    if not there:
+        return spark.createDataFrame([], "file_path string, length bigint, modified timestamp")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    path = F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file_path")
+    rows = reader.load(there).select(path, F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified"))
+    return rows.where(~F.col("file_path").rlike(JOURNAL))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """(file_path, ordinal, value) of rows with ``file_block_start`` and ``_id``, which orders a block's lines.
 
@@ -165,12 +178,35 @@ def flat_leaf(v: Column) -> Column:
     return F.when(nothing, "").when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.coalesce(own, json(v)))
 
 
-def flat_text(v: Column, depth: int = NESTED) -> Column:
-    """The text of a content value: parts of arrays joined by line feeds, empty ones dropped, to ``depth`` arrays in each other."""
-    if not depth:
-        return flat_leaf(v)
-    parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: flat_text(x, depth - 1))
-    return F.when(is_array(v), F.array_join(F.filter(parts, lambda p: p != ""), "\n")).otherwise(flat_leaf(v))
+def held(v: Column) -> Column:
+    """The items of an array, or else the value alone."""
+    return F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+
+
+def opened(items: Column, levels: int = LEVELS_AT_ONCE) -> Column:
+    """Values, in order, with the arrays among them replaced by their items, ``levels`` times."""
+    for _ in range(levels):
+        items = F.flatten(F.transform(items, held))
+    return items
+
+
+def flat_text(items: Column) -> Column:
+    """The texts of values without arrays, joined by line feeds, empty ones dropped."""
+    return F.array_join(F.filter(F.transform(items, flat_leaf), lambda p: p != ""), "\n")
+
+
+def all_opened(rows: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` whose array of values ``name`` has no array left in it, and the paths that hold them.
+
+    Each round opens LEVELS_AT_ONCE levels and writes the rows, so arrays may lie
+    in each other as deep as they like.
+    """
+    paths: list[str] = []
+    while True:
+        rows, at = written(rows.withColumn(name, opened(F.col(name))), "opened")
+        paths.append(at)
+        if not rows.where(F.exists(name, is_array)).limit(1).count():
+            return rows, paths
 
 
 def messages(records: DataFrame) -> DataFrame:
@@ -188,6 +224,8 @@ def normalised(records: DataFrame) -> DataFrame:
     wrapped = F.when(form == '"', F.concat(F.lit('{"text":'), "_json", F.lit("}"))).when(form == "[", F.concat(F.lit('{"blocks":'), "_json", F.lit("}"))).otherwise(F.coalesce("_json", F.lit("null")))
     blocks = F.when(form == "[", F.try_variant_get(c, "$", "array<variant>")).when(form == "{", F.try_variant_get(c, "$.blocks", "array<variant>"))
     plain = F.when(form == '"', F.try_variant_get(c, "$", "string")).when(form == "{", F.coalesce(text(c, "$.text"), "_json")).when(form == "[", wrapped)
+    # arrays in the text of an error may lie deeper than one round opens
+    deep = F.col("_json").contains('"is_error":true') & (F.length("_json") - F.length(F.replace("_json", F.lit("["))) > LEVELS_AT_ONCE)
     searched = plain.otherwise(F.when(F.coalesce("_json", F.lit("null")) == "null", "").otherwise(F.col("_json")))
     stamp = instant(text(v, "$.timestamp"))
     return rows.select(
@@ -199,7 +237,7 @@ def normalised(records: DataFrame) -> DataFrame:
         usage("input_tokens").alias("input_tokens"), usage("output_tokens").alias("output_tokens"), usage("cache_read_input_tokens").alias("cache_read_input_tokens"),
         usage("cache_creation_input_tokens").alias("cache_creation_input_tokens"), text(v, "$.message.model").alias("model"),
         text(v, "$.sessionId").alias("record_session_id"), text(v, "$.slug").alias("slug"), text(v, "$.cwd").alias("cwd"), text(v, "$.gitBranch").alias("git_branch"), text(v, "$.version").alias("version"),
-        blocks.alias("blocks"), at(v, "$.toolUseResult.file").alias("read_file"),
+        blocks.alias("blocks"), at(v, "$.toolUseResult.file").alias("read_file"), F.coalesce(deep, F.lit(False)).alias("deep"),
     )
 
 
@@ -223,7 +261,17 @@ def with_alias(cwds: DataFrame, projects: DataFrame | None = None) -> DataFrame:
 
 
 def sessions(msgs: DataFrame, projects: DataFrame | None = None, link_subagents: bool = True) -> DataFrame:
-    """One session for each file; of files with one session id the last by path."""
+    """One session for each session id, of whose files the last by path counts."""
+    return last_files(file_sessions(msgs, projects, link_subagents))
+
+
+def last_files(found: DataFrame) -> DataFrame:
+    last = found.groupBy("id").agg(F.max_by(F.struct(*[c for c in found.columns if c != "id"]), "transcript_path").alias("s"))
+    return last.select("id", "s.*")
+
+
+def file_sessions(msgs: DataFrame, projects: DataFrame | None = None, link_subagents: bool = True) -> DataFrame:
+    """One session for each file."""
     place = Window.partitionBy("file_path").orderBy("ordinal")
     rows = msgs.withColumn("_n", F.row_number().over(place))
     first = lambda c: F.min_by(c, F.when((F.col("_n") <= FACT_MESSAGES) & F.col(c).isNotNull(), F.col("ordinal")))
@@ -247,12 +295,10 @@ def sessions(msgs: DataFrame, projects: DataFrame | None = None, link_subagents:
         facts = facts.withColumn("parent_session_id", F.lit(None).cast("string"))
     child = F.col("parent_session_id").isNotNull() | F.col("agent_id").isNotNull()
     aliases = with_alias(facts.select("cwd").where(F.col("cwd").isNotNull()).distinct(), projects)
-    out = facts.join(aliases, "cwd", "left").select(
+    return facts.join(aliases, "cwd", "left").select(
         named(child).alias("id"), "external_session_id", "parent_session_id", child.alias("is_subagent"), "agent_id", F.coalesce("project_alias", F.lit("unknown")).alias("project_alias"),
         F.col("file_path").alias("transcript_path"), "cwd", "slug", "git_branch", "version", "started_at", "ended_at", "message_count",
     )
-    last = out.groupBy("id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "id"]), "transcript_path").alias("s"))
-    return last.select("id", "s.*")
 
 
 # Runs.
@@ -272,24 +318,41 @@ def tool_parts(msgs: DataFrame) -> DataFrame:
     """(file_path, tool_use_id, u, r): the call and the result of each id; of several the last by place counts.
 
     Calls and results meet in one aggregation, which is their full outer join.
+    The texts of errors with deeply nested arrays are made apart.
     """
+    rows = part_rows(msgs.where(~F.col("deep")), None)
+    if msgs.where("deep").limit(1).count():
+        rows = rows.unionByName(part_rows(msgs.where("deep"), deep_texts(msgs.where("deep"))))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
+    return rows.groupBy("file_path", "tool_use_id").agg(last("u"), last("r"))
+
+
+def deep_texts(msgs: DataFrame) -> DataFrame:
+    """(file_path, ordinal, pos, text): the flat texts of the contents of errors."""
+    b = F.col("b")
+    told = msgs.select("file_path", "ordinal", F.posexplode("blocks").alias("pos", "b")).where(F.coalesce(flag(b, "$.is_error"), F.lit(False)) & (text(b, "$.type") == "tool_result"))
+    rows, _ = all_opened(told.select("file_path", "ordinal", "pos", F.array(at(b, "$.content")).alias("items")), "items")
+    return rows.select("file_path", "ordinal", "pos", flat_text(F.col("items")).alias("text"))
+
+
+def part_rows(msgs: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """(file_path, tool_use_id, place, u, r) of each block that is a call or a result; ``texts`` are flat texts made before."""
     scope = F.when(is_subagent_path(F.col("file_path")), F.concat(F.lit("subagent:"), F.coalesce("agent_id", F.regexp_replace(stem(F.col("file_path")), "^agent-", "")))).otherwise("main")
     blocks = msgs.select("file_path", "ordinal", "stamp", "agent_id", scope.alias("scope"), "read_file", F.posexplode("blocks").alias("pos", "b"))
+    blocks = blocks.withColumn("text", F.lit(None).cast("string")) if texts is None else blocks.join(texts, ["file_path", "ordinal", "pos"], "left")
     b = F.col("b")
     blocks = blocks.withColumn("_type", text(b, "$.type")).where(F.col("_type").isin("tool_use", "tool_result"))
     is_use, is_result = F.col("_type") == "tool_use", F.col("_type") == "tool_result"
     error, body = F.coalesce(flag(b, "$.is_error"), F.lit(False)), at(b, "$.content")
     use = F.struct("ordinal", "stamp", F.col("agent_id").alias("agent"), "scope", text(b, "$.name").alias("name"), F.to_json(at(b, "$.input")).alias("input"))
     result = F.struct(
-        "ordinal", "stamp", error.alias("error"), F.when(error, truncated(flat_text(body), 2000)).alias("error_content"), F.octet_length(json(body)).cast("long").alias("size"),
+        "ordinal", "stamp", error.alias("error"), F.when(error, truncated(F.coalesce("text", flat_text(opened(F.array(body)))), 2000)).alias("error_content"), F.octet_length(json(body)).cast("long").alias("size"),
         whole(F.col("read_file"), "$.totalLines").alias("total"), whole(F.col("read_file"), "$.numLines").alias("lines"), flag(F.col("read_file"), "$.truncatedByTokenCap").alias("cut"),
     )
-    rows = blocks.select(
+    return blocks.select(
         "file_path", F.when(is_use, text(b, "$.id")).otherwise(text(b, "$.tool_use_id")).alias("tool_use_id"), F.struct("ordinal", "pos").alias("place"),
         F.when(is_use, use).alias("u"), F.when(is_result, result).alias("r"),
     ).where(F.col("tool_use_id").isNotNull())
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
-    return rows.groupBy("file_path", "tool_use_id").agg(last("u"), last("r"))
 
 
 def derived_runs(msgs: DataFrame, session_rows: DataFrame) -> DataFrame:
@@ -323,6 +386,8 @@ def derived_runs(msgs: DataFrame, session_rows: DataFrame) -> DataFrame:
 class Loaded:
     """What transcripts hold; ``errors`` names what was refused, and its files are missing from the rest.
 
+    ``files`` (file_path, id) has each accepted file with its session, also where another file of that session counts.
+
     All of it reads one snapshot in the shared folder, which ``close`` (or the
     end of a ``with`` block) removes.
     """
@@ -331,6 +396,7 @@ class Loaded:
     messages: DataFrame
     runs: DataFrame
     errors: DataFrame
+    files: DataFrame
     paths: tuple[str, ...]
 
     def __enter__(self) -> Loaded:
@@ -350,7 +416,7 @@ class BadTranscripts(ValueError):
 
 #: What sessions and runs are made of; the other columns of messages are left out where nobody asks for them.
 NARROW = (
-    "file_path", "ordinal", "level", "reason", "stamp", "timestamp", "agent_id", "record_session_id", "slug", "cwd", "git_branch", "version", "blocks", "read_file",
+    "file_path", "ordinal", "level", "reason", "stamp", "timestamp", "agent_id", "record_session_id", "slug", "cwd", "git_branch", "version", "blocks", "read_file", "deep",
 )
 
 
@@ -372,11 +438,13 @@ def load(lines: DataFrame, projects: DataFrame | None = None, link_subagents: bo
         raise BadTranscripts(f"{first['file_path']}:{first['ordinal'] + 1}: {first['level']}: {first['reason']}")
     bad = errors.select("file_path").distinct()
     msgs = records.join(bad, "file_path", "left_anti") if errors.limit(1).count() else records
-    session_rows, sessions_at = written(sessions(msgs, projects, link_subagents), "sessions")
+    all_files, sessions_at = written(file_sessions(msgs, projects, link_subagents), "sessions")
+    session_rows = last_files(all_files)
     named = session_rows.select(F.col("id").alias("session_id"), F.col("transcript_path").alias("file_path"))
     if with_messages:
         stored = [c.split()[0] for c in schemas.MESSAGES.replace("\n", " ").split(",") if c.strip()]
         message_rows = msgs.join(named, "file_path").select(*stored)
     else:
         message_rows = spark.createDataFrame([], schemas.MESSAGES)
-    return Loaded(session_rows, message_rows, derived_runs(msgs, session_rows), errors, (at, sessions_at))
+    files = all_files.select(F.col("transcript_path").alias("file_path"), "id")
+    return Loaded(session_rows, message_rows, derived_runs(msgs, session_rows), errors, files, (at, sessions_at))
