@@ -114,6 +114,21 @@ def test_components_of_a_graph(spark):
     assert {r["node"]: r["label"] for r in rows} == {1: 1, 3: 1, 5: 1, 9: 1, **dict.fromkeys(range(19, 25), 19)}
 
 
+def test_centres_are_joined_in_shares_and_blocks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHARE_ROWS", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 6)
+    rng = random.Random(21)
+    base = [f"k{i}" for i in range(400)]
+    docs = []
+    for i in range(160):  # one passage with tails of all lengths: sizes from 60 to 400 in the same buckets
+        words = base[: rng.randint(60, 400)]
+        words[rng.randrange(len(words))] = f"y{i}"
+        docs.append((i, " ".join(words)))
+    assert assigned(spark, docs) == brute(docs)
+    rows = near_dedup.assign(spark.createDataFrame([(*d, "x", 1, 2) for d in docs[:20]], "doc_id long, text string, component_id string, n_shingles int, share int")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(docs[:20])
+
+
 def test_hubs_are_joined_in_shares(spark, monkeypatch):
     from tracelake.llm import graph
 

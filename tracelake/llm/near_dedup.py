@@ -38,6 +38,7 @@ repeat a ``doc_id`` are rows of one node; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -66,6 +67,10 @@ STAR_ROUNDS = 1
 FINE_COORDINATES, FINE_AGREE = 1024, 776
 #: Members of a bucket, and shingles of them, that are compared in one piece, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 4_000_000
+#: Rows of one key that a share of a join has, about.
+SHARE_ROWS = 5_000
+#: Sizes of sets by powers of this: sets two classes apart differ by more than the threshold allows (4/3, and some room for rounding).
+SIZE_CLASS = 1.34
 #: Copies in which the sizes of very many large buckets are joined.
 SHARES = 64
 
@@ -195,11 +200,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("nothing")
-        last: tuple[str | None, np.ndarray] = (None, np.empty(0, U64))
+        last: tuple[str | None, np.ndarray] = (None, np.empty(0, U64))  # pairs of one centre follow each other
         for batch in batches:
             found = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if y is not last[0]:
+                if y != last[0]:
                     last = (y, shingles(y))
                 if jaccard_linked(shingles(x), last[1]):
                     found.append((a, b))
@@ -209,7 +214,24 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = only_ids(docs, "doc_id", ids, ids.count())
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return mapped(with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"), run, LINKED)
+    both = in_shares(with_a, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", "a", pairs)
+    return mapped(both.sortWithinPartitions("b"), run, LINKED)
+
+
+def in_shares(rows: DataFrame, side: DataFrame, key: str, spread: str, counted: DataFrame) -> DataFrame:
+    """``rows`` joined with ``side`` on ``key``, which many rows may have: each SHARE_ROWS of them get a copy of the side.
+
+    ``counted`` has the same keys as ``rows``, as often; ``spread`` deals the rows of a key.
+    """
+    hot = cut(counted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SHARE_ROWS).cast("int").alias("shares")).where(F.col("shares") > 1))
+    n = hot.count()
+    if not n:
+        return rows.join(side, key)
+    hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot
+    shares = F.coalesce("shares", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("share", F.pmod(F.xxhash64(spread), shares).cast("int")).drop("shares")
+    right = side.join(hot, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+    return left.join(right, [key, "share"]).drop("share")
 
 
 def star_pairs(members: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
@@ -222,9 +244,10 @@ def star_pairs(members: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
     by_label = members.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "rep"))["rep"].alias("centre"))
     top = by_label.groupBy("band").agg(F.max(F.struct("n", (-F.col("label")).alias("l"), "centre")).alias("top"))
     centres = top.select("band", (-F.col("top.l")).alias("main"), F.col("top.centre").alias("c"))
-    met = members.join(centres, "band").where(F.col("label") != F.col("main")).select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
-    met = met.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-    met = met.join(reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    met = in_shares(members, centres, "band", "rep", members).where(F.col("label") != F.col("main"))
+    met = cut(met.select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct())
+    with_a = met.join(reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    met = in_shares(with_a, reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b", "a", met)
     near = met.where(plausible("a", "b")).select("a", "b", agreeing("sketch_a", "sketch_b").alias("agree"))
     return near.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
 
@@ -329,21 +352,35 @@ def each_block(batches: Iterator[pa.RecordBatch], told: Callable[[Block], list[t
 
 
 def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members of buckets, dealt to blocks, once for each pair of blocks; rows of a pair lie together.
+    """Members of buckets, dealt to blocks, once for each pair of blocks that can have a link; rows of a pair lie together.
+
+    The blocks of a large bucket hold sets of one class of sizes, and meet those
+    of the same and the next classes; others differ too much to be linked.
 
     ``sizes`` has (band, rep, n) of the same members.  Only buckets of several
     blocks are told to their members: few are broadcast, more are joined in
     SHARES copies, so the members of a large bucket never meet in one task.
     """
+    size_class = lambda n: F.floor(F.log(n) / math.log(SIZE_CLASS)).cast("int")
     enough = F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)
-    large = cut(sizes.groupBy("band").agg(F.ceil(enough).cast("int").alias("blocks")).where(F.col("blocks") > 1))
-    if large.count() <= BROADCAST_IDS:
+    by_class = sizes.groupBy("band", size_class("n").alias("class")).agg(enough.alias("enough"))
+    classes = F.array_sort(F.collect_list(F.struct("class", F.ceil("enough").cast("int").alias("blocks"))))
+    large = by_class.groupBy("band").agg(F.sum("enough").alias("all"), classes.alias("classes")).where(F.col("all") > 1)
+    start = lambda k: F.aggregate(F.slice("classes", F.lit(1), k), F.lit(0), lambda n, x: n + x["blocks"])
+    numbered = F.transform("classes", lambda x, k: F.struct(x["class"].alias("class"), x["blocks"].alias("blocks"), start(k).alias("start")))
+    large = cut(large.select("band", numbered.alias("classes")))
+    if large.count() <= BROADCAST_IDS // 64:  # a bucket has some dozens of classes at most
         told = members.join(F.broadcast(large), "band", "left")
     else:
         copies = large.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
         told = members.withColumn("share", F.pmod(F.hash("rep"), F.lit(SHARES))).join(copies, ["band", "share"], "left")
-    placed = told.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    placed = told.withColumn("own", size_class("n"))
+    mine = F.filter("classes", lambda x: x["class"] == F.col("own"))[0]
+    block = F.coalesce(mine["start"] + F.pmod(F.xxhash64("rep"), mine["blocks"]).cast("int"), F.lit(0))
+    near = F.filter("classes", lambda x: F.abs(x["class"] - F.col("own")) <= 1)
+    others = F.flatten(F.transform(near, lambda x: F.sequence(x["start"], x["start"] + x["blocks"] - 1)))
+    placed = placed.withColumns({"block": block, "others": F.coalesce(others, F.array(F.lit(0)))})
+    pairs = F.transform("others", lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     return placed.select(*members.columns, "block", F.inline(pairs)).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
