@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import instant
+from .windows import over_sessions
 
 #: Detector thresholds (fixed values).
 JUMP_TOKENS = 5_000
@@ -35,9 +36,13 @@ def usage(messages: DataFrame) -> DataFrame:
 
 def observed(messages: DataFrame) -> DataFrame:
     """Usage with the previous message's context and cache reads; one sort by session serves all detectors."""
-    w = Window.partitionBy("session_id").orderBy("ordinal")
     before = {"context_before": F.lag("context", 1, 0), "cache_before": F.lag("cache_read"), "time_before": F.lag("timestamp"), "position": F.row_number()}
-    rows = usage(messages).withColumns({name: c.over(w) for name, c in before.items()})
+
+    def told(some: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("ordinal")
+        return some.withColumns({name: c.over(w) for name, c in before.items()})
+
+    rows = over_sessions(usage(messages), told, [F.col("ordinal")], behind=1, ordinal="ordinal")  # of positions only the first one is told apart
     seconds = F.floor((F.unix_micros(instant(F.col("timestamp"))) - F.unix_micros(instant(F.col("time_before")))) / 1_000_000)
     gap = F.coalesce(F.greatest(seconds, F.lit(0)), F.lit(0)).cast("long")
     drop = (F.col("cache_before") - F.col("cache_read")) / F.col("cache_before")

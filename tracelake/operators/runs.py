@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import error_fingerprint, scaled_round, truncated
 from ..plans.filters import RunFilters, filtered, holds, sequence_order, stored_order
+from .windows import over_sessions
 
 TOP_ERRORS = 10
 
@@ -56,15 +57,22 @@ def inspect(
         return own.orderBy(*sequence_order())
     if not context:
         return own.where(hit).orderBy(*sequence_order())
-    around = Window.partitionBy(F.lit(session_id)).orderBy(*sequence_order()).rowsBetween(-context, context)
-    near = own.withColumn("_near", F.max(hit.cast("int")).over(around))
-    return near.where(F.col("_near") == 1).drop("_near").orderBy(*sequence_order())
+    return near_hits(own.withColumn("_all", F.lit(session_id)), hit, context, "_all").drop("_all").orderBy(*sequence_order())
 
 
 def context_windows(runs: DataFrame, hit: Column, context: int) -> DataFrame:
     """Runs within ``context`` places of a hit, in every session at once."""
-    around = Window.partitionBy("session_id").orderBy(*sequence_order()).rowsBetween(-context, context)
-    return runs.withColumn("_near", F.max(holds(hit).cast("int")).over(around)).where(F.col("_near") == 1).drop("_near")
+    return near_hits(runs, holds(hit), context, "session_id")
+
+
+def near_hits(runs: DataFrame, hit: Column, context: int, key: str) -> DataFrame:
+    """Runs within ``context`` places of a hit with the same ``key``."""
+
+    def told(some: DataFrame, keys: list[str]) -> DataFrame:
+        around = Window.partitionBy(*keys).orderBy(*sequence_order()).rowsBetween(-context, context)
+        return some.withColumn("_near", F.max(hit.cast("int")).over(around))
+
+    return over_sessions(runs, told, sequence_order(), context, context, key).where(F.col("_near") == 1).drop("_near")
 
 
 def context_messages(messages: DataFrame, runs: DataFrame) -> DataFrame:

@@ -247,17 +247,20 @@ def normalised(records: DataFrame) -> DataFrame:
 def with_alias(cwds: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """(cwd, project_alias) of distinct ``cwd``s: the deepest configured path above it, or else its last component.
 
-    ``projects`` (alias, path) comes from a configuration file, so it is
-    broadcast; of equal paths the last alias counts.
+    Each ``cwd`` is taken apart into all paths above it, which meet those of
+    ``projects`` (alias, path) by equality; of equal paths the last alias counts.
     """
     own = F.coalesce(last_component(F.col("cwd")), F.lit("unknown"))
     if projects is None:
         return cwds.select("cwd", own.alias("project_alias"))
     path = F.when(F.col("path") == "/", "/").otherwise(F.regexp_replace("path", "/+$", ""))
-    named = F.broadcast(projects.select("alias", path.alias("path")))
-    above = (F.col("cwd") == F.col("path")) | F.col("cwd").startswith(F.concat(F.regexp_replace("path", "/$", ""), F.lit("/")))
-    best = cwds.join(named, above, "left").groupBy("cwd").agg(F.max_by("alias", F.when(F.col("alias").isNotNull(), F.struct(F.length("path"), "alias"))).alias("alias"))
-    return best.select("cwd", F.coalesce("alias", own).alias("project_alias"))
+    named = projects.select("alias", path.alias("path"))
+    parts = F.split("cwd", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    above = F.transform(heads, lambda p: F.when((p == "") & F.col("cwd").startswith("/"), "/").otherwise(p))
+    found = cwds.select("cwd", F.explode(F.array_distinct(F.array_append(above, F.col("cwd")))).alias("path")).join(named, "path")
+    best = found.groupBy("cwd").agg(F.max_by("alias", F.struct(F.length("path"), "alias")).alias("alias"))
+    return cwds.join(best, "cwd", "left").select("cwd", F.coalesce("alias", own).alias("project_alias"))
 
 
 def sessions(msgs: DataFrame, projects: DataFrame | None = None, link_subagents: bool = True) -> DataFrame:
