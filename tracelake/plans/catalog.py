@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.errors import CATEGORIES, OTHER, PREVENTABILITY
 from ..operators import content, errors, health, runs
 from ..sources import adapters, transcripts
 from .filters import RunFilters, filtered, stored_order
@@ -40,17 +39,32 @@ FINGERPRINT = r"""(SELECT CASE WHEN length(f) > 120 THEN substr(f, 1, 120) || '.
 
 
 def category_sql(text: str) -> str:
-    lower = f"lower({text})"
-    when = []
-    for name, groups in CATEGORIES:
-        parts = [" OR ".join("contains({}, '{}')".format(lower, n.replace("'", "''")) for n in needles) for needles in groups]
-        when.append(f"WHEN {' AND '.join(f'({p})' for p in parts)} THEN '{name}'")
-    return f"CASE {' '.join(when)} ELSE '{OTHER}' END"
+    """The rules by hand, so that a wrong one in the code shows."""
+    return f"""(SELECT CASE
+        WHEN t LIKE '%doesn''t want to proceed%' OR t LIKE '%was rejected%' THEN 'user_rejected'
+        WHEN t LIKE '%sibling tool call errored%' THEN 'sibling_errored'
+        WHEN t LIKE '%hook%' AND (t LIKE '%blocked%' OR t LIKE '%denied%') THEN 'hook_blocked'
+        WHEN t LIKE '%has not been read yet%' THEN 'file_not_read_first'
+        WHEN t LIKE '%modified since read%' THEN 'file_modified_since_read'
+        WHEN t LIKE '%does not exist%' OR t LIKE '%no such file%' OR t LIKE '%enoent%' THEN 'file_not_found'
+        WHEN t LIKE '%eisdir%' THEN 'path_error'
+        WHEN t LIKE '%exceeds maximum allowed tokens%' THEN 'token_limit_exceeded'
+        WHEN t LIKE '%mcp error%' THEN 'mcp_error'
+        WHEN t LIKE '%precommit failed%' OR t LIKE '%pre-commit%' OR t LIKE '%lefthook%' THEN 'pre_commit_failed'
+        WHEN t LIKE '%exit code%' THEN 'exit_code' ELSE 'other' END FROM (SELECT lower({text}) AS t))"""
 
 
 def preventability_sql(name: str) -> str:
-    when = [f"WHEN {name} IN ({', '.join(map(repr, names))}) THEN '{kind}'" for kind, names in PREVENTABILITY.items()]
-    return f"CASE {' '.join(when)} ELSE '{OTHER}' END"
+    return f"""(SELECT CASE
+        WHEN c IN ('file_not_read_first', 'file_modified_since_read', 'file_not_found', 'path_error', 'token_limit_exceeded') THEN 'preventable'
+        WHEN c IN ('user_rejected', 'hook_blocked') THEN 'user_driven' WHEN c = 'sibling_errored' THEN 'cascading'
+        WHEN c IN ('exit_code', 'mcp_error', 'pre_commit_failed') THEN 'systemic' ELSE 'other' END FROM (SELECT {name} AS c))"""
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with the place of each row in it, so that its order shows; for results of a session or a limit."""
+    rows = df.withColumn("_at", F.monotonically_increasing_id())
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
 
 
 SHOWN = ("tool_use_id", "session_id", "tool_name", "status", "duration_ms", "start_ordinal", "end_ordinal", "started_at", "error_content", "project_alias", "worktree_name")
@@ -118,6 +132,35 @@ def inspect_messages(spark, sf_dir):
     return runs.context_messages(messages, spans)
 
 
+@query(f"{RUNS} SELECT row_number() OVER ({STORED}) AS place, tool_use_id, session_id FROM runs WHERE tool_name = 'Bash' QUALIFY place <= 200")
+def search_order(spark, sf_dir):
+    """Places of the first matches in stored order."""
+    return placed(runs.search(adapters.runs(spark, sf_dir), RunFilters(tool="Bash", limit=200)).select("tool_use_id", "session_id"))
+
+
+@query(f"{RUNS} SELECT row_number() OVER (ORDER BY {SEQUENCE}) AS place, tool_use_id, session_id FROM runs WHERE session_id = '{SESSION}' OR parent_session_id = '{SESSION}'")
+def inspect_order(spark, sf_dir):
+    """Places of the runs of a session and its subagents in sequence."""
+    return placed(runs.inspect(adapters.runs(spark, sf_dir), SESSION).select("tool_use_id", "session_id"))
+
+
+@query(f"""{RUNS}, s AS (SELECT *, max(CAST(status = 'error' AS INT)) OVER {NEAR} AS near FROM runs WHERE session_id = '{SESSION}' OR parent_session_id = '{SESSION}')
+    SELECT row_number() OVER (ORDER BY {SEQUENCE}) AS place, tool_use_id FROM s WHERE near = 1""")
+def inspect_context_order(spark, sf_dir):
+    """Places of a session's failed runs and of two on both sides of each."""
+    return placed(runs.inspect(adapters.runs(spark, sf_dir), SESSION, status="error", context=2).select("tool_use_id"))
+
+
+@query(f"""WITH {CHAT}, r AS (SELECT session_id, min(ordinal) - 1 AS low, max(ordinal) AS high FROM m WHERE role = 'assistant' AND conv_id % 10 = 3 GROUP BY session_id)
+    SELECT row_number() OVER (ORDER BY m.session_id, ordinal) AS place, m.session_id, ordinal FROM m JOIN r USING (session_id) WHERE ordinal BETWEEN low AND high""")
+def inspect_messages_order(spark, sf_dir):
+    """Places of the messages around the runs of some sessions."""
+    messages = adapters.chat_messages(spark, sf_dir)
+    some = (F.col("role") == "assistant") & F.col("session_id").endswith("3")
+    spans = messages.where(some).select("session_id", F.col("ordinal").alias("start_ordinal"), F.col("ordinal").alias("end_ordinal"))
+    return placed(runs.context_messages(messages, spans).select("session_id", "ordinal"))
+
+
 def quoted(ids):
     return ", ".join(f"'{i}'" for i in ids)
 

@@ -36,7 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their place in the user's sequence and the number in their properties."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    # What is made of an event costs far more than moving it, so small inputs keep all cores busy too.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf_dir, "events").repartition(parts, "user_id").select(
         "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"), (F.row_number().over(order) - 1).cast("long").alias("n"),
     )

@@ -120,17 +120,22 @@ def flag(v: Column, path: str) -> Column:
     return F.when(kind(at(v, path)) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
 
 
-def starts(v: Column, sign: str) -> Column:
-    """Whether a value's JSON text starts so: the cheap test of an object or array, whose schema needn't be built."""
-    return F.coalesce(F.to_json(v).startswith(sign), F.lit(False))
+def fields(v: Column, path: str = "$") -> Column:
+    """An object's values by key; NULL for anything else."""
+    return F.try_variant_get(v, path, "map<string,variant>")
+
+
+def items(v: Column, path: str = "$") -> Column:
+    """An array's values; NULL for anything else."""
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def is_object(v: Column) -> Column:
-    return starts(v, "{")
+    return fields(v).isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return starts(v, "[")
+    return items(v).isNotNull()
 
 
 def json(v: Column) -> Column:
@@ -142,10 +147,9 @@ def parsed(lines: DataFrame) -> DataFrame:
     """Lines that aren't blank with their record ``v``, and ``level`` and ``reason`` where one is refused."""
     spark = lines.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts
-    rows = lines.withColumn("_trimmed", F.regexp_replace("value", r"^\s+|\s+$", "")).where(F.col("_trimmed") != "")
+    rows = lines.withColumn("_trimmed", F.btrim("value", F.lit(" \t\n\x0b\f\r"))).where(F.col("_trimmed") != "")
     rows = rows.select("file_path", "ordinal", "_trimmed", F.is_valid_utf8("value").alias("_valid"), F.try_parse_json("_trimmed").alias("v"))
-    keys = {path: F.json_object_keys(F.col("_trimmed") if path == "$" else F.get_json_object("_trimmed", path)) for _, path, _ in LEVELS}
-    rows = rows.withColumns({f"_keys{i}": keys[path] for i, (_, path, _) in enumerate(LEVELS)})  # NULL where there is no object
+    rows = rows.withColumns({f"_keys{i}": F.map_keys(fields(F.col("v"), path)) for i, (_, path, _) in enumerate(LEVELS)})  # NULL where there is no object
     found = []
     for i, (name, _, allowed) in enumerate(LEVELS):
         unknown = F.array_min(F.array_except(f"_keys{i}", F.array(*map(F.lit, allowed))))
@@ -157,11 +161,16 @@ def parsed(lines: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("_fault", first)
     return rows.select(
-        "file_path", "ordinal", "v", F.col("_fault.level").alias("level"), F.col("_fault.reason").alias("reason"),
+        "file_path", "ordinal", "v", many_arrays(F.col("_trimmed")).alias("deep"), F.col("_fault.level").alias("level"), F.col("_fault.reason").alias("reason"),
         F.col("_keys1").isNotNull().alias("has_message"), F.col("_keys2").isNotNull().alias("has_usage"),
     )
 
 
+def many_arrays(line: Column) -> Column:
+    """Whether the text of an error may hold arrays deeper than one round opens; the key can be written with escapes."""
+    return (line.contains('"is_error"') | line.contains("\\u")) & (F.length(line) - F.length(F.replace(line, F.lit("["))) > LEVELS_AT_ONCE)
+
+
 def ingest_errors(records: DataFrame) -> DataFrame:
     return records.where(F.col("level").isNotNull()).select("file_path", "ordinal", "level", "reason")
 
@@ -180,7 +189,7 @@ def flat_leaf(v: Column) -> Column:
 
 def held(v: Column) -> Column:
     """The items of an array, or else the value alone."""
-    return F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    return F.coalesce(items(v), F.array(v))
 
 
 def opened(items: Column, levels: int = LEVELS_AT_ONCE) -> Column:
@@ -219,13 +228,11 @@ def normalised(records: DataFrame) -> DataFrame:
     v = F.col("v")
     content = F.coalesce(F.when(F.col("has_message"), at(v, "$.message.content")), at(v, "$.content"))
     usage = lambda name: F.when(F.col("has_usage"), whole(v, f"$.message.usage.{name}"))
-    rows = records.withColumn("_c", content).withColumn("_json", F.to_json("_c"))
+    rows = records.withColumn("_c", content).withColumns({"_items": items(F.col("_c")), "_json": F.to_json("_c")})
     c, form = F.col("_c"), F.substring("_json", 1, 1)
     wrapped = F.when(form == '"', F.concat(F.lit('{"text":'), "_json", F.lit("}"))).when(form == "[", F.concat(F.lit('{"blocks":'), "_json", F.lit("}"))).otherwise(F.coalesce("_json", F.lit("null")))
-    blocks = F.when(form == "[", F.try_variant_get(c, "$", "array<variant>")).when(form == "{", F.try_variant_get(c, "$.blocks", "array<variant>"))
+    blocks = F.coalesce("_items", items(c, "$.blocks"))
     plain = F.when(form == '"', F.try_variant_get(c, "$", "string")).when(form == "{", F.coalesce(text(c, "$.text"), "_json")).when(form == "[", wrapped)
-    # arrays in the text of an error may lie deeper than one round opens
-    deep = F.col("_json").contains('"is_error":true') & (F.length("_json") - F.length(F.replace("_json", F.lit("["))) > LEVELS_AT_ONCE)
     searched = plain.otherwise(F.when(F.coalesce("_json", F.lit("null")) == "null", "").otherwise(F.col("_json")))
     stamp = instant(text(v, "$.timestamp"))
     return rows.select(
@@ -237,7 +244,7 @@ def normalised(records: DataFrame) -> DataFrame:
         usage("input_tokens").alias("input_tokens"), usage("output_tokens").alias("output_tokens"), usage("cache_read_input_tokens").alias("cache_read_input_tokens"),
         usage("cache_creation_input_tokens").alias("cache_creation_input_tokens"), text(v, "$.message.model").alias("model"),
         text(v, "$.sessionId").alias("record_session_id"), text(v, "$.slug").alias("slug"), text(v, "$.cwd").alias("cwd"), text(v, "$.gitBranch").alias("git_branch"), text(v, "$.version").alias("version"),
-        blocks.alias("blocks"), at(v, "$.toolUseResult.file").alias("read_file"), F.coalesce(deep, F.lit(False)).alias("deep"),
+        blocks.alias("blocks"), at(v, "$.toolUseResult.file").alias("read_file"), "deep",
     )
 
 
