@@ -11,8 +11,10 @@ import os
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.plans.catalog import QUERIES
+from tracelake.sources.adapters import transcript_lines
 
 HEADLINE = (
     "aggregate_by_tool", "aggregate_by_tool_status", "aggregate_top_errors", "search_runs", "run_filters_all", "inspect_context_window", "compare_cohorts",
@@ -42,12 +44,14 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took[name] = round(time.perf_counter() - start, 3)
     runs = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    lines, size = transcript_lines(spark, sf_dir).agg(F.count(F.lit(1)), F.sum(F.octet_length("value") + 1)).first()
     print(
         json.dumps(
             {
                 "metric": "sum of warm headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), "events": runs,
-                "runs_per_sec_search": round(runs / took["search_runs"]), "lines_per_sec_derive": round(1.6 * runs / took["derive_runs_roundtrip"]),
+                "runs_per_sec_search": round(runs / took["search_runs"]), "lines_per_sec_derive": round(lines / took["derive_runs_roundtrip"]),
+                "mib_per_sec_derive": round(size / 2**20 / took["derive_runs_roundtrip"], 2),
             }
         )
     )

@@ -33,12 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their place in the user's sequence and the number in their properties."""
+def events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Events with their place in the user's sequence and the number in their properties; in ``parts`` partitions, or as many as Spark finds fit."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    # What is made of an event costs far more than moving it, so small inputs keep all cores busy too.
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return table(spark, sf_dir, "events").repartition(parts, "user_id").select(
+    rows = table(spark, sf_dir, "events")
+    return (rows.repartition(parts, "user_id") if parts else rows).select(
         "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"), (F.row_number().over(order) - 1).cast("long").alias("n"),
     )
@@ -133,7 +132,9 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     called = F.when(F.col("event_type") != "purchase", F.struct((F.col("n") * 2).alias("ordinal"), asked.alias("value")))
     result = F.when(F.col("event_type") != "signup", F.struct((F.col("n") * 2 + 1).alias("ordinal"), told.alias("value")))
     file = F.concat(F.lit("/transcripts/user-"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("file_path")
-    return events(spark, sf_dir).select(file, F.inline(F.array_compact(F.array(called, result))))
+    # Parsing lines costs far more than moving events, so small inputs keep all cores busy too.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return events(spark, sf_dir, parts).select(file, F.inline(F.array_compact(F.array(called, result))))
 
 
 # The same in SQL, for DuckDB.
