@@ -88,3 +88,20 @@ def test_aliases_meet_paths_by_equality(spark):
 def test_plain_window_is_kept_for_short_sessions(calls):
     told = lambda rows, keys: rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     assert "_chunk" not in windows.over_sessions(calls, told, sequence_order()).columns
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 1 << 20])
+def test_ranks_by_counting_are_those_of_percentile_disc(spark, monkeypatch, chunk):
+    rows = spark.range(3_000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, "none").when(F.col("id") == 1, "one").otherwise("b").alias("tool_name"),
+        F.when(F.col("id") % 5 == 0, "error").when(F.col("id") % 11 == 0, None).otherwise("completed").alias("status"),
+        F.when((F.col("id") % 3 != 0) & (F.col("id") % 7 == 0), None).when(F.col("id") % 4 == 0, 77).when(F.col("id") % 9 != 0, F.pmod(F.xxhash64("id"), F.lit(400)) - 100).alias("duration_ms"),
+    )
+    for some, keys in ((rows, ["tool_name"]), (rows, ["tool_name", "status"]), (rows.limit(0), ["tool_name"]), (rows, ["no such key"])):
+        monkeypatch.setattr(runs, "LIGHT", 1 << 40)
+        want = runs.aggregate_groups(some, keys)
+        monkeypatch.setattr(runs, "LIGHT", -1)
+        monkeypatch.setattr(runs, "CHUNK", chunk)
+        got = runs.aggregate_groups(some, keys)
+        assert got.columns == want.columns and got.collect() == want.collect()
+        assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()

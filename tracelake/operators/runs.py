@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def session_groups(runs: DataFrame, f: RunFilters | None = None) -> DataFrame:
 def runs_of_session(runs: DataFrame, session_id: str, is_subagent: bool = False) -> DataFrame:
     """Runs of a session and, unless it is a subagent itself, of its subagents."""
     own = F.col("session_id") == session_id
-    return runs.where(own if is_subagent else own | holds(F.col("parent_session_id") == session_id))
+    return runs.where(own if is_subagent else own | (F.col("parent_session_id") == session_id))
 
 
 def inspect(
@@ -109,21 +110,71 @@ def compare(runs: DataFrame, left: Iterable[str], right: Iterable[str], key: str
     return rows.groupBy("side", "key").agg(F.count("*").alias("count"), mean.alias("avg_duration_ms")).orderBy("side", "key")
 
 
+#: Different durations that one task ranks, at most (17 minutes of milliseconds).
+CHUNK = 1 << 20
+PERCENTILES = {"p50_duration_ms": 0.5, "p95_duration_ms": 0.95}
+#: Estimated bytes of (keys, duration) up to which all durations of a group may meet in one task.
+LIGHT = 64 << 20
+
+
+def light(rows: DataFrame) -> bool:
+    """Whether Spark's estimate of ``rows``, that by which it also chooses broadcasts, is LIGHT at most."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= LIGHT
+
+
 def percentile(column: str, share: float) -> Column:
     """Nearest rank among the values there are."""
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})").cast("long")
 
 
+def counted_groups(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``count``, ``errors`` and nearest ranks of ``duration_ms`` by group, ranks by counting.
+
+    Rows are counted by group and duration, and durations are dealt to chunks.
+    Sizes of chunks tell in which one a rank lies, and only these are ranked
+    duration by duration: no task holds all durations of a group.  Both steps
+    read the same counts (so ``error`` is a key, and keys are compared as they
+    are, NULL or not), which are shuffled once.
+    """
+    counts = rows.groupBy(*names, "error", "duration_ms").agg(F.count("*").alias("n")).withColumn("_chunk", F.floor(F.col("duration_ms") / CHUNK))
+    sizes = counts.groupBy(*names, "_chunk").agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("error"), F.col("n")).otherwise(0)).alias("_failed"))
+    timed = F.when(F.col("_chunk").isNotNull(), F.col("_n")).otherwise(0)
+    group = Window.partitionBy(*names)
+    sizes = sizes.withColumns(
+        {
+            "_until": F.sum(timed).over(group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)),
+            "_timed": F.sum(timed).over(group), "count": F.sum("_n").over(group), "errors": F.sum("_failed").over(group),
+        }
+    )
+    rank = lambda share: F.greatest(F.ceil(F.col("_timed") * share), F.lit(1))
+    ranks = [F.struct(F.lit(name).alias("name"), rank(share).alias("rank")) for name, share in PERCENTILES.items()]
+    places = sizes.withColumn("_at", F.explode(F.array(*ranks))).withColumn("_rank", F.col("_at.rank") - F.col("_until") + F.col("_n"))
+    # The chunk of a rank, or that of rows without a duration where there are no others.
+    places = places.where(F.when(F.col("_chunk").isNotNull(), F.col("_rank").between(1, F.col("_n"))).otherwise(F.col("_timed") == 0))
+    places = places.select(*[F.col(c).alias(f"_p{c}") for c in (*names, "_chunk")], "count", "errors", F.col("_at.name").alias("_name"), "_rank")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in (*names, "_chunk")])
+    inside = Window.partitionBy(*names, "_chunk", "_name").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(places, same).withColumn("_seen", F.sum("n").over(inside))
+    reached = lambda name: F.min(F.when((F.col("_name") == name) & (F.col("_seen") >= F.col("_rank")), F.col("duration_ms")))
+    return ranked.groupBy(*names).agg(F.first("count").alias("count"), F.first("errors").alias("errors"), *[reached(name).alias(name) for name in PERCENTILES])
+
+
 def aggregate_groups(runs: DataFrame, keys: Iterable[str] = ("tool_name",), f: RunFilters | None = None) -> DataFrame:
-    """Counts, errors and duration percentiles by group, the largest first; keys in the order of their names."""
+    """Counts, errors and duration percentiles by group, the largest first; keys in the order of their names.
+
+    Few rows are aggregated in one step; of many no task holds all durations of a group.
+    """
     names = sorted(set(keys))
-    rows = filtered(runs, f).select(*[group_value(k).alias(k) for k in names], (F.col("status") == "error").alias("_error"), "duration_ms")
-    errors = F.count(F.when(F.col("_error"), 1))
-    out = rows.groupBy(*names).agg(
-        F.count("*").alias("count"), errors.alias("errors"), scaled_round(errors / F.count("*") * 100, 1).alias("error_pct"),
-        percentile("duration_ms", 0.5).alias("p50_duration_ms"), percentile("duration_ms", 0.95).alias("p95_duration_ms"),
-    )
-    return out.withColumn("avg_duration_ms", F.col("p50_duration_ms")).orderBy(F.desc("count"), *names)
+    rows = filtered(runs, f).select(*[group_value(k).alias(k) for k in names], (F.col("status") == "error").alias("error"), "duration_ms")
+    share = scaled_round(F.col("errors") / F.col("count") * 100, 1)
+    if light(rows):
+        failed = F.count(F.when(F.col("error"), 1))
+        groups = rows.groupBy(*names).agg(F.count("*").alias("count"), failed.alias("errors"), *[percentile("duration_ms", s).alias(name) for name, s in PERCENTILES.items()])
+    else:
+        groups = counted_groups(rows, names)
+    out = groups.withColumns({"error_pct": share, "avg_duration_ms": F.col("p50_duration_ms")})
+    columns = [*names, "count", "errors", "error_pct", *PERCENTILES, "avg_duration_ms"]
+    return out.select(*columns).orderBy(F.desc("count"), *names)
 
 
 def top_errors(runs: DataFrame, f: RunFilters | None = None, top: int = TOP_ERRORS) -> DataFrame:

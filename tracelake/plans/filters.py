@@ -34,36 +34,39 @@ def holds(condition: Column) -> Column:
 
 def of_session(session: str) -> Column:
     """Runs of a session by its own, its external or its parent's id."""
-    return (F.col("session_id") == session) | (F.col("external_session_id") == session) | holds(F.col("parent_session_id") == session)
+    return (F.col("session_id") == session) | (F.col("external_session_id") == session) | (F.col("parent_session_id") == session)
 
 
 def predicate(f: RunFilters) -> Column | None:
-    """All given predicates together, or None.
+    """All given predicates together, or None; to be used as a filter, where what is unknown fails.
 
     A missing duration counts as 0; missing texts and line counts fail; ``since``
-    compares the text of the start, which is empty where there is none.
+    compares the text of the start, which is empty where there is none.  Columns
+    are compared bare, so that a scan of Parquet files takes the comparisons.
     """
     parts: list[Column] = []
     for name, column in (("project", "project_alias"), ("worktree", "worktree_name"), ("tool", "tool_name"), ("status", "status")):
         if (value := getattr(f, name)) is not None:
-            parts.append(holds(F.col(column) == value))
+            parts.append(F.col(column) == value)
     if f.session is not None:
         parts.append(of_session(f.session))
     for name, column in (("command_contains", "command"), ("error_contains", "error_content")):
         if (value := getattr(f, name)) is not None:
-            parts.append(holds(F.col(column).contains(value)))
+            parts.append(F.col(column).contains(value))
     if f.file_path is not None:
-        in_paths = holds(F.exists("file_paths", lambda p: p.contains(f.file_path)))
-        parts.append(in_paths | holds(F.col("command").contains(f.file_path)) | holds(F.col("input_summary").contains(f.file_path)))
-    duration = F.coalesce("duration_ms", F.lit(0))
+        in_paths = F.exists("file_paths", lambda p: p.contains(f.file_path))
+        parts.append(in_paths | F.col("command").contains(f.file_path) | F.col("input_summary").contains(f.file_path))
+    duration = F.col("duration_ms")
     if f.min_duration is not None:
-        parts.append(duration >= f.min_duration)
+        long_enough = duration >= f.min_duration
+        parts.append(long_enough if f.min_duration > 0 else long_enough | duration.isNull())
     if f.max_duration is not None:
-        parts.append(duration <= f.max_duration)
+        short_enough = duration <= f.max_duration
+        parts.append(short_enough if f.max_duration < 0 else short_enough | duration.isNull())
     if f.min_read_lines is not None:
-        parts.append(holds(F.col("read_lines") >= f.min_read_lines))
-    if f.since is not None:
-        parts.append(F.coalesce("started_at", F.lit("")) >= f.since)
+        parts.append(F.col("read_lines") >= f.min_read_lines)
+    if f.since:
+        parts.append(F.col("started_at") >= f.since)
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
