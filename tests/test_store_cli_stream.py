@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tests.transcript_files import call, day, record, result, usage, write
 from tracelake import cli, schemas
 from tracelake.config import BadConfig, Config
-from tracelake.operators import content, health
+from tracelake.operators import content, health, runs
+from tracelake.plans.filters import RunFilters
 from tracelake.sources.store import NewerStore, Store
 from tracelake.sources.transcripts import load, read_lines
 from tracelake.streaming.ingest import follow, token_rates
@@ -202,3 +203,55 @@ def test_content_search_modes(spark):
     assert find(" NEEDLE ") == [0, 1] and find("the needle", mode="phrase") == [0] and find("needle", mode="phrase") == [0]
     assert find("  ") == [] and find("needle", limit=0) == [] and find("needle", limit=1) == [0]
     assert len(content.search_content(messages, sessions, "needles").first()["snippet"]) == 183
+
+
+def written_bytes(path, before):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet") if f not in before)
+
+
+def test_buckets_split_with_their_bytes(spark, tmp_path):
+    path = tmp_path / "store"
+    store = Store(spark, str(path), 2, 20_000)
+    talk = lambda name, n=30: [r for i in range(n) for r in (call(2 * i, f"{name}-{i}", more={"session": name}), result(2 * i + 1, f"{name}-{i}", more={"session": name}))]
+    names, cost = [], []
+    for size in (6, 24):
+        fresh = [f"s{i}" for i in range(len(names), size)]
+        names += fresh
+        store.replace(load(read_lines(spark, *[write(tmp_path / f"in/{name}.jsonl", talk(name)) for name in fresh])))
+        before = set(path.rglob("*.parquet"))
+        store.replace(load(read_lines(spark, write(tmp_path / "in/s1.jsonl", talk("s1", 31)))))
+        cost.append(written_bytes(path, before))
+    buckets = store._pointer()[1]["messages"]
+    assert sum(1 for g in buckets.values() if g) > 4 and None in buckets.values() and cost[1] < 2 * cost[0]
+    plain = Store(spark, str(tmp_path / "plain"), 2)
+    plain.replace(load(read_lines(spark, str(tmp_path / "in"))))
+    assert stored(store) == stored(plain) and len(names) == 24
+    again = Store(spark, str(path), 16)  # keeps its own number of buckets
+    again.vacuum()
+    again.discard(spark.createDataFrame([("s1",), ("s2",)], "id string"))
+    assert again.buckets == 2 and sorted(r["id"] for r in again.sessions.collect()) == sorted({*names} - {"s1", "s2"})
+    assert again.messages.count() == 22 * 60 and again.family("runs", "s3").count() == 30 and again.family("runs", "s1").count() == 0
+
+
+def test_a_bucket_of_one_session_is_not_split(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 1, 1_000)
+    for _ in range(2):
+        store.replace(load(read_lines(spark, write(tmp_path / "in/a.jsonl", day()))))
+    assert set(store._pointer()[1]["messages"]) == {"0"} and store.messages.count() == 23
+
+
+def test_inspection_reads_the_buckets_of_a_family_and_prunes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 16)
+    for name in ("a", "b", "c", "d", "e"):
+        write(tmp_path / f"in/{name}.jsonl", [call(1, f"t-{name}", more={"session": name}), result(2, f"t-{name}", more={"session": name})])
+    write(tmp_path / "in/a/subagents/agent-x.jsonl", [call(1, "w", "WebFetch", {"session": "a"})])
+    store.replace(load(read_lines(spark, str(tmp_path / "in"))))
+    found = store.family("runs", "a")
+    assert sorted(r["tool_use_id"] for r in found.collect()) == ["t-a", "w"]
+    assert len(found.inputFiles()) < len(store.runs.inputFiles()) and {"t-a", "w"} == {r["tool_use_id"] for r in runs.inspect(found, "a").collect()}
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = runs.search(store.runs, RunFilters(tool="Bash", min_duration=5, since="2024", session="a"))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert all(word in pushed for word in ("EqualTo(tool_name,Bash)", "GreaterThanOrEqual(duration_ms,5)", "GreaterThanOrEqual(started_at,2024)", "EqualTo(parent_session_id,a)"))
+    assert "EqualTo(session_id,a)" in store.family("runs", "a")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")

@@ -279,7 +279,11 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> str:
         return sync(args, spark, store, cfg)
     if args.verb == "audit":
         return render(audit_stored(args, spark, store), args.format)
-    return render(analyse(args, store.sessions, store.messages, store.runs, None), args.format)
+    messages, rows = store.messages, store.runs
+    if wanted := args.session_id if args.verb == "inspect" else args.session if args.verb == "health" else None:
+        s = one_session(store.sessions, wanted)
+        messages, rows = store.family("messages", s["id"]), store.family("runs", s["id"])
+    return render(analyse(args, store.sessions, messages, rows, None), args.format)
 
 
 def main() -> None:
