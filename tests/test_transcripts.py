@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.transcript_files import call, day, record, result, write
 from tracelake import schemas
+from tracelake.plans.files import BLOCK_TASKS, small_blocks
 from tracelake.sources import transcripts
 from tracelake.sources.transcripts import load, parsed, read_lines
 from tracelake.sources.writer import delete_files, write_files
@@ -88,6 +89,17 @@ def test_ordinals_count_blank_lines_over_splits(spark, tmp_path):
     assert all((r["value"] == "") == (r["ordinal"] % 7 == 0) for r in rows)
 
 
+def test_number_of_tasks_does_not_follow_small_blocks(spark, tmp_path):
+    path = write(tmp_path / "a.jsonl", [record(i, content="x" * 50) if i % 7 else "" for i in range(3000)])
+    with small_blocks(spark, "1k"):
+        raw = spark.read.text(path)
+        blocks = raw.select("_metadata.file_block_start").distinct().count()
+        assert blocks > 500 and raw.rdd.getNumPartitions() <= 2 * BLOCK_TASKS * spark.sparkContext.defaultParallelism < blocks
+        rows = read_lines(spark, path).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in rows] == list(range(3000))
+    assert all((r["value"] == "") == (r["ordinal"] % 7 == 0) for r in rows)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text("abcdefgXYZ_", min_size=3, max_size=9).map(lambda k: "zz" + k), min_size=5, max_size=5))
 def test_unknown_keys_are_refused_at_every_level(spark, keys):
