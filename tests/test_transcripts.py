@@ -222,3 +222,17 @@ def test_files_are_written_whole_and_deleted(spark, tmp_path):
     assert not [p for p in (tmp_path / "out").rglob("_*")]
     names = spark.createDataFrame([("bytes.jsonl",), ("none.jsonl",)], "file string")
     assert [r["file"] for r in delete_files(names, str(tmp_path / "out")).collect()] == ["bytes.jsonl"] and not (tmp_path / "out/bytes.jsonl").exists()
+
+
+def test_files_read_whole_give_the_lines_that_blocks_give(spark, tmp_path, monkeypatch):
+    texts = {"a": b"\xef\xbb\xbf{}\n\n x\r\n\n", "b": b"one\ntwo", "c": b"", "d": b"\n", "e": b'ok\n"\xff\xc3\xa9"\n\xe2\x82\xac\n', "f": b"\xff\xfe\n\xef\xbb\xbf1", "g": b"x\x00y\x0bz\x85\xe2\x80\xa8w\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.jsonl").write_bytes(text)
+
+    def rows():
+        found = read_lines(spark, str(tmp_path)).select("file_path", "ordinal", F.hex(F.col("value").cast("binary")).alias("value"))
+        return sorted(map(tuple, found.collect()))
+
+    whole = rows()
+    monkeypatch.setattr(transcripts, "WHOLE_BYTES", -1)
+    assert whole == rows() and len(whole) == 13
