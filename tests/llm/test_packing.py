@@ -121,6 +121,19 @@ def test_sums_hold_every_combination():
         assert {tuple(r) for r in sums.triples(total).tolist()} == triples and len(sums.triples(total)) == len(triples)
 
 
+def test_triples_kept_are_bounded(monkeypatch):
+    wide = packing.Sums(range(1, 1025), 1024)
+    monkeypatch.setattr(packing, "TRIPLE_BYTES", 1 << 20)
+    narrow = packing.Sums(range(1, 1025), 1024)
+    for total in (*range(900, 1000), *range(900, 1000, 7)):
+        assert (narrow.triples(total) == wide.triples(total)).all()
+        assert sum(rows.nbytes for rows in narrow._triples.values()) == narrow.kept <= 1 << 20
+    counts = {n: 1 + n % 5 for n in range(3, 200, 2)}
+    few = packing.plan(counts, 256)
+    monkeypatch.setattr(packing, "TRIPLE_BYTES", 1 << 40)
+    assert few == packing.plan(counts, 256)
+
+
 def test_plan_places_every_piece_once():
     rng = random.Random(5)
     for _ in range(30):

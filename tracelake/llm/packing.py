@@ -41,10 +41,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, mapped, shared_path
+from .common import give_back, held, mapped, shared_path
 
 CAPACITY = 1024
 END_ID = 2
+#: Bytes of triples that the plan keeps; those asked for the longest ago are found anew.
+TRIPLE_BYTES = 32 << 20
 
 PLACE = [("doc_id", T.LongType(), pa.int64()), ("piece", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64())]
 
@@ -163,7 +165,8 @@ class Sums:
 
     Single sums are the lengths themselves.  An entry of ``pairs`` or ``triples``
     has every combination of lengths with that sum, longest member first, so its
-    size depends on the capacity alone.
+    size depends on the capacity alone.  All triples together grow with its cube,
+    so only TRIPLE_BYTES of them are kept.
     """
 
     def __init__(self, lengths: Iterable[int], capacity: int) -> None:
@@ -171,6 +174,7 @@ class Sums:
         self.has[list(lengths)] = True
         self._pairs: dict[int, np.ndarray] = {}
         self._triples: dict[int, np.ndarray] = {}
+        self.kept = 0
 
     def pairs(self, total: int) -> np.ndarray:
         """Rows (a, b) with a >= b."""
@@ -182,15 +186,18 @@ class Sums:
 
     def triples(self, total: int) -> np.ndarray:
         """Rows (a, b, c) with a >= b >= c."""
-        if total not in self._triples:
-            found = [np.empty((0, 3), np.int16)]
-            for a in range(total - 2, (total + 2) // 3 - 1, -1):
-                if self.has[a]:
-                    rest = self.pairs(total - a)
-                    rest = rest[rest[:, 0] <= a]
-                    found.append(np.concatenate([np.full((len(rest), 1), a, np.int16), rest], axis=1))
-            self._triples[total] = np.concatenate(found)
-        return self._triples[total]
+        rows = self._triples.pop(total, None)
+        if rows is None:
+            lengths = np.flatnonzero(self.has)[::-1].astype(np.int16)
+            a, b = lengths[(lengths <= total - 2) & (lengths >= -(-total // 3))][:, None], lengths[lengths <= total // 2]
+            c = total - a - b
+            x, y = np.nonzero((b <= a) & (c <= b) & (c > 0) & self.has[np.maximum(c, 0)])
+            rows = np.stack([a[x, 0], b[y], c[x, y]], axis=1).astype(np.int16)
+            self.kept += rows.nbytes
+            while self._triples and self.kept > TRIPLE_BYTES:
+                self.kept -= self._triples.pop(next(iter(self._triples))).nbytes
+        self._triples[total] = rows  # the last asked for is the last to go
+        return rows
 
 
 class Available:
@@ -302,8 +309,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    made = plan(counts, capacity)
+    give_back()  # the driver would keep what its indexes took
     slots = spark.createDataFrame(
-        ranges(plan(counts, capacity)), "_len long, _from long, _to long, _sequence long, offset long"
+        ranges(made), "_len long, _from long, _to long, _sequence long, offset long"
     )
     salts = spark.createDataFrame([(n, math.isqrt(c - 1) + 1) for n, c in counts.items()], "_len long, _salts long")
     hashed = F.xxhash64("doc_id", "piece")
