@@ -136,3 +136,29 @@ def test_hubs_are_joined_in_shares(spark, monkeypatch):
     edges = [(5, i) for i in range(100, 300)] + [(299, 400), (400, 1), (600, 601), (602, 601)]
     labels = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {n: 1 for n in (1, 5, 400, *range(100, 300))} | {600: 600, 601: 600, 602: 600}
+
+
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95)]
+    expected = {n: 1 for n in range(1, 61)} | dict.fromkeys((90, 95, 100), 90)
+    edges = spark.createDataFrame(chain, "a long, b long").coalesce(1)
+    tracker, taken = spark.sparkContext.statusTracker(), {}
+    monkeypatch.setattr(graph, "HUB_LINKS", 1)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # else the few rows here would lie in few partitions either way
+    for few in (graph.FEW_LINKS, 0):  # 0: labels are joined by shuffles, hubs in shares
+        monkeypatch.setattr(graph, "FEW_LINKS", few)
+        spark.sparkContext.setJobGroup(f"links-{few}", "")
+        try:
+            assert {r["node"]: r["label"] for r in graph.components(edges).collect()} == expected
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"links-{few}") for s in tracker.getJobInfo(j).stageIds]
+        taken[few] = sum(s.numCompletedTasks for s in stages if s)
+    monkeypatch.setattr(graph, "FEW_LINKS", 400_000)
+    monkeypatch.setattr(graph, "TASK_ROWS", 20)
+    rows = graph.components(edges)
+    assert {r["node"]: r["label"] for r in rows.collect()} == expected and rows.rdd.getNumPartitions() > 1
+    spark.conf.set(key, before)
+    assert taken[400_000] < taken[0] / 2, taken

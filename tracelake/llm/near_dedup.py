@@ -428,6 +428,8 @@ def classes(signed: DataFrame, docs: DataFrame) -> DataFrame:
             labelled = joined.select("rep", "band", F.coalesce("label", "rep").alias("label"))
             spread = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
             open_members = labelled.join(spread.select("band"), "band")
+            if turn < STAR_ROUNDS:
+                open_members = cut(open_members)  # the next turn reads them many times
     out = folded.select("digest", "rep")
     if labels is None:
         return out.select("digest", F.col("rep").alias("component"))
