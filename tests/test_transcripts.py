@@ -236,3 +236,17 @@ def test_files_read_whole_give_the_lines_that_blocks_give(spark, tmp_path, monke
     whole = rows()
     monkeypatch.setattr(transcripts, "WHOLE_BYTES", -1)
     assert whole == rows() and len(whole) == 13
+
+
+def test_only_wanted_columns_are_loaded(spark, tmp_path):
+    lines = lines_of(spark, ("/t/s1.jsonl", day()), ("/t/s2.jsonl", ["{oops"]))
+    wanted = ("session_id", "ordinal", "search_text", "input_tokens")
+    part, full = load(lines, with_messages=wanted, with_runs=False), load(lines)
+    written = set(spark.read.parquet(part.paths[0]).columns)
+    assert not written & {"content", "raw_payload", "blocks", "read_file", "deep"} and written >= {*wanted[1:]}
+    assert part.messages.columns == list(wanted) and part.runs.columns == full.runs.columns and part.runs.count() == 0
+    for name in ("messages", "sessions", "errors"):
+        assert sorted(map(str, getattr(part, name).collect())) == sorted(map(str, getattr(full, name).select(*getattr(part, name).columns).collect()))
+    assert load(lines, with_messages=wanted).runs.count() == full.runs.count() > 0
+    with pytest.raises(ValueError, match="no column texts"):
+        load(lines, with_messages=("texts",))
