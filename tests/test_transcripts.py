@@ -250,3 +250,30 @@ def test_only_wanted_columns_are_loaded(spark, tmp_path):
     assert load(lines, with_messages=wanted).runs.count() == full.runs.count() > 0
     with pytest.raises(ValueError, match="no column texts"):
         load(lines, with_messages=("texts",))
+
+
+def test_tasks_read_what_sparks_sources_read_and_the_driver_holds_no_names(spark, tmp_path):
+    rng, start = random.Random(7), b"\xef\xbb\xbf"
+    for i in range(130):
+        lines = [rng.choice([b"", b"x" * rng.randint(1, 40), b'{"a":1}', b"\xff", b" \r"]) for _ in range(rng.randint(0, 12))]
+        at = tmp_path / rng.choice(["p", "p/s1/subagents", "q r%", "_no", ".no", "w/workflows/run"]) / rng.choice([f"f{i}.jsonl", f"f {i}#.jsonl", f"f{i}.txt", f"_f{i}.jsonl", "journal.jsonl"])
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(rng.choice([b"", start]) + b"\n".join(lines) + rng.choice([b"", b"\n"]) if lines else b"")
+    rows = lambda df: sorted(tuple(r) for r in df.select("file_path", "ordinal", F.hex(F.col("value").cast("binary")).alias("value")).collect())
+    read = read_lines(spark, str(tmp_path))
+    want = rows(transcripts.source_lines(spark, (str(tmp_path),), 1 << 20))
+    assert rows(read) == want and len({file for file, _, _ in want}) > 20
+    assert not [f for f in read.inputFiles() if f.endswith(".jsonl")]
+    roots = transcripts.reader.local_roots(spark, (f"file://{tmp_path}",))
+    for step in (1, 5, 64):
+        assert rows(transcripts.reader.read_files(spark, roots, ".jsonl", step, ~F.col("file_path").rlike(transcripts.JOURNAL))) == want
+    some = sorted({file for file, _, _ in want})[::3]
+    only = spark.createDataFrame([(file,) for file in some], "file_path string")
+    assert rows(read_lines(spark, str(tmp_path), only=only)) == [r for r in want if r[0] in some]
+    assert {r["file_path"] for r in transcripts.listing(spark, str(tmp_path)).collect()} >= {file for file, _, _ in want}
+
+
+def test_only_lines_that_need_it_are_trimmed(spark):
+    texts = ["x", " x", "x\t", "\n\x0bx y\f\r", "", " \r ", "\u00a0x\u00a0", "é "]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string").select("value", transcripts.stripped(F.col("value")).alias("s")).collect()
+    assert {r["value"]: r["s"] for r in rows} == {t: t.strip(transcripts.WHITE) for t in texts}
